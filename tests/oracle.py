@@ -80,7 +80,7 @@ def main() -> int:
     args = parser.parse_args()
     from zocalo.queries import QUERIES
     from zocalo.session import build_session
-    spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+    spark = build_session("local[8]", 8, **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     path = f"/root/testdata/sf{args.sf}"
     con = duck(path)
