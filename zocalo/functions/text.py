@@ -89,8 +89,6 @@ def tag_form(x: Column) -> Column:
     return F.btrim(F.regexp_replace(casefold(F.trim(x)), r"[^a-z0-9_.:/-]+", "-"), F.lit("-"))
 
 
-def contains_any(x: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(x, F.lit(word))
-    return hit
+def contains_any(column: str, words: list[str]) -> Column:
+    """Substring test for any of the words; byte matching, no regex."""
+    return F.expr(" OR ".join(f"contains({column}, '{word}')" for word in words))

@@ -84,7 +84,8 @@ def rule_texts(folded: Column, rules: list[Rule] = RULES) -> Column:
 def term_table(spark, rules: list[Rule] = RULES) -> DataFrame:
     rows = [(r.id, plain_term(t), kind) for r in rules
             for kind, terms in (("on", r.activation), ("off", r.exclusion)) for t in terms]
-    return spark.createDataFrame(rows, "rule_id string, term string, kind string")
+    items = F.array(*[F.struct(F.lit(i).alias("rule_id"), F.lit(t).alias("term"), F.lit(k).alias("kind")) for i, t, k in rows])
+    return spark.range(1).select(F.inline(items))
 
 
 def tag_texts(df: DataFrame, key: str, text: str, terms: DataFrame, longest: int = 4) -> DataFrame:

@@ -59,7 +59,7 @@ def filter_text(column="filters"):
 def _(m):
     folded = text.fold(text.clean_spaces(F.col("question")))
     return (question_rows(m).withColumn("t", folded).filter(F.col("t") != "")
-            .select("question_id", structuring.intent(F.col("t")).alias("intent")))
+            .select("question_id", structuring.intent("t").alias("intent")))
 
 
 @query("Q02_qs_operation", "SELECT question_id, operation FROM m_lists")
