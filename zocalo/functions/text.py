@@ -40,11 +40,10 @@ def _fold_table() -> tuple[str, str, dict[str, str]]:
 def without_accents(x: Column) -> Column:
     """Compatibility-decompose and drop combining marks, without leaving the JVM."""
     source, base, expanded = _fold_table()
+    pairs = F.array(*[F.struct(F.lit(char).alias("char"), F.lit(text).alias("text")) for char, text in expanded.items()])
     plain = F.translate(x, source, base)
-    wide = plain
-    for char, text in expanded.items():
-        wide = F.replace(wide, F.lit(char), F.lit(text))
-    return F.when(x.rlike("[" + "".join(expanded) + "]"), wide).otherwise(plain)
+    wide = F.aggregate(pairs, plain, lambda done, pair: F.replace(done, pair["char"], pair["text"]))
+    return F.when(x.rlike("[" + "".join(expanded) + "]"), wide).when(x.rlike(r"[^\x00-\x7F]"), plain).otherwise(x)
 
 
 def fold(x: Column) -> Column:

@@ -50,6 +50,16 @@ def open_incident() -> Column:
     return F.col("resolved_date").isNull()
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on derived columns without repeating their derivation.
+
+    A plain filter is pushed below the projections and takes a copy of every
+    expression it reads with it; long text rules would then run once per mention.
+    Exploding a one-element list keeps the test above them.
+    """
+    return df.withColumn("_kept", F.explode(F.when(condition, F.array(F.lit(1))))).drop("_kept")
+
+
 def cap_rows(df: DataFrame, order: list[Column], cap: int = ROW_CAP, exact_flag: bool = True) -> DataFrame:
     """The first ``cap`` rows plus ``truncated``.
 

@@ -1,4 +1,4 @@
 """Runnable catalogue: importing the modules below registers their queries."""
 
-from zocalo.queries import enrichment_queries, metric_queries, text_queries  # noqa: F401
+from zocalo.queries import enrichment_queries, memory_queries, metric_queries, text_queries  # noqa: F401
 from zocalo.queries.registry import QUERIES, Query, query  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from zocalo.functions import sets, text
 from zocalo.operators import rules, structuring
+from zocalo.operators.filters import keep_where
 from zocalo.queries import sqltext as s
 from zocalo.queries.questions import question_rows
 from zocalo.queries.registry import query
@@ -178,8 +179,7 @@ SELECT text_id, array_to_string({s.ordered_distinct('found')}, ',') AS tables FR
   SELECT text_id, {s.rule_tables('t')} AS found FROM (SELECT text_id, {s.fold(s.clean('text'))} AS t FROM m_texts)) WHERE len(found) > 0""")
 def _(m):
     folded = texts(m).select("text_id", rules.matching_form(F.col("text")).alias("t"))
-    return (folded.select("text_id", joined(rules.rule_tables(F.col("t"))).alias("tables"))
-            .filter(F.col("tables") != ""))
+    return keep_where(folded.select("text_id", joined(rules.rule_tables(F.col("t"))).alias("tables")), F.col("tables") != "")
 
 
 @query("J14_join_filter_tables", f"""
