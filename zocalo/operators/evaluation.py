@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from itertools import groupby
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,15 +35,26 @@ def sources_match(reported: Column, expected: Column) -> Column:
 def _with_forms(rows: DataFrame) -> DataFrame:
     """Long rows (case_id, row_no, pos, value) with the forms values are compared in."""
     v = F.col("value")
-    return rows.select("case_id", "row_no", "pos", v.alias("raw"), number_from_text(v).cast("double").alias("number"),
+    return rows.select("case_id", "row_no", F.col("pos").cast("int").alias("pos"), v.alias("raw"), number_from_text(v).cast("double").alias("number"),
                        uuid_form(v).alias("uuid"), F.trim(v).alias("trimmed"), compare_form(v).alias("form"),
                        F.coalesce(F.trim(v).rlike(MONTH), F.lit(False)).alias("month"))
 
 
-def _same(actual, expected, tolerance: float) -> bool:
+class _Value(NamedTuple):
+    row_no: int
+    pos: int
+    raw: str | None
+    number: float
+    uuid: str | None
+    trimmed: str | None
+    form: str | None
+    month: bool
+
+
+def _same(actual: _Value, expected: _Value, tolerance: float) -> bool:
     if expected.raw is None or actual.raw is None:
         return expected.raw is None and actual.raw is None
-    if not (np.isnan(actual.number) or np.isnan(expected.number)):
+    if not (math.isnan(actual.number) or math.isnan(expected.number)):
         return round(abs(actual.number - expected.number), 9) <= tolerance
     if actual.uuid is not None and expected.uuid is not None:
         return actual.uuid == expected.uuid
@@ -58,16 +72,16 @@ def _take_first(candidates: list, accepts) -> bool:
     return False
 
 
-def _rows_of(pdf: pd.DataFrame) -> list[list]:
-    ordered = pdf.sort_values(["row_no", "pos"])
-    return [list(part.itertuples()) for _, part in ordered.groupby("row_no", sort=True)]
+def _rows_of(pdf: pd.DataFrame) -> list[list[_Value]]:
+    values = sorted(map(_Value._make, zip(*(pdf[name].to_list() for name in _Value._fields))), key=lambda v: v[:2])
+    return [list(row) for _, row in groupby(values, key=lambda v: v.row_no)]
 
 
 def _greedy_match(key: tuple, actual: pd.DataFrame, expected: pd.DataFrame) -> pd.DataFrame:
     case_id, tolerance = key
     left = _rows_of(actual)
 
-    def holds(row: list, wanted: list) -> bool:
+    def holds(row: list[_Value], wanted: list[_Value]) -> bool:
         values = list(row)
         return all(_take_first(values, lambda a, e=e: _same(a, e, tolerance)) for e in wanted)
 

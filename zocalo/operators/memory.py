@@ -84,21 +84,22 @@ def merge(batch: DataFrame, seq: list[str], store: DataFrame | None = None) -> D
 
     Closed form of the sequential rule "an unvalidated event never replaces the
     query of a validated one": the last validated event wins, else the last event.
-    It is one aggregation, so it does not depend on partitioning, and copies of a
-    hot fingerprint collapse before the shuffle.  ``seq`` orders the events.
+    ``seq`` gives the total order of events and is kept with the row, so merging is
+    associative: late batches, any partitioning and any grouping give the same
+    store.  Copies of a hot fingerprint collapse before the shuffle.
     """
-    rows = batch.withColumn("_age", F.lit(1))
+    order = F.struct(*seq)
+    rows = batch.withColumns({"authority_seq": order, "latest_seq": order, "first_seq": order})
     if store is not None:
-        rows = rows.unionByName(store.withColumn("_age", F.lit(0)), allowMissingColumns=True)
-    when = F.struct("_age", *seq)
+        rows = rows.unionByName(store, allowMissingColumns=True)
     merged = rows.groupBy("fingerprint").agg(
-        F.max_by(F.struct(*AUTHORITATIVE), F.struct("validated", when)).alias("_a"),
-        F.max_by(F.struct(*DESCRIPTIVE, "updated_at"), when).alias("_d"),
+        F.max_by(F.struct(*AUTHORITATIVE, "authority_seq"), F.struct("validated", "authority_seq")).alias("_a"),
+        F.max_by(F.struct(*DESCRIPTIVE, "updated_at", "latest_seq"), F.col("latest_seq")).alias("_d"),
+        F.min_by(F.struct("created_at", "first_seq"), F.col("first_seq")).alias("_f"),
         F.bool_or("validated").alias("validated"), F.sum("usage_count").alias("usage_count"),
-        F.sum("retrieval_count").alias("retrieval_count"), F.max("last_used_at").alias("last_used_at"),
-        F.min_by("created_at", when).alias("created_at"))
-    return merged.select("fingerprint", memory_id(F.col("fingerprint")).alias("memory_id"), "_d.*", "_a.*", "validated",
-                         "usage_count", "retrieval_count", "created_at", "last_used_at")
+        F.sum("retrieval_count").alias("retrieval_count"), F.max("last_used_at").alias("last_used_at"))
+    return merged.select("fingerprint", memory_id(F.col("fingerprint")).alias("memory_id"), "_d.*", "_a.*", "_f.*", "validated",
+                         "usage_count", "retrieval_count", "last_used_at")
 
 
 def usable(version: str = EMBEDDING_VERSION) -> Column:
