@@ -43,7 +43,7 @@ def without_accents(x: Column) -> Column:
     pairs = F.array(*[F.struct(F.lit(char).alias("char"), F.lit(text).alias("text")) for char, text in expanded.items()])
     plain = F.translate(x, source, base)
     wide = F.aggregate(pairs, plain, lambda done, pair: F.replace(done, pair["char"], pair["text"]))
-    return F.when(x.rlike("[" + "".join(expanded) + "]"), wide).when(x.rlike(r"[^\x00-\x7F]"), plain).otherwise(x)
+    return (F.when(~x.rlike(r"[^\x00-\x7F]"), x).when(x.rlike("[" + "".join(expanded) + "]"), wide).otherwise(plain))
 
 
 def fold(x: Column) -> Column:
@@ -67,7 +67,8 @@ def fingerprint_form(x: Column) -> Column:
 
 
 def token(x: Column) -> Column:
-    return F.replace(fingerprint_form(x), F.lit(" "), F.lit("_"))
+    plain = x.rlike("^[a-z0-9_-]*$")  # most values are tokens already
+    return F.when(plain, x).otherwise(F.replace(fingerprint_form(x), F.lit(" "), F.lit("_")))
 
 
 def casefold(x: Column) -> Column:

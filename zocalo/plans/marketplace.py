@@ -32,6 +32,9 @@ REFUND_METHODS = ["tarjeta", "credito_tienda", "transferencia", "reembolso_origi
 TRANSLATED_TYPES = ["ECONOMY", "LARGE", "PROMO"]
 
 
+SPREAD_BELOW = 256 * 1024 * 1024
+
+
 def money(column: str) -> Column:
     return F.col(column).cast("decimal(12,2)")
 
@@ -59,6 +62,16 @@ class Marketplace:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are costly to process, over all cores even if it is one small file.
+
+        Only inputs below ``SPREAD_BELOW`` are shuffled for this; larger ones come in
+        enough splits by themselves.
+        """
+        df = self.raw(name)
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if size < SPREAD_BELOW else df
+
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)()
 

@@ -192,6 +192,13 @@ def _(m):
     return sampling.weighted_sample(signals(m), "order_id", weight, 1000, "incidents").select("order_id", "late", "score")
 
 
+@query("T06_srt_top_k_by_weight", """
+SELECT order_id, CAST(order_total AS DOUBLE) AS weight FROM m_orders ORDER BY order_total DESC, order_id LIMIT 500""")
+def _(m):
+    top = ranking.ranked(m.orders().select("order_id", "order_total"), "order_total", "order_id", top=500)
+    return top.select("order_id", F.col("order_total").cast("double").alias("weight"))
+
+
 @query("P02_smp_with_replacement", f"""
 WITH pairs AS (SELECT DISTINCT product_id, seller_id FROM m_items),
 numbered AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('bucket', 'product_id', 'seller_id')} % 1024, product_id, seller_id) - 1 AS idx FROM pairs),

@@ -49,9 +49,9 @@ def question_rows(m: Marketplace) -> DataFrame:
     text = pick(TEMPLATES, F.col("o_orderkey"))
     for mark, value in (("{y}", year), ("{z}", after), ("{uf}", pick(v.STATE_CODES, F.col("o_custkey")))):
         text = F.replace(text, F.lit(mark), value)
-    orders = m.raw("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("question_id"),
+    orders = m.spread("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("question_id"),
                                     F.col("o_orderdate").alias("asked_at"), text.alias("question"))
-    turns = m.raw("conversations").filter(F.col("role") == "user").select(
+    turns = m.spread("conversations").filter(F.col("role") == "user").select(
         F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
         F.lit(None).cast("timestamp_ntz").alias("asked_at"), F.col("text").alias("question"))
     return orders.unionByName(turns)

@@ -93,8 +93,9 @@ def groups(t: str) -> str:
 def filters(question: str, t: str) -> str:
     parts = []
     for code in v.STATE_CODES:
-        named = f"regexp_matches({question}, '(?i)\\b(?:{v.STATE_PREFIX})\\s+{code}\\b')"
-        bare = f"regexp_matches({question}, '\\b{code}\\b')"
+        # Word boundaries spelled out: the SQL engine's own know ASCII letters only.
+        named = f"regexp_matches({question}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:{v.STATE_PREFIX})\\s+{code}(?:[^\\p{{L}}\\p{{N}}_]|$)')"
+        bare = f"regexp_matches({question}, '(?:^|[^\\p{{L}}\\p{{N}}_]){code}(?:[^\\p{{L}}\\p{{N}}_]|$)')"
         hit = named if code in v.AMBIGUOUS_STATE_CODES else f"({named} OR {bare})"
         parts.append((hit, "state", code))
     parts += [(has_any(t, w), field, value) for w, (field, value) in v.FILTER_WORDS]

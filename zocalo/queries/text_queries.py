@@ -19,8 +19,8 @@ UNION ALL SELECT question_id, question FROM m_questions""")
 
 
 def texts(m):
-    docs = m.raw("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
-    turns = m.raw("conversations").select(
+    docs = m.spread("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("text_id"), "text")
+    turns = m.spread("conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("text_id"), "text")
     asked = question_rows(m).select(F.col("question_id").alias("text_id"), F.col("question").alias("text"))
     return docs.unionByName(turns).unionByName(asked)
