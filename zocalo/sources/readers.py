@@ -72,7 +72,7 @@ def table_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def memory_bank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(memories, cases) of bank files; absent groupings and status get their defaults."""
-    return split_bank(spark.read.schema(BANK_SCHEMA).option("multiLine", True).option("encoding", "UTF-8").json(path))
+    return split_bank(spark.read.schema(BANK_SCHEMA).option("multiLine", True).json(path))
 
 
 def split_bank(bank: DataFrame) -> tuple[DataFrame, DataFrame]:
