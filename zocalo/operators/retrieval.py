@@ -25,7 +25,7 @@ def _first_of_each(groups: np.ndarray) -> np.ndarray:
 
 
 def _block_top_k(query_id: str, document_id: str, k: int, metric: str, mask: str | None, group: str | None,
-                 rows_at_once: int = 256):
+                 rows_at_once: int = 64):
     """Per-block worker: the k nearest documents of the block for each query of the chunk."""
 
     def run(documents: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -57,7 +57,7 @@ def _block_top_k(query_id: str, document_id: str, k: int, metric: str, mask: str
 
 def nearest(queries: DataFrame, documents: DataFrame, k: int, query_id: str, document_id: str, vector: str = "embedding",
             by: list[str] | None = None, metric: str = "l2sq", mask: str | None = None, group: str | None = None,
-            document_block: int = 20_000, query_block: int = 2_000) -> DataFrame:
+            document_block: int = 50_000, query_block: int = 20_000) -> DataFrame:
     """Exact k nearest documents per query: (query, document, distance, position).
 
     With ``by`` only rows with equal keys are compared; ``mask`` names a bit set of
@@ -66,7 +66,8 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int, query_id: str, doc
     into chunks, and each (block, chunk) is one small matrix product that keeps k
     rows per query; so neither side is broadcast, a hot key is spread over many
     tasks, and no pair list is ever written.  Order is by distance (to 6 digits),
-    then document id.
+    then document id.  A document is shuffled once per query chunk and a query once
+    per document block, so keep both as large as a task's memory allows.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")

@@ -422,9 +422,7 @@ SELECT result_id, row_no, CAST(unnest([0, 1, 2]) AS INTEGER) AS pos, unnest(['av
 
 
 def cells(m):
-    from pyspark.sql import Window
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = m.raw("lineitem").select(F.col("l_orderkey").alias("result_id"), F.row_number().over(order).cast("bigint").alias("row_no"),
+    lines = m.raw("lineitem").select(F.col("l_orderkey").alias("result_id"), F.monotonically_increasing_id().alias("row_no"),
                                      F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"), F.col("l_linenumber").alias("line"))
     pair = lambda name, value: F.struct(F.lit(name).alias("col"), value.cast("double").alias("num"))
     rate = F.when(F.col("result_id") % 9 != 0, F.col("discount"))

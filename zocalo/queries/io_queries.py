@@ -87,8 +87,8 @@ def _(m):
     o = F.col("order_id")
     memory_ = F.struct(o.cast("string").alias("key"), F.lit("¿Qué?").alias("original_question"), F.array(F.lit("revenue")).alias("metrics"), (o % 3 == 0).alias("validated"))
     case = F.when(o % 2 == 0, F.struct(o.cast("string").alias("id"), F.lit("¿Qué?").alias("question")))
-    # One bank per customer, as one JSON document each.
-    banks = m.orders().groupBy("customer_id").agg(F.collect_list(memory_).alias("memories"), F.collect_list(case).alias("cases")).select(F.lit("2").alias("version"), "memories", "cases")
+    # One bank document per order, with a case in every second one.
+    banks = m.orders().select(F.lit("2").alias("version"), F.array(memory_).alias("memories"), F.filter(F.array(case), lambda c: c.isNotNull()).alias("cases"))
     folder = run_dir(m.spark, "banks")
     banks.write.json(folder)
     bank = m.spark.read.schema(readers.BANK_SCHEMA).json(folder)
