@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zocalo.llm import cascade, mixing
+from zocalo.llm import cascade, language, mixing, packing, quality, tokens
 from zocalo.llm.frames import table
 from zocalo.llm.sql import CASCADE_SQL, MIXING_SQL
 
@@ -19,5 +20,11 @@ def over(name: str, operator: Callable[[DataFrame], DataFrame], source: str = "d
     QUERIES[name] = (lambda spark, path: operator(table(spark, path, source)), sql)
 
 
+BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+
+over("op1_pack_sequences", lambda docs: packing.pack(docs, BYTE_BPE))
+over("op2_token_counts", lambda docs: tokens.count_tokens(docs, WORD_BPE))
+QUERIES["op4_quality_classifier"] = (lambda spark, path: quality.classify_quality(table(spark, path, "documents"), table(spark, path, "labels")), None)
 over("op5_mix_sources", mixing.mix_report, sql=MIXING_SQL)
+over("op8_language_id", language.identify)
 over("op10_rule_cascade", cascade.rule_cascade, sql=CASCADE_SQL)
