@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zocalo.llm import cascade, language, mixing, packing, quality, tokens
+from zocalo.llm import cascade, language, mixing, neighbours, packing, quality, simhash, tokens
 from zocalo.llm.frames import table
 from zocalo.llm.sql import CASCADE_SQL, MIXING_SQL
 
@@ -26,5 +26,7 @@ over("op1_pack_sequences", lambda docs: packing.pack(docs, BYTE_BPE))
 over("op2_token_counts", lambda docs: tokens.count_tokens(docs, WORD_BPE))
 QUERIES["op4_quality_classifier"] = (lambda spark, path: quality.classify_quality(table(spark, path, "documents"), table(spark, path, "labels")), None)
 over("op5_mix_sources", mixing.mix_report, sql=MIXING_SQL)
+over("op6_nearest_vectors", neighbours.search, "embeddings")
+over("op7_near_duplicates", simhash.near_duplicates)
 over("op8_language_id", language.identify)
 over("op10_rule_cascade", cascade.rule_cascade, sql=CASCADE_SQL)
