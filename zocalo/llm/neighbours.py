@@ -114,7 +114,7 @@ def search(vectors: DataFrame, k: int = NEAREST, step: int = QUERY_STEP) -> Data
     queries = stored(blocks(asked.repartition(1 + asked.count() // QUERY_BLOCK), QUERY_BLOCK), "ann-queries")
     groups = max(1, candidates.count() // 4)
     right = candidates.select("dim", F.pmod(F.xxhash64("place"), F.lit(groups)).alias("cell"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-    left = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("cell"), "ids", "vectors")
+    left = queries.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("cell"), "ids", "vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[float, int]]] = {}

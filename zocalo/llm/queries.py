@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zocalo.llm import cascade, language, mixing, neighbours, packing, quality, simhash, tokens
+from zocalo.llm import cascade, language, mixing, neighbours, packing, quality, simhash, suffix_tree, tokens
 from zocalo.llm.frames import table
 from zocalo.llm.sql import CASCADE_SQL, MIXING_SQL
 
@@ -29,4 +29,5 @@ over("op5_mix_sources", mixing.mix_report, sql=MIXING_SQL)
 over("op6_nearest_vectors", neighbours.search, "embeddings")
 over("op7_near_duplicates", simhash.near_duplicates)
 over("op8_language_id", language.identify)
+over("op9_suffix_tree_scores", suffix_tree.lm_scores)
 over("op10_rule_cascade", cascade.rule_cascade, sql=CASCADE_SQL)

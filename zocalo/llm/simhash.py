@@ -25,29 +25,27 @@ SEED = 42
 #: Shingles hashed at once within a text.
 SLICE = 1 << 16
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_SPACES = "\t\n\x0b\x0c\r"
 _hash = functools.partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
-def words(text: str) -> list[str]:
-    """Runs of anything but blank and the five control characters for white space."""
-    for c in _SPACES:
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+def words(text: str) -> list[bytes]:
+    """Lower-cased (A-Z only) UTF-8 words between blanks and the five control characters for white space.
+
+    For bytes, ``lower`` and ``split`` know ASCII only, which is just that.
+    """
+    return text.encode("utf-8", "replace").lower().split()
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of the ``shingle``-word shingles, repeats included; 0 for a text without a word."""
-    w = words(text.lower() if text.isascii() else text.translate(_LOWER))
+    w = words(text)
     if not w:
         return 0
     sums, total = np.zeros(64, np.int64), max(len(w) - shingle + 1, 1)
     for a in range(0, total, SLICE):
-        part = w[a:a + SLICE + shingle - 1] if len(w) >= shingle else w
-        texts = map(" ".join, zip(*(part[k:] for k in range(shingle)))) if len(w) >= shingle else [" ".join(w)]
-        h = np.fromiter(map(_hash, texts), "<u8")
+        part = w[a:a + SLICE + shingle - 1]
+        shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
+        h = np.fromiter(map(_hash, shingles), "<u8")
         sums += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * sums > total, bitorder="little").view("<u8")[0])
 
