@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zocalo.llm import cascade, language, mixing, neighbours, packing, quality, simhash, suffix_tree, tokens
+from zocalo.llm import cascade, language, mixing, neighbours, packing, pii, quality, simhash, suffix_tree, tokens
 from zocalo.llm.frames import table
 from zocalo.llm.sql import CASCADE_SQL, MIXING_SQL
 
@@ -24,6 +25,7 @@ BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokeniz
 
 over("op1_pack_sequences", lambda docs: packing.pack(docs, BYTE_BPE))
 over("op2_token_counts", lambda docs: tokens.count_tokens(docs, WORD_BPE))
+over("op3_personal_data", pii.find_personal_data)
 QUERIES["op4_quality_classifier"] = (lambda spark, path: quality.classify_quality(table(spark, path, "documents"), table(spark, path, "labels")), None)
 over("op5_mix_sources", mixing.mix_report, sql=MIXING_SQL)
 over("op6_nearest_vectors", neighbours.search, "embeddings")
@@ -31,3 +33,4 @@ over("op7_near_duplicates", simhash.near_duplicates)
 over("op8_language_id", language.identify)
 over("op9_suffix_tree_scores", suffix_tree.lm_scores)
 over("op10_rule_cascade", cascade.rule_cascade, sql=CASCADE_SQL)
+QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
