@@ -91,7 +91,7 @@ def tile(queries: Side, candidates: Side, k: int, floor: np.ndarray) -> Iterator
     low = near - bound
     if low.shape[1] > k:
         floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
-    keep = near + bound >= floor[:, None]
+    keep = (near + bound >= floor[:, None]) & np.isfinite(near)
     for q in np.flatnonzero(keep.any(1)).tolist():
         at = np.flatnonzero(keep[q])
         # row sums, so that equal vectors get equal scores wherever they stand in a block
