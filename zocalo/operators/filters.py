@@ -14,15 +14,14 @@ ROW_CAP = 200
 
 
 def equals_all(filters: Iterable[tuple[str, object]], columns: dict[str, str] | None = None) -> Column:
-    """AND of equality filters; ``columns`` maps a field to the column holding it."""
+    """Every field must hold one of the values given for it; ``columns`` maps a field to the column holding it."""
     names = columns or {}
-    terms = []
+    wanted: dict[str, list[object]] = {}
     for field, value in filters:
         if field not in FILTER_FIELDS:
             raise ValueError(f"unknown filter field: {field}")
-        if field == "resolved":
-            value = str(value).lower() == "true"
-        terms.append(F.col(names.get(field, field)) == F.lit(value))
+        wanted.setdefault(field, []).append(str(value).lower() == "true" if field == "resolved" else value)
+    terms = [F.col(names.get(field, field)).isin(values) for field, values in wanted.items()]
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 

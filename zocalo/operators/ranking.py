@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, value: str, key: str, descending: bool = True, top: int | None = None) -> DataFrame:
-    """Order by ``value`` with ``key`` as tie-break; ``top`` turns it into a top-k."""
+def ranked(df: DataFrame, value: str, keys: list[str], descending: bool = True, top: int | None = None) -> DataFrame:
+    """Order by ``value`` with ``keys`` as tie-break; ``top`` turns it into a top-k."""
     first = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    ordered = df.orderBy(first, F.col(key).asc())
-    return ordered.limit(top) if top else ordered
+    ordered = df.orderBy(first, *[F.col(k).asc() for k in keys])
+    return ordered.limit(top) if top is not None else ordered
 
 
-def nearest_average(df: DataFrame, value: str, key: str, top: int | None = None) -> DataFrame:
+def nearest_average(df: DataFrame, value: str, keys: list[str], top: int | None = None) -> DataFrame:
     """Order by the distance of ``value`` to its average over all rows.
 
     The average is a one-row aggregate joined back, so no window pulls every row
@@ -23,7 +23,7 @@ def nearest_average(df: DataFrame, value: str, key: str, top: int | None = None)
     spread = (df.join(F.broadcast(average))  # one row by construction
               .withColumn("distance_to_average", F.round(F.abs(F.col(value).cast("double") - F.col("_avg")), 6))
               .drop("_avg"))
-    return ranked(spread, "distance_to_average", key, descending=False, top=top)
+    return ranked(spread, "distance_to_average", keys, descending=False, top=top)
 
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[str], payload: list[str]) -> DataFrame:

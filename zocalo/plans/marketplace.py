@@ -212,7 +212,7 @@ class Marketplace:
     def tickets(self) -> DataFrame:
         event = F.col("event_id")
         return self.raw("events").filter(F.col("event_type") == "error").select(
-            event.alias("ticket_id"), F.col("user_id").alias("customer_id"), F.col("ts").alias("created_at"),
+            event.alias("ticket_id"), event.alias("order_id"), F.col("user_id").alias("customer_id"), F.col("ts").alias("created_at"),
             pick(TICKET_CATEGORIES, event).alias("category"),
             pick(TICKET_PRIORITIES, F.col("user_id")).alias("priority"),
             money("value").alias("resolution_time_hr"),
@@ -222,7 +222,7 @@ class Marketplace:
     def incidents(self) -> DataFrame:
         event = F.col("event_id")
         return self.raw("events").filter(F.col("event_type") == "click").select(
-            event.alias("incident_id"),
+            event.alias("incident_id"), event.alias("order_id"),
             pick(INCIDENT_TYPES, F.col("user_id")).alias("incident_type"),
             F.col("ts").alias("reported_date"),
             F.when(event % 5 != 0, F.expr("ts + make_dt_interval(CAST(1 + event_id % 30 AS INT))")).alias("resolved_date"),

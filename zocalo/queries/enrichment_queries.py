@@ -111,9 +111,7 @@ SELECT customer_state AS state, date_trunc('month', order_purchase_timestamp) AS
 FROM m_items JOIN m_orders USING (order_id) JOIN m_customers USING (customer_id) GROUP BY 1, 2""")
 def _(m):
     keys = ("state", "month")
-    revenue = metric_query(m, MetricSpec("revenue", group_by=keys))
-    freight = metric_query(m, MetricSpec("freight_value", group_by=keys))
-    return as_double(revenue.join(freight, list(keys)), "revenue", "freight_value")
+    return as_double(metric_query(m, MetricSpec(("revenue", "freight_value"), group_by=keys)), "revenue", "freight_value")
 
 
 @query("J07_join_fk_anti", """
@@ -195,7 +193,7 @@ def _(m):
 @query("T06_srt_top_k_by_weight", """
 SELECT order_id, CAST(order_total AS DOUBLE) AS weight FROM m_orders ORDER BY order_total DESC, order_id LIMIT 500""")
 def _(m):
-    top = ranking.ranked(m.orders().select("order_id", "order_total"), "order_total", "order_id", top=500)
+    top = ranking.ranked(m.orders().select("order_id", "order_total"), "order_total", ["order_id"], top=500)
     return top.select("order_id", F.col("order_total").cast("double").alias("weight"))
 
 

@@ -187,9 +187,7 @@ def _(m):
 SELECT date_trunc('month', return_date) AS month, count(*) AS returns_count, round(CAST(sum(refund_amount) AS DOUBLE), 4) AS refund_amount
 FROM m_returns GROUP BY 1""")
 def _(m):
-    counts = metric_query(m, MetricSpec("returns_count", group_by=("month",)))
-    refunds = metric_query(m, MetricSpec("refund_amount", group_by=("month",)))
-    return as_double(counts.join(refunds, "month"), "refund_amount")
+    return as_double(metric_query(m, MetricSpec(("returns_count", "refund_amount"), group_by=("month",))), "refund_amount")
 
 
 @query("A08_met_incidents", """
@@ -221,6 +219,42 @@ def _(m):
         F.round(change, 4).alias("avg_price_change"), F.round(F.sum("new_price").cast("double") / n, 4).alias("price"))
 
 
+@query("A05b_met_review_score_by_category", """
+SELECT category, round(avg(review_score), 4) AS review_score FROM m_reviews JOIN (
+  SELECT DISTINCT order_id, coalesce(product_category_name_english, p.product_category_name) AS category
+  FROM m_items JOIN m_products p USING (product_id) LEFT JOIN m_translation t ON p.product_category_name = t.product_category_name) USING (order_id)
+GROUP BY category""")
+def _(m):
+    return as_double(metric_query(m, MetricSpec("review_score", group_by=("category",))), "review_score")
+
+
+@query("A08b_met_incidents_by_state", """
+SELECT customer_state AS state, count(*) AS incidents_count, round(CAST(sum(compensation_value) AS DOUBLE), 4) AS compensation_value
+FROM m_incidents JOIN m_orders USING (order_id) JOIN m_customers USING (customer_id) GROUP BY customer_state""")
+def _(m):
+    return as_double(metric_query(m, MetricSpec(("incidents_count", "compensation_value"), group_by=("state",))), "compensation_value")
+
+
+@query("A09b_met_ticket_count_sum", """
+SELECT seller_id AS seller, count(*) AS ticket_count FROM m_tickets JOIN (SELECT DISTINCT order_id, seller_id FROM m_items) USING (order_id)
+GROUP BY seller_id""")
+def _(m):
+    return metric_query(m, MetricSpec("ticket_count", "sum", group_by=("seller",)))
+
+
+@query("A01b_met_revenue_two_states", """
+SELECT customer_state AS state, round(CAST(sum(price) AS DOUBLE), 4) AS revenue
+FROM m_items JOIN m_orders USING (order_id) JOIN m_customers USING (customer_id) WHERE customer_state IN ('NATION_1', 'NATION_2') GROUP BY 1""")
+def _(m):
+    return as_double(metric_query(m, MetricSpec("revenue", group_by=("state",), filters=(("state", "NATION_1"), ("state", "NATION_2")))), "revenue")
+
+
+@query("A13b_op_average_of_counts", """
+SELECT avg(n) AS order_count FROM (SELECT date_trunc('month', order_purchase_timestamp) AS month, count(DISTINCT order_id) AS n FROM m_orders GROUP BY 1)""")
+def _(m):
+    return metric_query(m, MetricSpec("order_count", "average", group_by=("month",)))
+
+
 @query("A11_op_count", """
 SELECT count(*) AS ticket_count FROM m_tickets WHERE priority = 'critica' AND NOT resolved""")
 def _(m):
@@ -271,7 +305,7 @@ SELECT order_id, product_id, seller_id, return_reason, return_date, CAST(refund_
 FROM m_returns WHERE return_date >= TIMESTAMP '1999-01-01' AND return_date < TIMESTAMP '1999-02-01'
 ORDER BY order_id, product_id, seller_id, return_reason, return_date, refund_amount, refund_method LIMIT 200""")
 def _(m):
-    return as_double(metric_query(m, MetricSpec("refund_amount", "detail", date_range=("1999-01-01", "1999-01-31"))), "refund_amount")
+    return as_double(metric_query(m, MetricSpec("refund_amount", "detail", date_range=("1999-01-01", "1999-01-31"), top=200)), "refund_amount")
 
 
 @query("A17_grp_month", """

@@ -114,12 +114,12 @@ SELECT 'pr-' || l_partkey || '-' || l_suppkey || '-' || k AS promotion_id, l_par
        20 + (l_partkey * 7 + l_suppkey) % 100 AS units_sold_during
 FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) CROSS JOIN (SELECT unnest([0, 1]) AS k)""")
 view("m_tickets", f"""
-SELECT event_id AS ticket_id, user_id AS customer_id, ts AS created_at, {sql_pick(mk.TICKET_CATEGORIES, 'event_id')} AS category,
+SELECT event_id AS ticket_id, event_id AS order_id, user_id AS customer_id, ts AS created_at, {sql_pick(mk.TICKET_CATEGORIES, 'event_id')} AS category,
        {sql_pick(mk.TICKET_PRIORITIES, 'user_id')} AS priority, CAST(value AS DECIMAL(12,2)) AS resolution_time_hr,
        CASE WHEN event_id % 13 <> 0 THEN CAST(1 + event_id % 5 AS INTEGER) END AS satisfaction_score, value > 20 AS resolved
 FROM events WHERE event_type = 'error'""")
 view("m_incidents", f"""
-SELECT event_id AS incident_id, {sql_pick(mk.INCIDENT_TYPES, 'user_id')} AS incident_type, ts AS reported_date,
+SELECT event_id AS incident_id, event_id AS order_id, {sql_pick(mk.INCIDENT_TYPES, 'user_id')} AS incident_type, ts AS reported_date,
        CASE WHEN event_id % 5 <> 0 THEN ts + to_days(CAST(1 + event_id % 30 AS INTEGER)) END AS resolved_date,
        {sql_pick(mk.RESOLUTION_TYPES, 'event_id')} AS resolution_type, CAST(value AS DECIMAL(12,2)) AS compensation_value
 FROM events WHERE event_type = 'click'""")
