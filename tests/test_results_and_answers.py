@@ -101,6 +101,22 @@ def test_catalogue_and_bank_files(spark, tmp_path):
 def test_store_keeps_versions(spark):
     store = sinks.MemoryStore(spark, run_dir(spark, "store"))
     assert store.read() is None
-    assert store.write(spark.range(3), 0) and store.write(spark.range(5), 1)
-    assert not store.write(spark.range(9), 1)
-    assert store.read().count() == 5
+    assert store.write(spark.range(3)) == 0 and store.write(spark.range(5), 4) == 4
+    for taken in (4, 1):
+        with pytest.raises(ValueError):
+            store.write(spark.range(9), taken)
+    assert store.read().count() == 5 and store.write(spark.range(2)) == 5
+
+
+def test_csv_keeps_quotes_breaks_nulls_and_empty_text(spark):
+    folder = run_dir(spark, "csv")
+    texts = ['say "hi", now', "two\nlines", "", None, "back\\slash", '"', "a,b", " x "]
+    rows = list(enumerate(texts))
+    sinks.write_csv_tables({"t": spark.createDataFrame(rows, "id int, text string")}, folder)
+    assert sorted(map(tuple, readers.csv_table(spark, f"{folder}/t", "id int, text string").collect())) == rows
+
+
+def test_csv_of_other_writers(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,text\n1,"a ""b"" c"\n2,"x\ny"\n3,\n4,""\n', encoding="utf-8")
+    got = readers.csv_table(spark, str(tmp_path / "t.csv"), "id int, text string").orderBy("id").collect()
+    assert [r["text"] for r in got] == ['a "b" c', "x\ny", None, ""]

@@ -88,10 +88,20 @@ def merge(batch: DataFrame, seq: list[str], store: DataFrame | None = None) -> D
     associative: late batches, any partitioning and any grouping give the same
     store.  Copies of a hot fingerprint collapse before the shuffle.
     """
-    order = F.struct(*seq)
-    rows = batch.withColumns({"authority_seq": order, "latest_seq": order, "first_seq": order})
+    rows = sequenced(batch, seq)
     if store is not None:
         rows = rows.unionByName(store, allowMissingColumns=True)
+    return folded(rows)
+
+
+def sequenced(batch: DataFrame, seq: list[str]) -> DataFrame:
+    """Records with the place of their event."""
+    order = F.struct(*seq)
+    return batch.withColumns({"authority_seq": order, "latest_seq": order, "first_seq": order})
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """Any mix of sequenced records and merged rows as one row per fingerprint."""
     merged = rows.groupBy("fingerprint").agg(
         F.max_by(F.struct(*AUTHORITATIVE, "authority_seq"), F.struct("validated", "authority_seq")).alias("_a"),
         F.max_by(F.struct(*DESCRIPTIVE, "updated_at", "latest_seq"), F.col("latest_seq")).alias("_d"),
@@ -186,10 +196,8 @@ def search_compatible(queries: DataFrame, memories: DataFrame, n: int, threshold
 def inspect(queries: DataFrame, memories: DataFrame, n: int, threshold: float = INSPECTION_THRESHOLD,
             validated: bool | None = None, metric: str = "l2sq") -> DataFrame:
     """Free search for inspection: nearest candidates within the threshold, usage not recorded."""
-    k = min(max(3 * n, 10), 100)
-    found = nearest(queries, memories, k, "query_id", "memory_id", metric=metric).filter(F.col("distance") <= threshold)
-    if validated is not None:
-        found = found.join(memories.filter(F.col("validated") == validated).select("memory_id"), "memory_id", "left_semi")
+    pool = memories if validated is None else memories.filter(F.col("validated") == validated)
+    found = nearest(queries, pool, n, "query_id", "memory_id", metric=metric).filter(F.col("distance") <= threshold)
     return top_n_per_key(found.withColumnRenamed("position", "_place"), ["query_id"], [F.col("_place")], n).drop("_place")
 
 

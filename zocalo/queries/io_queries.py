@@ -22,14 +22,14 @@ ORDER_SCHEMA = "order_id bigint, customer_id bigint, order_status string, purcha
 def order_rows(m):
     o = F.col("order_id")
     purchased = F.when(o % 9 == 0, "not a date").otherwise(F.date_format("order_purchase_timestamp", "yyyy-MM-dd HH:mm:ss"))
-    return m.orders().select("order_id", "customer_id", "order_status", purchased.alias("purchased"), F.concat(F.lit('línea "'), o.cast("string"), F.lit('", ok')).alias("note"))
+    return m.orders().select("order_id", "customer_id", "order_status", purchased.alias("purchased"), F.concat(F.lit('línea "'), o.cast("string"), F.lit('", ok,\n"" fin')).alias("note"))
 
 
-@query("S01_src_csv_tables", "SELECT order_id, order_status, 'línea \"' || order_id || '\", ok' AS note FROM m_orders")
+@query("S01_src_csv_tables", "SELECT order_id, order_status, 'línea \"' || order_id || '\", ok,' || chr(10) || '\"\" fin' AS note FROM m_orders")
 def _(m):
     folder = run_dir(m.spark, "csv")
     sinks.write_csv_tables({"orders": order_rows(m)}, folder)
-    return readers.csv_table(m.spark, f"{folder}/orders", ORDER_SCHEMA, ["order_id", "order_status", "note"]).withColumn("note", F.replace("note", F.lit("\\"), F.lit("")))
+    return readers.csv_table(m.spark, f"{folder}/orders", ORDER_SCHEMA, ["order_id", "order_status", "note"])
 
 
 @query("S02_src_lenient_timestamps", "SELECT order_id, CASE WHEN order_id % 9 <> 0 THEN order_purchase_timestamp END AS purchased_at FROM m_orders")
@@ -97,12 +97,17 @@ def _(m):
     return sized(memories.filter(F.col("status") == "success"), "memory").unionByName(sized(cases.filter(F.size("group_by") == 0), "case"))
 
 
-@query("S07_sink_csv_tables", "SELECT 'carriers' AS name, count(*) AS n FROM m_carriers UNION ALL SELECT 'promotions', count(*) FROM m_promotions")
+@query("S07_sink_csv_tables", """
+SELECT carrier_id, carrier_name, carrier_type, coverage_regions, on_time_rate,
+       CASE carrier_id % 3 WHEN 0 THEN 'a "b", c' || chr(10) || carrier_name WHEN 1 THEN coverage_regions END AS remark FROM m_carriers""")
 def _(m):
+    k = F.col("carrier_id")
+    remark = F.when(k % 3 == 0, F.concat(F.lit('a "b", c\n'), "carrier_name")).when(k % 3 == 1, F.col("coverage_regions"))
     folder = run_dir(m.spark, "tables")
-    sinks.write_csv_tables({"carriers": m.carriers(), "promotions": m.promotions()}, folder)
-    counted = lambda name: m.spark.read.option("header", True).csv(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name))
-    return counted("carriers").unionByName(counted("promotions"))
+    carriers = m.carriers().withColumn("remark", remark)
+    sinks.write_csv_tables({"carriers": carriers, "promotions": m.promotions()}, folder)
+    return readers.csv_table(m.spark, f"{folder}/carriers", "carrier_id bigint, carrier_name string, carrier_type string, coverage_regions string, "
+                             "on_time_rate double, remark string")
 
 
 @query("S08_sink_json_report", "SELECT order_id, 'Línea ñ ' || order_status AS note, CASE WHEN order_id % 2 = 0 THEN 'x' END AS maybe FROM m_orders")
@@ -122,14 +127,12 @@ def _(m):
     return sinks.refreshed_lines(lines, new)
 
 
-@query("S10_sink_memory_snapshot", """
-SELECT order_status, count(*) AS n, CAST(sum(order_total) AS DOUBLE) AS total FROM m_orders GROUP BY order_status""")
+@query("S10_sink_memory_snapshot", "SELECT order_id, order_status, CAST(order_total AS DOUBLE) AS order_total FROM m_orders")
 def _(m):
     store = sinks.MemoryStore(m.spark, run_dir(m.spark, "store"))
     store.write(m.orders().limit(0), 0)
-    store.write(m.orders(), 1)
-    store.write(m.orders().limit(0), 1)  # an existing version stays as it is
-    return store.read().groupBy("order_status").agg(F.count(F.lit(1)).alias("n"), F.sum("order_total").cast("double").alias("total"))
+    store.write(m.orders())
+    return store.read().select("order_id", "order_status", F.col("order_total").cast("double"))
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -159,9 +162,9 @@ def _(m):
     records(m).repartition(3).write.parquet(folder)
     stream = streaming.file_stream(m.spark, folder, "*.parquet", files_per_batch=1)
     work = run_dir(m.spark, "merge")
-    store = sinks.MemoryStore(m.spark, f"{work}/store")
-    streaming.merge_into_store(stream, store, work, ["seq"])
-    return merged_flat(store.read())
+    log = sinks.BatchLog(m.spark, f"{work}/log")
+    streaming.merge_into_log(stream, log, work, ["seq"])
+    return merged_flat(streaming.merged_log(log))
 
 
 @query("ST4_st_usage_counters", "SELECT memory_id, count(DISTINCT query_id) AS retrieval_count FROM m_near WHERE position <= 4 GROUP BY memory_id")
@@ -169,8 +172,6 @@ def _(m):
     hits = near(m, 4).select(F.col("query_id").alias("call_id"), "memory_id", F.expr("timestamp_seconds(1704067200 + query_id)").alias("at"))
     stream = stored(m, "hits", hits.unionByName(hits))
     work = run_dir(m.spark, "usage")
-    counted = streaming.usage_counts(stream, "at")
-    latest = sinks.MemoryStore(m.spark, f"{work}/store")
-    (counted.writeStream.outputMode("complete").foreachBatch(lambda batch, batch_id: latest.write(batch, batch_id))
-     .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination())
-    return latest.read()
+    log = sinks.BatchLog(m.spark, f"{work}/log")
+    streaming.log_usage(stream, log, work)
+    return streaming.usage_counts(log)

@@ -21,8 +21,9 @@ cases array<struct<id: string, category: string, question: string, {RECORD_FIELD
 
 
 def csv_table(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
-    """A CSV folder with header; only ``columns`` are parsed."""
-    df = spark.read.schema(schema).option("header", True).csv(path)
+    """A CSV folder with header; quotes are doubled within quotes and a quoted field may hold line breaks (RFC 4180)."""
+    # Spark takes a field that reads like nullValue for null; one that no text has leaves quoted empty fields as they are.
+    df = spark.read.schema(schema).options(header=True, escape='"', multiLine=True, nullValue="\0", emptyValue="").csv(path)
     return df.select(*columns) if columns else df
 
 

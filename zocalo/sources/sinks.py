@@ -10,9 +10,12 @@ POINTER = StructType([StructField("version", LongType()), StructField("path", St
 
 
 def write_csv_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """One CSV folder with header per table."""
+    """One CSV folder with header per table, quotes doubled within quotes (RFC 4180).
+
+    Empty text is written as two quotes and null as nothing, so the two stay apart.
+    """
     for name, df in tables.items():
-        df.write.mode("errorifexists").option("header", True).csv(f"{folder}/{name}")
+        df.write.mode("errorifexists").options(header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/{name}")
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
@@ -53,12 +56,35 @@ class MemoryStore:
         _, path = self.current()
         return self.spark.read.parquet(path) if path else None
 
-    def write(self, df: DataFrame, version: int) -> bool:
-        """Write ``df`` as ``version``; does nothing if that version already exists."""
-        if self.current()[0] >= version:
-            return False
+    def write(self, df: DataFrame, version: int | None = None) -> int:
+        """Write ``df`` as ``version``, the next one unless given, and return it.
+
+        A version at or below the current one is another writer's, so it is an error, never a silent loss.
+        """
+        current = self.current()[0]
+        version = current + 1 if version is None else version
+        if version <= current:
+            raise ValueError(f"version {version} of {self.folder} exists already; the current one is {current}")
         path = f"{self.folder}/data/v{version}"
         df.write.mode("overwrite").parquet(path)  # only leftovers of a failed attempt can be there
         pointer = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(path).alias("path"))
         pointer.coalesce(1).write.mode("overwrite").json(f"{self.folder}/pointers/v{version}")
-        return True
+        return version
+
+
+class BatchLog:
+    """Rows of micro-batches in a shared folder, one part for each (stream, batch).
+
+    A batch that is run again replaces its own part, and a stream with another checkpoint has other parts, so no
+    batch is lost or kept twice. A batch costs a write of its own size; what the parts add up to is for the reader to say.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder.rstrip("/")
+
+    def write(self, df: DataFrame, stream: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.folder}/stream_id={stream}/batch_no={batch}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.folder).drop("stream_id", "batch_no")

@@ -1,4 +1,4 @@
 """Structured Streaming versions of the online jobs."""
 
-from zocalo.streaming.jobs import (file_stream, merge_into_store, redacted, run_to_end, structured,  # noqa: F401
-                                   usage_counts)
+from zocalo.streaming.jobs import (file_stream, log_usage, merge_into_log, merged_log, redacted, run_to_end,  # noqa: F401
+                                   structured, usage_counts)

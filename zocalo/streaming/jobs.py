@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from zocalo.functions.redaction import redact
 from zocalo.operators import memory, structuring
-from zocalo.sources.sinks import MemoryStore
+from zocalo.sources.sinks import BatchLog
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int = 1000) -> DataFrame:
@@ -39,25 +39,36 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFram
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def merge_into_store(records: DataFrame, store: MemoryStore, folder: str, seq: list[str]) -> None:
-    """Merge each micro-batch of memory records into the store, once per batch id.
+def _logged(stream: DataFrame, log: BatchLog, folder: str, reduce) -> None:
+    """``reduce`` of each micro-batch into the log, under the id that Spark keeps in the stream's checkpoint."""
+    checkpoint = f"{folder}/checkpoint"
 
-    The snapshot number is the batch id, so a batch that is run again after a
-    failure finds its snapshot in place and changes nothing.
-    """
-    def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        if store.current()[0] < batch_id:
-            store.write(memory.merge(batch, seq, store.read()), batch_id)
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        named = log.spark.read.json(f"{checkpoint}/metadata").first()
+        log.write(reduce(batch), named["id"], batch_id)
 
-    (records.writeStream.foreachBatch(merge_batch).option("checkpointLocation", f"{folder}/checkpoint")
+    (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def usage_counts(hits: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
-    """Running retrieval count per memory; a memory counts once per call.
+def merge_into_log(records: DataFrame, log: BatchLog, folder: str, seq: list[str]) -> None:
+    """Merge each micro-batch of memory records by itself and add it to the log.
 
-    Repeats of a call within the watermark delay are dropped, so state stays
-    bounded by the calls of that period plus one counter per memory.
+    Merging is associative, so ``merged_log`` gives the same store whatever the triggers, retries and checkpoints were.
     """
-    once = hits.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["call_id", "memory_id"])
-    return once.groupBy("memory_id").agg(F.count(F.lit(1)).alias("retrieval_count"))
+    _logged(records, log, folder, lambda batch: memory.merge(batch, seq))
+
+
+def merged_log(log: BatchLog) -> DataFrame:
+    """The store: all merged micro-batches as one row per fingerprint."""
+    return memory.folded(log.read())
+
+
+def log_usage(hits: DataFrame, log: BatchLog, folder: str) -> None:
+    """Add the (call, memory) pairs of each micro-batch to the log."""
+    _logged(hits, log, folder, lambda batch: batch.select("call_id", "memory_id").distinct())
+
+
+def usage_counts(log: BatchLog) -> DataFrame:
+    """Retrievals per memory; a memory counts once per call, however often and late the call was reported."""
+    return log.read().distinct().groupBy("memory_id").agg(F.count(F.lit(1)).alias("retrieval_count"))
