@@ -145,6 +145,14 @@ def test_runs_and_chunks_equal_whole_encoding(docs):
         assert tokens.chunked_count(counts.tokenizer, text, 37, 5) == n
 
 
+def test_runs_equal_whole_encoding_without_the_twin(docs):
+    ids = pieces.ByteBpeIds(BPE)
+    assert ids.twin is not None
+    ids.twin = None
+    for text in [t for _, t in texts_of(docs)[:80]] + ODD_TEXTS:
+        assert np.frombuffer(ids.ids(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_chunks_widen_where_nothing_is_stable():
     tokenizer = pieces.load(WORD_BPE)
     text = "start " + "abc" * 400 + " end"

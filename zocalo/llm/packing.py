@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from zocalo.llm.frames import exact
-from zocalo.llm.pieces import ByteBpeIds
+from zocalo.llm.pieces import byte_bpe
 
 WINDOW = 2048
 END_ID = 1
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteBpeIds(tokenizer_path)
+        encoder = byte_bpe(tokenizer_path)
         packer = Packer(*token_marks(encoder.tokenizer), TaskContext.get().partitionId(), window)
         end = np.asarray([END_ID], "<u4")
 

@@ -42,17 +42,52 @@ class Memo(dict):
         return value
 
 
+#: Letters and digits that every library classes alike, whatever its Unicode version.
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+#: How byte-level tokenizers cut a text before merging: a fixed value of the pre-tokenizer.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_values() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def merge_twin(tokenizer):
+    """The same vocabulary and merges for the faster merging library, or None where merges do not stand in the order of ids.
+
+    It merges by id, so it gives the same ids exactly if the i-th merge makes the i-th id after the 256 bytes.
+    """
+    import json
+
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())["model"]
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(model["vocab"].get(token) != 256 + i for i, token in enumerate(made)):
+        return None
+    value = byte_values()
+    special = set(tokenizer.get_added_tokens_decoder())
+    ranks = {bytes(value[c] for c in token): i for token, i in model["vocab"].items() if i not in special}
+    return tiktoken.Encoding("twin", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class ByteBpeIds:
     """Ids of a byte-level BPE tokenizer whose pre-tokenizer puts one blank before a word and cuts at white space.
 
     After a non-space character, one blank or line feed and the non-space characters behind it are cut off from the
     rest whatever stands around them, so the ids of a text are those of its runs in turn. Runs repeat, so their ids are
-    remembered. Texts with several or unusual spaces in a row are encoded whole.
+    remembered. Texts with several or unusual spaces in a row are encoded whole. Texts up to Latin letters and without a
+    special string go to a twin of the tokenizer that gives the same ids in a third of the time, where there is one.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
         self.tokenizer = load(path)
         self.memo = Memo(self._make, limit)
+        self.twin = merge_twin(self.tokenizer)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -71,6 +106,8 @@ class ByteBpeIds:
         """Little-endian unsigned 32-bit ids of ``text``."""
         if not text:
             return b""
+        if self.twin and not BEYOND_LATIN.search(text) and not any(s in text for s in self.special):
+            return np.asarray(self.twin.encode_ordinary(text), "<u4").tobytes()
         if ODD_SPACE.search(text) or DOUBLE_SPACE.search(text) or "\0" in text:
             return self._encode(text)
         keys = text.replace("\n", " \n").split(" ")
@@ -97,3 +134,14 @@ class RunTokenCounts:
         # str.split() also cuts at characters that the tokenizer may take for marks or spaces within a run
         runs = self.BREAKS.split(text) if self.SPLIT_ELSEWHERE.search(text) else text.split()
         return sum(map(self.memo.__getitem__, runs))
+
+
+@lru_cache(maxsize=2)
+def byte_bpe(path: str) -> ByteBpeIds:
+    """One for all tasks of a worker, so that what it remembers is of use to the next task."""
+    return ByteBpeIds(path)
+
+
+@lru_cache(maxsize=2)
+def run_counts(path: str) -> RunTokenCounts:
+    return RunTokenCounts(path)
