@@ -120,3 +120,14 @@ def test_csv_of_other_writers(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,text\n1,"a ""b"" c"\n2,"x\ny"\n3,\n4,""\n', encoding="utf-8")
     got = readers.csv_table(spark, str(tmp_path / "t.csv"), "id int, text string").orderBy("id").collect()
     assert [r["text"] for r in got] == ['a "b" c', "x\ny", None, ""]
+
+
+def test_result_matching_of_many_rows(spark):
+    n = 5000
+    cases = spark.createDataFrame([(1, 0.01), (2, 0.01)], "case_id int, tolerance double")
+    expected = spark.range(n).selectExpr("explode(array(1, 2)) AS case_id", "id AS row_no", "array(cast(id AS string), concat('name ', id % 50)) AS v")
+    actual = spark.range(n).selectExpr("explode(array(1, 2)) AS case_id", "id AS row_no",
+                                       "array(concat('NAME ', (4999 - id) % 50), cast(4999 - id + IF(case_id = 2 AND id = 7, 3000.5, 0.004) AS string)) AS v")
+    long = lambda df: df.selectExpr("case_id", "row_no", "posexplode(v) AS (pos, value)")
+    got = evaluation.result_facts(cases, long(actual), long(expected)).collect()
+    assert {r["case_id"]: r["matched"] for r in got} == {1: True, 2: False}

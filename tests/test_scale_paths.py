@@ -136,3 +136,35 @@ def test_metric_layer_counts_orders_once_and_rejects_unknown(spark):
     assert rows(by_seller) == rows(distinct)
     with pytest.raises(ValueError):
         metric_query(m, MetricSpec("profit"))
+
+
+def test_rows_without_a_key_match_no_event(spark):
+    left = spark.createDataFrame([(1, None, "2024-01-02"), (2, "a", "2024-01-02"), (3, "a", None)], "id int, k string, t string").withColumn(
+        "t", F.col("t").cast("timestamp_ntz"))
+    right = spark.createDataFrame([("e1", None, "2024-01-01"), ("e2", "a", "2024-01-01")], "ev string, k string, t2 string").withColumn(
+        "t2", F.col("t2").cast("timestamp_ntz"))
+    got = ordered.asof_backward(left, right, ["k"], "t", "t2", "ev")
+    assert rows(got.select("id", "ev")) == [(1, None), (2, "e2"), (3, None)]
+
+
+def test_null_and_zero_vectors(spark):
+    docs = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, None)], "doc int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "q int, embedding array<double>")
+    got = retrieval.nearest(asked, docs, 2, "q", "doc", metric="cosine").select("q", "doc", "distance")
+    assert rows(got) == [(1, 1, 1.0), (1, 2, 0.0), (2, 1, 1.0), (2, 2, 1.0)]
+    assert rows(retrieval.nearest(asked, docs, 2, "q", "doc", metric="cosine", within=0.5).select("q", "doc")) == [(1, 2)]
+
+
+def test_masks_hold_for_values_of_any_list(spark):
+    docs = spark.createDataFrame([(1, [1.0], ["own", "x"]), (2, [1.1], ["x"]), (3, [1.2], []), (4, [9.0], ["own"])], "doc int, embedding array<double>, m array<string>")
+    asked = spark.createDataFrame([(1, [1.0], ["own"]), (2, [1.0], []), (3, [1.0], ["nowhere"])], "q int, embedding array<double>, m array<string>")
+    got = retrieval.nearest(asked, docs, 2, "q", "doc", mask="m").select("q", "doc")
+    assert rows(got) == [(1, 1), (1, 4), (2, 1), (2, 2)]
+
+
+def test_orders_stay_without_carriers(spark):
+    orders = spark.createDataFrame([(1, "a"), (2, "b")], "order_id int, region string")
+    carriers = spark.createDataFrame([], "carrier_id int")
+    coverage = spark.createDataFrame([], "region string, carrier_id int")
+    got = sampling.assign_by_region(orders, coverage, carriers, "order_id", "region", "s")
+    assert rows(got.select("order_id", "carrier_id")) == [(1, None), (2, None)]

@@ -60,3 +60,20 @@ def test_accents_native_and_any_script(spark):
     rows = df.collect()
     assert [r["native"] for r in rows] == [r["exact"] for r in rows]
     assert rows[0]["form"] == "sao paulo nandu" and rows[2]["form"] == "strasse ce"
+
+
+def test_rule_terms_of_any_length_and_with_marks(spark):
+    terms = ["pre-venta", "uno dos tres cuatro cinco seis", "a/b", "c"]
+    own = [rules.Rule(f"r{i}", [t], [], [], [], "") for i, t in enumerate(terms)]
+    texts = ["La Pre-Venta hoy", "pre - venta", "preventa", "uno dos tres cuatro cinco seis", "uno dos tres cuatro cinco", "es a/b, c", "-c-", "c", "a / b", "¿c?"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    joined = {(r["k"], r["rule_id"]) for r in rules.tag_texts(df, "k", "t", rules.term_table(spark, own)).collect()}
+    folded = df.select("k", F.explode(rules.fired_rules(rules.matching_form(F.col("t")), own)).alias("rule_id"))
+    assert joined == {(r["k"], r["rule_id"]) for r in folded.collect()} and (0, "r0") in joined and (3, "r1") in joined
+
+
+def test_folding_of_other_scripts_and_long_labels(spark):
+    from zocalo.functions.labels import column_label
+    row = spark.createDataFrame([("ＡＢＣ ガ हि̃", "x" * 1500)], "x string, y string").select(
+        text.fold(F.col("x")).alias("native"), text.fold_any_script("x").alias("exact"), F.length(column_label(F.col("y"))).alias("n")).first()
+    assert row["native"] == row["exact"] and row["n"] == 1500

@@ -137,7 +137,7 @@ def _lookup(values: dict[str, str], key: Column) -> Column:
 
 
 def _capital(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1000))
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
 
 
 def column_label(key: Column) -> Column:

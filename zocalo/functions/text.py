@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Code points the native accent folding covers: Latin, Greek, Cyrillic, combining
-# marks, extended Latin, punctuation and letter-like symbols.
-FOLDED_RANGES = ((0x80, 0x530), (0x1D00, 0x2190))
+# Code points the native accent folding covers one to one: every script of the basic plane. Those that decompose into
+# several characters are covered in the second list; Hangul syllables and squared or ligature forms beyond it are not.
+FOLDED_RANGES = ((0x80, 0x2E80), (0x3000, 0x3200), (0xA640, 0xAC00), (0xF900, 0x10000))
 EXPANDED_RANGES = ((0x80, 0x250), (0xFB00, 0xFB07), (0x2026, 0x2027), (0x2122, 0x2123))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from itertools import groupby
 from typing import NamedTuple
 
@@ -14,7 +15,6 @@ from zocalo.functions.numbers import ANSWER_NUMBER, MONTH, UUID, number_from_tex
 from zocalo.functions.sets import name_set, split_names
 from zocalo.functions.sqltext import read_only
 from zocalo.functions.text import casefold, compare_form
-from zocalo.operators.filters import ROW_CAP
 
 # Classes of a reference validation, thresholds of the sweep.
 CLASSES = ["correct", "golden_set_outdated", "reference_sql_error"]
@@ -77,31 +77,79 @@ def _rows_of(pdf: pd.DataFrame) -> list[list[_Value]]:
     return [list(row) for _, row in groupby(values, key=lambda v: v.row_no)]
 
 
+def _places(value: _Value, width: float) -> list[tuple]:
+    """Where an actual value is filed: any expected value that it may equal looks in one of these places."""
+    if value.raw is None:
+        return [("null",)]
+    places = [("form", value.form), ("month", (value.trimmed or "")[:7])]
+    if not math.isnan(value.number):
+        places.append(("number", math.floor(value.number / width) if math.isfinite(value.number) else value.number))
+    if value.uuid is not None:
+        places.append(("uuid", value.uuid))
+    return places
+
+
+def _looks(value: _Value, width: float) -> list[tuple]:
+    if value.raw is None:
+        return [("null",)]
+    places = [("month", (value.trimmed or "")[:7])] if value.month else [("form", value.form)]
+    if not math.isnan(value.number):
+        near = math.floor(value.number / width) if math.isfinite(value.number) else None
+        places += [("number", value.number)] if near is None else [("number", near + d) for d in (-1, 0, 1)]
+    if value.uuid is not None:
+        places.append(("uuid", value.uuid))
+    return places
+
+
 def _greedy_match(key: tuple, actual: pd.DataFrame, expected: pd.DataFrame) -> pd.DataFrame:
+    """First fit in row order, as defined; each expected row looks only at actual rows that may hold its rarest value."""
     case_id, tolerance = key
-    left = _rows_of(actual)
+    width = tolerance + 1e-8  # wider than any difference that still counts as equal
+    rows = _rows_of(actual)
+    filed: dict[tuple, list[int]] = defaultdict(list)
+    for n, row in enumerate(rows):
+        for place in {p for value in row for p in _places(value, width)}:
+            filed[place].append(n)
+    taken = [False] * len(rows)
+    first: dict[tuple, int] = {}  # rows of a place before this one are all taken
+
+    def candidates(place: tuple) -> list[int]:
+        own, start = filed[place], first.get(place, 0)
+        while start < len(own) and taken[own[start]]:
+            start += 1
+        first[place] = start
+        return own[start:]
 
     def holds(row: list[_Value], wanted: list[_Value]) -> bool:
         values = list(row)
         return all(_take_first(values, lambda a, e=e: _same(a, e, tolerance)) for e in wanted)
 
-    matched = all(_take_first(left, lambda row, w=w: holds(row, w)) for w in _rows_of(expected))
+    def found(wanted: list[_Value]) -> bool:
+        options = [[p for p in _looks(e, width) if p in filed] for e in wanted]
+        rarest = min(options, key=lambda places: sum(len(filed[p]) for p in places), default=None)
+        able = range(len(rows)) if rarest is None else sorted({n for p in rarest for n in candidates(p)})
+        for n in able:
+            if not taken[n] and holds(rows[n], wanted):
+                taken[n] = True
+                return True
+        return False
+
+    matched = all(found(w) for w in _rows_of(expected))
     return pd.DataFrame({"case_id": [case_id], "matched": [matched]})
 
 
-def result_facts(cases: DataFrame, actual: DataFrame, expected: DataFrame, cap: int = ROW_CAP) -> DataFrame:
+def result_facts(cases: DataFrame, actual: DataFrame, expected: DataFrame) -> DataFrame:
     """Whether each expected row finds its own actual row that holds all its values.
 
     ``cases`` has (case_id, tolerance), the row tables (case_id, row_no, pos, value).
     Names, order and extra columns do not matter; matching is greedy first fit on
-    both levels.  Row counts are compared first, so only results that were capped
-    at ``cap`` rows anyway are grouped per case.
+    both levels.  Row counts are compared first, so a case is only grouped, in one
+    task, if it has as many rows as expected.
     """
     size = lambda df, name: df.groupBy("case_id").agg(F.count_distinct("row_no").alias(name))
     counted = (cases.join(size(actual, "_a"), "case_id", "left").join(size(expected, "_e"), "case_id", "left")
                .fillna(0, ["_a", "_e"]))
-    small = F.when(F.col("_a") <= cap, F.lit(True)).otherwise(F.raise_error(F.lit(f"a result has more than {cap} rows")))
-    fitting = counted.filter((F.col("_a") == F.col("_e")) & (F.col("_a") > 0)).filter(small).select("case_id", "tolerance")
+    fitting = counted.filter((F.col("_a") == F.col("_e")) & (F.col("_a") > 0)).select("case_id", "tolerance")
     def grouped(df: DataFrame):
         long = _with_forms(df).join(fitting, "case_id")
         return long.toDF(*long.columns).groupBy("case_id", "tolerance")  # fresh column ids: both sides may share a source
@@ -238,11 +286,11 @@ def sync_status(local: DataFrame, stored: DataFrame, key: str, fields: list[str]
     return a.join(b, key, "full").select(key, label.alias("status"))
 
 
-def content_hash(df: DataFrame, position: str, content: Column, width: int = 1024, levels: int = 4) -> DataFrame:
+def content_hash(df: DataFrame, position: str, content: Column, width: int = 1024, levels: int = 7) -> DataFrame:
     """One digest over all rows in position order.
 
     A tree of digests: ``width`` neighbours are hashed together level by level, so
-    no task ever holds more than ``width`` hashes.  ``width ** levels`` rows fit.
+    no task ever holds more than ``width`` hashes; seven levels hold every bigint position.
     """
     rows = df.select(F.col(position).alias("p"), F.sha2(content, 256).alias("h"))
     for _ in range(levels):

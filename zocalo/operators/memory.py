@@ -117,23 +117,24 @@ def usable(version: str = EMBEDDING_VERSION) -> Column:
     return ((F.col("embedding_version") == version) & F.col("validated") & (F.col("execution_status") == "success"))
 
 
-def search(queries: DataFrame, memories: DataFrame, n: int, threshold: float = DISTANCE_THRESHOLD, mode: str = "postfilter",
+def search(queries: DataFrame, memories: DataFrame, n: int, threshold: float = DISTANCE_THRESHOLD, mode: str = "prefilter",
            overfetch: int = OVERFETCH, metric: str = "l2sq") -> DataFrame:
     """The ``n`` nearest distinct memories per query that pass the quality checks.
 
-    ``postfilter`` takes the nearest ``overfetch * n`` first and then filters;
-    ``prefilter`` compares only usable memories of the same intent and operation,
-    which finds more and works in blocks.
+    ``prefilter`` compares only usable memories of the same intent and operation whose
+    metrics include the question's, so it is complete and works in blocks.
+    ``postfilter`` takes the nearest ``overfetch * n`` first and then filters, as the older
+    reading did; it may miss memories.
     """
     asked = queries.select("query_id", F.col("intent").alias("_intent"), F.col("operation").alias("_operation"),
                            F.col("metrics").alias("_metrics"))
     good = memories.filter(usable() & (F.col("fingerprint") != "")).select("memory_id", "fingerprint", "intent", "operation", "metrics")
     if mode == "prefilter":
-        pool = memories.filter(usable() & (F.col("fingerprint") != "")).withColumn("_held", metric_bits())
-        found = nearest(queries.withColumn("_held", metric_bits()), pool, n, "query_id", "memory_id", by=["intent", "operation"],
-                        metric=metric, mask="_held", group="fingerprint")
+        pool = memories.filter(usable() & (F.col("fingerprint") != ""))
+        found = nearest(queries, pool, n, "query_id", "memory_id", by=["intent", "operation"], metric=metric, mask="metrics",
+                        group="fingerprint", within=threshold)
     elif mode == "postfilter":
-        found = nearest(queries, memories, overfetch * n, "query_id", "memory_id", metric=metric)
+        found = nearest(queries, memories, overfetch * n, "query_id", "memory_id", metric=metric, within=threshold)
     else:
         raise ValueError(f"unknown mode: {mode}")
     checked = (found.filter(F.col("distance") <= threshold).drop("position").join(good, "memory_id").join(asked, "query_id")
@@ -143,14 +144,6 @@ def search(queries: DataFrame, memories: DataFrame, n: int, threshold: float = D
     return top_n_per_key(best, ["query_id"], [F.col("distance"), F.col("memory_id")], n)
 
 
-def metric_bits() -> Column:
-    """The closed list of metrics as a bit set, so that inclusion is one bit operation."""
-    bits = F.lit(0).cast("bigint")
-    for place, name in enumerate(METRICS):
-        bits = bits + F.when(F.array_contains("metrics", name), F.lit(1 << place)).otherwise(F.lit(0))
-    return bits
-
-
 def structural_key() -> Column:
     """Hash of everything that must be equal for two questions to be compatible."""
     c = F.col
@@ -175,15 +168,14 @@ def search_structural(queries: DataFrame, memories: DataFrame, n: int, threshold
     asked = (queries.withColumn("_key", structural_key())
              .withColumn("_label", F.explode(F.when(F.size("context") > 0, F.concat("context", F.array(F.lit("\u0001any"))))
                                              .otherwise(F.array(F.lit("\u0001all"))))))
-    found = nearest(asked, docs, n, "query_id", "memory_id", by=["_key", "_label"], metric=metric)
-    return found.filter(F.col("distance") <= threshold)
+    return nearest(asked, docs, n, "query_id", "memory_id", by=["_key", "_label"], metric=metric, within=threshold)
 
 
 def search_compatible(queries: DataFrame, memories: DataFrame, n: int, threshold: float = DISTANCE_THRESHOLD,
                       metric: str = "l2sq") -> DataFrame:
     """Post-filter reading of the structural search: a wide ``search`` whose hits are then compared field by field."""
     fields = ("metrics", "filters", "date_range", "group_by", "context")
-    wide = search(queries, memories, OVERFETCH * n, threshold, metric=metric).withColumnRenamed("position", "_place")
+    wide = search(queries, memories, OVERFETCH * n, threshold, mode="postfilter", metric=metric).withColumnRenamed("position", "_place")
     theirs = memories.select("memory_id", *[F.col(f).alias(f"_m_{f}") for f in fields])
     mine = queries.select("query_id", *fields)
     same = F.lit(True)
@@ -197,7 +189,7 @@ def inspect(queries: DataFrame, memories: DataFrame, n: int, threshold: float =
             validated: bool | None = None, metric: str = "l2sq") -> DataFrame:
     """Free search for inspection: nearest candidates within the threshold, usage not recorded."""
     pool = memories if validated is None else memories.filter(F.col("validated") == validated)
-    found = nearest(queries, pool, n, "query_id", "memory_id", metric=metric).filter(F.col("distance") <= threshold)
+    found = nearest(queries, pool, n, "query_id", "memory_id", metric=metric, within=threshold)
     return top_n_per_key(found.withColumnRenamed("position", "_place"), ["query_id"], [F.col("_place")], n).drop("_place")
 
 

@@ -32,7 +32,7 @@ def running_last(df: DataFrame, by: list[str], ts: str, tie: list[str], value: C
     columns = df.columns
     dated = df.filter(F.col(ts).isNotNull())
     state = F.when(value.isNotNull(), F.struct(F.col(ts), *[F.col(t) for t in tie], value.alias("_v")))
-    split = F.broadcast(hot if hot is not None else hot_keys(dated, by))  # at most count / HOT_ROWS keys
+    split = hot if hot is not None else hot_keys(dated, by)
     rows = (dated.withColumn("_state", state).join(split, by, "left")
             .withColumn("_slice", F.when(F.col("_hot"), F.date_trunc(slice_unit, F.col(ts)).cast("timestamp_ntz")))
             .drop("_hot"))
@@ -56,15 +56,22 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_ts: str
     """Left rows with the last right event of the same key at or before their time.
 
     One shuffle over the union of both sides instead of a range join.  On equal
-    times the event with the largest id wins; rows without time keep null.
+    times the event with the largest id wins; rows without time or without a key
+    match nothing and pass by the shuffle.
     """
-    events = right.filter(F.col(right_ts).isNotNull()).select(
+    keyed = F.lit(True)
+    for column in by:
+        keyed = keyed & F.col(column).isNotNull()
+    apart = left.filter(~keyed)
+    left = left.filter(keyed)
+    events = right.filter(keyed & F.col(right_ts).isNotNull()).select(
         *by, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.col(right_id).alias("_event"))
     sales = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"),
                         F.struct(*left.columns).alias("_row"))
     both = sales.unionByName(events, allowMissingColumns=True)
     scanned = running_last(both, by, "_ts", ["_side", "_event"], F.col("_event"), right_id, **balance)
-    return scanned.filter(F.col("_side") == 1).select("_row.*", right_id)
+    found = scanned.filter(F.col("_side") == 1).select("_row.*", right_id)
+    return found.unionByName(apart.withColumn(right_id, F.lit(None).cast(found.schema[right_id].dataType)))
 
 
 def chain_breaks(events: DataFrame, by: list[str], ts: str, event_id: str, old: str, new: str, **balance) -> DataFrame:

@@ -16,7 +16,11 @@ DISTANCE_DIGITS = 6
 def _distances(queries: np.ndarray, documents: np.ndarray, metric: str) -> np.ndarray:
     dot = queries @ documents.T
     q2, d2 = (queries ** 2).sum(axis=1)[:, None], (documents ** 2).sum(axis=1)[None, :]
-    raw = q2 + d2 - 2 * dot if metric == "l2sq" else 1 - dot / np.sqrt(q2 * d2)
+    if metric == "l2sq":
+        raw = q2 + d2 - 2 * dot
+    else:
+        length = np.sqrt(q2 * d2)
+        raw = 1 - np.divide(dot, length, out=np.zeros_like(dot), where=length > 0)  # a zero vector is at distance 1 from all
     return np.round(np.maximum(raw, 0.0), DISTANCE_DIGITS)
 
 
@@ -24,8 +28,15 @@ def _first_of_each(groups: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(groups, return_index=True)[1])
 
 
+def _list_codes(lists) -> tuple[np.ndarray, list[frozenset]]:
+    """A number for each list by its set of values, and the sets."""
+    codes: dict[frozenset, int] = {}
+    numbers = [codes.setdefault(frozenset(() if x is None else x), len(codes)) for x in lists]
+    return np.array(numbers, int), list(codes)
+
+
 def _block_top_k(query_id: str, document_id: str, k: int, metric: str, mask: str | None, group: str | None,
-                 rows_at_once: int = 64):
+                 within: float | None, rows_at_once: int = 64):
     """Per-block worker: the k nearest documents of the block for each query of the chunk."""
 
     def run(documents: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -34,12 +45,17 @@ def _block_top_k(query_id: str, document_id: str, k: int, metric: str, mask: str
             ids = documents[document_id].to_numpy()
             groups = documents[group].to_numpy() if group else None
             vectors = np.vstack(documents["_vector"].to_numpy()).astype("float64")
+            if mask:
+                held, held_sets = _list_codes(documents[mask])
+                wanted, wanted_sets = _list_codes(queries[mask])
+                includes = np.array([[w <= h for h in held_sets] for w in wanted_sets])
             for start in range(0, len(queries), rows_at_once):
                 part = queries.iloc[start:start + rows_at_once]
                 table = _distances(np.vstack(part["_vector"].to_numpy()).astype("float64"), vectors, metric)
                 if mask:
-                    wanted, held = part[mask].to_numpy()[:, None], documents[mask].to_numpy()[None, :]
-                    table[(wanted & held) != wanted] = np.inf
+                    table[~includes[wanted[start:start + rows_at_once][:, None], held[None, :]]] = np.inf
+                if within is not None:
+                    table[table > within] = np.inf
                 for query, row in zip(part[query_id].to_numpy(), table):
                     limit = np.partition(row, k - 1)[k - 1] if len(row) > k and not group else np.inf
                     near = np.flatnonzero((row <= limit) & np.isfinite(row))
@@ -57,12 +73,13 @@ def _block_top_k(query_id: str, document_id: str, k: int, metric: str, mask: str
 
 def nearest(queries: DataFrame, documents: DataFrame, k: int, query_id: str, document_id: str, vector: str = "embedding",
             by: list[str] | None = None, metric: str = "l2sq", mask: str | None = None, group: str | None = None,
-            document_block: int = 50_000, query_block: int = 20_000) -> DataFrame:
+            within: float | None = None, document_block: int = 50_000, query_block: int = 20_000) -> DataFrame:
     """Exact k nearest documents per query: (query, document, distance, position).
 
-    With ``by`` only rows with equal keys are compared; ``mask`` names a bit set of
-    which the document's must include the query's; ``group`` keeps only the nearest
-    document of each group.  Documents of a key are cut into hash blocks and queries
+    With ``by`` only rows with equal keys are compared; ``mask`` names a list column of
+    which the document's must include the query's values; ``group`` keeps only the nearest
+    document of each group; ``within`` is the greatest distance to keep. Null vectors take
+    no part; by cosine, a zero vector is at distance 1 from all.  Documents of a key are cut into hash blocks and queries
     into chunks, and each (block, chunk) is one small matrix product that keeps k
     rows per query; so neither side is broadcast, a hot key is spread over many
     tasks, and no pair list is ever written.  Order is by distance (to 6 digits),
@@ -73,8 +90,8 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int, query_id: str, doc
         raise ValueError(f"unknown metric: {metric}")
     keys = list(by or [])
     masks, groups = [mask] if mask else [], [group] if group else []
-    docs = documents.select(*keys, document_id, *masks, *groups, F.col(vector).alias("_vector"))
-    asked = queries.select(*keys, query_id, *masks, F.col(vector).alias("_vector"))
+    docs = documents.select(*keys, document_id, *masks, *groups, F.col(vector).alias("_vector")).filter(F.col("_vector").isNotNull())
+    asked = queries.select(*keys, query_id, *masks, F.col(vector).alias("_vector")).filter(F.col("_vector").isNotNull())
 
     def cells(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
@@ -101,7 +118,7 @@ def nearest(queries: DataFrame, documents: DataFrame, k: int, query_id: str, doc
     kinds = {c: df.schema[c].dataType.simpleString() for c, df in ((query_id, queries), (document_id, documents))}
     schema = f"{query_id} {kinds[query_id]}, {document_id} {kinds[document_id]}, distance double"
     found = (placed_docs.groupBy(*cell).cogroup(placed_queries.groupBy(*cell))
-             .applyInPandas(_block_top_k(query_id, document_id, k, metric, mask, group), schema))
+             .applyInPandas(_block_top_k(query_id, document_id, k, metric, mask, group, within), schema))
     if keys:
         found = found.distinct()  # a query or document listed under several keys may meet twice
     return top_n_per_key(found, [query_id], [F.col("distance"), F.col(document_id)], k)

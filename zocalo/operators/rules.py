@@ -88,26 +88,30 @@ def term_table(spark, rules: list[Rule] = RULES) -> DataFrame:
     return spark.range(1).select(F.inline(items))
 
 
-def tag_texts(df: DataFrame, key: str, text: str, terms: DataFrame, longest: int = 4) -> DataFrame:
+def _pieces(x: Column) -> Column:
+    """Words and what stands between them, in turn; joined they give the text again."""
+    return F.regexp_extract_all(x, F.lit(r"(?U)\w+|[^\w]+"), F.lit(0))
+
+
+def tag_texts(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(key, rule) pairs for a rule catalogue of any size.
 
-    Every text is cut into its word sequences of up to ``longest`` words, and these
-    join the terms on equality, so the work does not grow with texts x rules.
-    Terms are words separated by single spaces.
+    Every text is cut into its sequences of pieces, up to the length of the longest
+    term, and these join the terms on equality, so the work does not grow with texts
+    x rules. A sequence ends at word boundaries on both sides, as ``fired_rules``
+    asks: a mark at the start or end of a text has none outside.
     """
-    wide = terms.filter(F.size(F.split("term", " ")) > longest)
-    if wide.limit(1).count():
-        raise ValueError(f"a term has more than {longest} words")
-    broken = F.regexp_replace(F.col("_t"), r"(?U)[^\w ]+", " \u0001 ")  # anything but a space breaks a sequence
-    words = F.filter(F.split(broken, " +"), lambda w: w != "")
-
-    def sequences(n: int) -> Column:
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(
-            F.expr("cast(array() as array<int>)"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
-
-    spans = (df.select(key, matching_form(F.col(text)).alias("_t")).select(key, words.alias("_w"))
-             .select(key, F.explode(F.array_distinct(F.concat(*[sequences(n) for n in range(1, longest + 1)]))).alias("term")))
+    longest = F.broadcast(terms.agg(F.coalesce(F.max(F.size(_pieces(F.col("term")))), F.lit(0)).alias("_longest")))  # one row
+    is_word = lambda piece: piece.rlike(r"^(?U)\w")
+    cut = (df.select(key, _pieces(matching_form(F.col(text))).alias("_p")).select(key, F.explode(F.array("_p")).alias("_p"))
+           .filter(F.size("_p") > 0).join(longest).filter("_longest > 0"))
+    size = F.size("_p")
+    first = F.when(is_word(F.element_at("_p", 1)), 1).otherwise(2)
+    last = F.when(is_word(F.element_at("_p", -1)), size).otherwise(size - 1)
+    bounds = cut.select(key, "_longest", "_p", first.alias("_first"), last.alias("_last")).filter("_first <= _last")
+    starts = bounds.select(key, "_longest", "_p", "_last", F.explode(F.sequence("_first", "_last")).alias("_from"))
+    lengths = F.sequence(F.lit(1), F.least(F.col("_longest"), F.col("_last") - F.col("_from") + 1))
+    spans = starts.select(key, F.explode(F.transform(lengths, lambda n: F.array_join(F.slice("_p", F.col("_from"), n), ""))).alias("term"))
     return (spans.join(terms, "term").groupBy(key, "rule_id")
             .agg(F.bool_or(F.col("kind") == "on").alias("_on"), F.bool_or(F.col("kind") == "off").alias("_off"))
             .filter(F.col("_on") & ~F.col("_off")).select(key, "rule_id"))

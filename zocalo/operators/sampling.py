@@ -62,7 +62,7 @@ def sample_with_replacement(df: DataFrame, id_columns: list[str], draws: int, se
 
 def assign_by_region(orders: DataFrame, coverage: DataFrame, carriers: DataFrame, order_id: str, region: str,
                      seed: str) -> DataFrame:
-    """One carrier per order among those covering its region, or among all if the region is unknown.
+    """One carrier per order among those covering its region, or among all if the region is unknown; null if there is none.
 
     Carriers are numbered per region; the order's hash picks a number.  The lookup
     joins on (region, number), so a region with many orders or carriers is spread.
@@ -74,10 +74,10 @@ def assign_by_region(orders: DataFrame, coverage: DataFrame, carriers: DataFrame
     placed = (orders.join(known, F.col(region) == F.col("_known"), "left")
               .withColumn("_region", F.coalesce("_known", F.lit("*"))))
     fallback = F.broadcast(sizes.filter(F.col("region") == "*").select(F.col("_n").alias("_all")))  # one row
-    picks = placed.join(fallback).withColumn(
+    picks = placed.join(fallback, F.lit(True), "left").withColumn(
         "_idx", hash32(seed, F.col(order_id)) % F.coalesce("_n", "_all"))
     chosen = choices.select(F.col("region").alias("_region"), F.col("idx").alias("_idx"), "carrier_id")
-    return picks.join(chosen, ["_region", "_idx"]).select(*orders.columns, "carrier_id")
+    return picks.join(chosen, ["_region", "_idx"], "left").select(*orders.columns, "carrier_id")
 
 
 def incident_weight(late: Column, score: Column) -> Column:

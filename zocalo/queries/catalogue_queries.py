@@ -247,8 +247,8 @@ def _(m):
     return shown(m, "date", "datetime", "boolean", "null")
 
 
-NAMES = list(COLUMN_LABELS)[:40] + ["total_orders", "average_price", "custom_metric_xyz", "my-id_value", " Order-Status ", "unknown_id"]
-NAME_LABELS = list(COLUMN_LABELS.values())[:40] + ["Total pedidos", "Promedio precio", "Custom metric xyz", "My ID value", "Pedido estado", "Unknown ID"]
+NAMES = list(COLUMN_LABELS) + ["total_orders", "average_price", "custom_metric_xyz", "my-id_value", " Order-Status ", "unknown_id"]
+NAME_LABELS = list(COLUMN_LABELS.values()) + ["Total pedidos", "Promedio precio", "Custom metric xyz", "My ID value", "Pedido estado", "Unknown ID"]
 
 
 @query("R05_pr_column_labels", f"SELECT p_partkey, {sql_pick(NAMES, 'p_partkey')} AS key, {sql_pick(NAME_LABELS, 'p_partkey')} AS label FROM part")

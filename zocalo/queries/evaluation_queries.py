@@ -395,7 +395,7 @@ def tree_sql(rows: str, levels: int) -> str:
 
 
 @query("X10_hash_dataset", f"""
-SELECT h AS content_sha256 FROM ({tree_sql("SELECT order_id AS p, sha256(order_status || ':' || CAST(order_total AS VARCHAR)) AS h FROM m_orders", 4)})""")
+SELECT h AS content_sha256 FROM ({tree_sql("SELECT order_id AS p, sha256(order_status || ':' || CAST(order_total AS VARCHAR)) AS h FROM m_orders", 7)})""")
 def _(m):
     return evaluation.content_hash(m.orders(), "order_id", F.concat_ws(":", "order_status", F.col("order_total").cast("string")))
 

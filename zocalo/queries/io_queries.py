@@ -68,33 +68,43 @@ def _(m):
     return readers.parsed_cases(m.spark, folder).groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+@query("S04b_src_enabled_cases", "SELECT 'case_' || order_id AS case_id, '¿Cuántas?' AS question FROM m_lines_in WHERE problem IS NULL AND enabled")
+def _(m):
+    folder = run_dir(m.spark, "cases")
+    case_lines(m).write.text(folder)
+    return readers.enabled_cases(m.spark, folder, strict=False).select("case_id", F.col("inputs.question").alias("question"))
+
+
+def document_files(rows, folder):
+    """One JSON document of (g, value) rows per file, as catalogues and banks come."""
+    rows.repartition("g").write.partitionBy("g").text(folder)
+    return f"{folder}/g=*"
+
+
 @query("S05_src_catalogue_json", """
-SELECT 'tabla_' || p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS policies FROM part""")
+SELECT 'tabla_' || p_partkey AS id, p_name AS nombre, CASE WHEN p_partkey % 2 = 0 THEN 'única' END AS policy FROM part""")
 def _(m):
     k = F.col("p_partkey")
-    entry = m.raw("part").select(F.concat(F.lit("tabla_"), k.cast("string")).alias("id"), F.col("p_name").alias("nombre"), F.lit("Descripción").alias("descripcion"),
-                                 F.lit("CREATE TABLE").alias("ddl"), F.when(k % 2 == 0, F.array(F.lit("única"))).alias("politicas"))
-    folder = run_dir(m.spark, "catalogue")
-    entry.write.json(folder)
-    # Spark wrote one object per line; a whole-file array is covered by the tests.
-    rows = m.spark.read.schema(readers.CATALOGUE_SCHEMA).json(folder)
-    return rows.select("id", F.size(F.coalesce("politicas", F.expr("cast(array() as array<string>)"))).alias("policies"))
+    entry = F.struct(F.concat(F.lit("tabla_"), k.cast("string")).alias("id"), F.col("p_name").alias("nombre"), F.lit("Descripción").alias("descripcion"),
+                     F.lit("CREATE TABLE").alias("ddl"), F.when(k % 2 == 0, F.array(F.lit("única"))).alias("politicas"))
+    arrays = m.raw("part").groupBy(F.floor(k / 1000).alias("g")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    path = document_files(arrays, run_dir(m.spark, "catalogue"))
+    return readers.table_catalogue(m.spark, path).select("id", "nombre", F.nullif(F.array_join("politicas", ","), F.lit("")).alias("policy"))
 
 
 @query("S06_src_nested_bank", """
-SELECT 'memory' AS kind, count(*) AS n FROM m_orders UNION ALL SELECT 'case', count(*) FROM m_orders WHERE order_id % 2 = 0""")
+SELECT 'memory' AS kind, CAST(order_id AS VARCHAR) AS id, 'revenue,' || order_status AS metrics, 'success' AS status FROM m_orders
+UNION ALL SELECT 'case', CAST(order_id AS VARCHAR), NULL, order_status FROM m_orders WHERE order_id % 2 = 0""")
 def _(m):
     o = F.col("order_id")
-    memory_ = F.struct(o.cast("string").alias("key"), F.lit("¿Qué?").alias("original_question"), F.array(F.lit("revenue")).alias("metrics"), (o % 3 == 0).alias("validated"))
-    case = F.when(o % 2 == 0, F.struct(o.cast("string").alias("id"), F.lit("¿Qué?").alias("question")))
-    # One bank document per order, with a case in every second one.
-    banks = m.orders().select(F.lit("2").alias("version"), F.array(memory_).alias("memories"), F.filter(F.array(case), lambda c: c.isNotNull()).alias("cases"))
-    folder = run_dir(m.spark, "banks")
-    banks.write.json(folder)
-    bank = m.spark.read.schema(readers.BANK_SCHEMA).json(folder)
-    memories, cases = readers.split_bank(bank)
-    sized = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
-    return sized(memories.filter(F.col("status") == "success"), "memory").unionByName(sized(cases.filter(F.size("group_by") == 0), "case"))
+    memory_ = F.struct(o.cast("string").alias("key"), F.lit("¿Qué?").alias("original_question"), F.array(F.lit("revenue"), F.col("order_status")).alias("metrics"))
+    case = F.when(o % 2 == 0, F.struct(o.cast("string").alias("id"), F.col("order_status").alias("category"), F.lit("¿Qué?").alias("question")))
+    bank = F.struct(F.lit("2").alias("version"), F.collect_list(memory_).alias("memories"), F.collect_list(case).alias("cases"))
+    banks = m.orders().groupBy(F.floor(o / 1000).alias("g")).agg(F.to_json(bank).alias("value"))
+    memories, cases = readers.memory_bank(m.spark, document_files(banks, run_dir(m.spark, "banks")))
+    first = memories.select(F.lit("memory").alias("kind"), F.col("key").alias("id"), F.array_join("metrics", ",").alias("metrics"), "status")
+    return first.unionByName(cases.filter(F.size("group_by") == 0).select(
+        F.lit("case").alias("kind"), "id", F.lit(None).cast("string").alias("metrics"), F.col("category").alias("status")))
 
 
 @query("S07_sink_csv_tables", """

@@ -219,7 +219,7 @@ SELECT query_id, fingerprint, memory_id, distance, position FROM top WHERE posit
 
 @query("M04_mem_search", SEARCH_SQL.format(candidates="SELECT * FROM m_near WHERE position <= 15"))
 def _(m):
-    return memory.search(asked(m), memories(m), 3, threshold=1.7).withColumn("position", F.col("position").cast("bigint"))
+    return memory.search(asked(m), memories(m), 3, threshold=1.7, mode="postfilter").withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("M04b_mem_search_prefilter", SEARCH_SQL.format(candidates="SELECT * FROM m_near"))
