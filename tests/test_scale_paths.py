@@ -46,8 +46,25 @@ def test_interval_join_is_the_same_for_busy_keys(spark):
             if k == k2 and s + " 00:00:00" <= t <= e + " 00:00:00":
                 best[o] = min(best.get(o, ("9", "")), (s, p))
     expected = sorted(((o, v[1]) for o, v in best.items()), key=str)
-    for fan_out in (1, 100):
-        assert rows(joins.first_valid_interval(left, right, ["k"], "o", "t", "s", "e", "p", fan_out)) == expected
+    assert rows(joins.first_valid_interval(left, right, ["k"], "o", "t", "s", "e", "p")) == expected
+
+
+def test_periods_cover_each_day_once(spark):
+    rng = random.Random(4)
+    spans = [(i, a, a + n) for i in range(200) for a, n in [(rng.randint(-50000, 50000), rng.choice([0, 1, 7, 40, 700, 9000, 90000]))]]
+    df = spark.createDataFrame(spans, "i int, a bigint, b bigint")
+    blocks = df.select("i", F.explode(joins.period_blocks(F.col("a"), F.col("b"))).alias("p")).collect()
+    days = {i: [] for i, _, _ in spans}
+    for r in blocks:
+        size = joins.BLOCK_DAYS[r["p"]["level"]]
+        days[r["i"]].append((r["p"]["number"] * size, size))
+    for i, a, b in spans:
+        at = a
+        for start, size in sorted(days[i]):
+            assert start == at
+            at += size
+        assert at == b
+        assert len(days[i]) <= 14 * len(joins.BLOCK_DAYS)
 
 
 def test_exact_median(spark):

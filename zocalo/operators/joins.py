@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from zocalo.operators.ranking import best_per_key, top_n_per_key
 
 NATIONWIDE = "NACIONAL"
+#: Lengths in days of the aligned periods an interval is laid out in.
+BLOCK_DAYS = (1, 8, 64, 512, 4096, 32768)
 
 
 def left_once(left: DataFrame, right: DataFrame, key: str, order: list[str], take: list[str]) -> DataFrame:
@@ -15,34 +17,59 @@ def left_once(left: DataFrame, right: DataFrame, key: str, order: list[str], tak
     return left.join(best_per_key(right, [key], order, take), key, "left")
 
 
+def _days(day: Column) -> Column:
+    return F.datediff(day, F.lit("1970-01-01").cast("date")).cast("bigint")
+
+
+def _span(low: Column, high: Column) -> Column:
+    """low, ..., high - 1"""
+    return F.when(low < high, F.sequence(low, high - 1)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def _at_level(numbers: Column, level: int) -> Column:
+    return F.transform(numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("number")))
+
+
+def period_blocks(first: Column, after: Column) -> Column:
+    """Days first, ..., after - 1 as the fewest aligned periods: (level, number) of periods of BLOCK_DAYS[level] days.
+
+    Each day lies in exactly one of them, and a span of any length has a bounded number per level below the top.
+    """
+    levels = []
+    for level, size in enumerate(BLOCK_DAYS):
+        low, high = F.ceil(first / size), F.floor(after / size)
+        if level + 1 < len(BLOCK_DAYS):
+            step = BLOCK_DAYS[level + 1] // size
+            up_low, up_high = F.ceil(first / (size * step)) * step, F.floor(after / (size * step)) * step
+            numbers = F.when(up_low < up_high, F.concat(_span(low, up_low), _span(up_high, high))).otherwise(_span(low, high))
+        else:
+            numbers = _span(low, high)
+        levels.append(_at_level(numbers, level))
+    return F.concat(*levels)
+
+
 def first_valid_interval(sales: DataFrame, intervals: DataFrame, by: list[str], group: str, ts: str, start: str,
-                         end: str, interval_id: str, fan_out: int = 32) -> DataFrame:
+                         end: str, interval_id: str) -> DataFrame:
     """Per ``group`` the first interval (by start, id) that covers one of its sales.
 
     An interval is valid from the start of its first day to midnight of its last
-    day, both inclusive.  Keys with up to ``fan_out`` intervals join directly, so a
-    sale meets at most that many.  Busier keys are laid out by day and reduced to
-    one row per (key, day) first, which keeps their join free of fan-out too.
+    day, both inclusive.  Intervals are laid out as aligned periods and reduced to one
+    row per (key, period) before the join; a sale looks up the one period of each
+    level it lies in.  So each side is read once, long intervals do not become many
+    rows, and a sale meets at most one row per level however many intervals there are.
     """
-    dated = sales.select(group, *by, ts).filter(F.col(ts).isNotNull())
-    usable = intervals.filter(F.col(start) <= F.col(end)).select(*by, start, end, interval_id)
-    busy = usable.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > fan_out).select(*by)
     first = F.struct(F.col(start), F.col(interval_id))
-
-    few = usable.join(busy, by, "left_anti")
-    direct = (dated.join(few, by).filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end)))
-              .select(group, first.alias("_valid")))
-
-    by_day = (usable.join(busy, by, "left_semi").withColumn("_day", F.explode(F.sequence(start, end)))
-              .groupBy(*by, "_day")
-              .agg(F.min(F.when(F.col("_day") < F.col(end), first)).alias("_any_time"),
-                   F.min(first).alias("_at_midnight")))
-    midnight = F.col(ts) == F.col("_day").cast("timestamp_ntz")
-    laid_out = (dated.join(busy, by, "left_semi").withColumn("_day", F.to_date(ts)).join(by_day, [*by, "_day"])
-                .select(group, F.when(midnight, F.col("_at_midnight")).otherwise(F.col("_any_time")).alias("_valid"))
-                .filter(F.col("_valid").isNotNull()))
-
-    return direct.unionByName(laid_out).groupBy(group).agg(F.min("_valid")[interval_id].alias(interval_id))
+    at_midnight = F.struct(F.lit(-1).alias("level"), _days(F.col(end)).alias("number"))
+    periods = (intervals.filter(F.col(start) <= F.col(end))
+               .select(*by, first.alias("_valid"), F.explode(F.concat(period_blocks(_days(F.col(start)), _days(F.col(end))), F.array(at_midnight))).alias("_p"))
+               .groupBy(*by, "_p.level", "_p.number").agg(F.min("_valid").alias("_valid")))
+    day = F.to_date(ts)
+    seen = F.array(*[F.struct(F.lit(level).alias("level"), F.floor(_days(day) / size).alias("number")) for level, size in enumerate(BLOCK_DAYS)])
+    midnight = F.when(F.col(ts) == day.cast("timestamp_ntz"), F.array(F.struct(F.lit(-1).alias("level"), _days(day).alias("number"))))
+    looked = (sales.select(group, *by, ts).filter(F.col(ts).isNotNull())
+              .select(group, *by, F.explode(F.concat(seen, F.coalesce(midnight, F.slice(seen, 1, 0)))).alias("_p"))
+              .select(group, *by, "_p.level", "_p.number"))
+    return looked.join(periods, [*by, "level", "number"]).groupBy(group).agg(F.min("_valid")[interval_id].alias(interval_id))
 
 
 def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column: str, name: str) -> DataFrame:

@@ -100,15 +100,15 @@ def sequenced(batch: DataFrame, seq: list[str]) -> DataFrame:
     return batch.withColumns({"authority_seq": order, "latest_seq": order, "first_seq": order})
 
 
-def folded(rows: DataFrame) -> DataFrame:
-    """Any mix of sequenced records and merged rows as one row per fingerprint."""
-    merged = rows.groupBy("fingerprint").agg(
+def folded(rows: DataFrame, *by: str) -> DataFrame:
+    """Any mix of sequenced records and merged rows as one row per fingerprint (and ``by``)."""
+    merged = rows.groupBy("fingerprint", *by).agg(
         F.max_by(F.struct(*AUTHORITATIVE, "authority_seq"), F.struct("validated", "authority_seq")).alias("_a"),
         F.max_by(F.struct(*DESCRIPTIVE, "updated_at", "latest_seq"), F.col("latest_seq")).alias("_d"),
         F.min_by(F.struct("created_at", "first_seq"), F.col("first_seq")).alias("_f"),
         F.bool_or("validated").alias("validated"), F.sum("usage_count").alias("usage_count"),
         F.sum("retrieval_count").alias("retrieval_count"), F.max("last_used_at").alias("last_used_at"))
-    return merged.select("fingerprint", memory_id(F.col("fingerprint")).alias("memory_id"), "_d.*", "_a.*", "_f.*", "validated",
+    return merged.select("fingerprint", *by, memory_id(F.col("fingerprint")).alias("memory_id"), "_d.*", "_a.*", "_f.*", "validated",
                          "usage_count", "retrieval_count", "last_used_at")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from zocalo.functions import vocabulary as v
 from zocalo.functions.sets import given, none, ordered_union
 from zocalo.functions.text import clean_spaces, contains_any, fold
+from zocalo.operators.filters import keep_where
 from zocalo.operators.rules import RULES, Rule, rule_tables
 from zocalo.plans.metrics import METRICS, OPERATIONS
 
@@ -122,7 +123,7 @@ def normalized(t: str, intent_: Column, metrics_: Column, groups: Column, contex
 def structure(df: DataFrame, text: str, rules: list[Rule] = RULES) -> DataFrame:
     """Add the structured fields; blank questions are left out (see ``rejected``)."""
     c = F.col
-    return (df.withColumn("original_question", clean_spaces(c(text))).filter(c("original_question") != "")
+    return (keep_where(df.withColumn("original_question", clean_spaces(c(text))), c("original_question") != "")
             .withColumn("_t", fold(c("original_question")))
             .withColumns({"intent": intent("_t"), "metrics": metrics("_t"), "group_by": group_by("_t"),
                           "filters": filters(c("original_question"), "_t"), "date_range": date_range("_t")})

@@ -105,9 +105,9 @@ def merged_flat(df):
 
 @query("M03_mem_upsert_merge", MERGED_SQL)
 def _(m):
-    events = records(m)
-    store = memory.merge(events.filter(F.col("seq") < 5000), ["seq"])
-    return merged_flat(memory.merge(events.filter(F.col("seq") >= 5000), ["seq"], store))
+    # The store holds the first events and the batch brings the others; both are folded in one pass over the records.
+    parts = memory.folded(memory.sequenced(records(m), ["seq"]).withColumn("early", F.col("seq") < 5000), "early")
+    return merged_flat(memory.folded(parts.drop("early")))
 
 
 @query("X22_txt_memory_document", f"""
