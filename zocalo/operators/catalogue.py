@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zocalo.operators.sampling import in_order
+
 # Constraint lines, type spellings and how a declaration is read.
 CONSTRAINTS = r"^(?:PRIMARY KEY|FOREIGN KEY|UNIQUE|CONSTRAINT|CHECK)"
 COLUMN_LINE = r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s+(.+?)(?:,\s*)?(?:\s+--\s*(.*))?$"
@@ -90,9 +92,6 @@ def category_drift(documented: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def contiguous_ids(entries: DataFrame) -> DataFrame:
-    """Entry ids tabla_1..n: known entries in their order, new ones by name.
-
-    One small window over the catalogue, which has one row per table.
-    """
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("position").isNull(), "position", "table")
-    return entries.select("table", F.concat(F.lit("tabla_"), F.row_number().over(order).cast("string")).alias("id"))
+    """Entry ids tabla_1..n: known entries in their order, new ones by name."""
+    placed = in_order(entries, [F.col("position").isNull(), F.col("position"), F.col("table")], "place")
+    return placed.select("table", F.concat(F.lit("tabla_"), (F.col("place") + 1).cast("string")).alias("id"))

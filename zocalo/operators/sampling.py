@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zocalo.session import shared_dir
+
 HASH_RANGE = 2 ** 32
 
 
@@ -51,6 +53,21 @@ def numbered(df: DataFrame, keys: list[str], id_columns: list[str], name: str =
             .withColumn(name, F.col("_local") + F.col("_o")).drop("_local", "_o", "_b"))
 
 
+def in_order(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
+    """Dense 0-based number of each row in ``order``.
+
+    The sorted rows are kept in the shared folder; each sorted part is numbered by itself and shifted by the sizes of
+    the parts before it, so no task holds more than its own part.
+    """
+    shared_dir(df.sparkSession)
+    parts = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))  # one row per part
+    before = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_local", local).join(offsets, "_part").withColumn(name, F.col("_local") + F.col("_o")).drop("_part", "_local", "_o")
+
+
 def sample_with_replacement(df: DataFrame, id_columns: list[str], draws: int, seed: str) -> DataFrame:
     """``draws`` uniform picks with replacement, one output row per draw."""
     rows = numbered(df.select(*id_columns), [], id_columns)

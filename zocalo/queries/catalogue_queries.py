@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zocalo.functions.json_edges import json_number, truth
 from zocalo.functions.labels import COLUMN_LABELS, column_label
 from zocalo.operators import catalogue, presentation
 from zocalo.operators.rules import RULES, rule_texts
@@ -143,9 +144,10 @@ def _(m):
 
 @query("W05_win_contiguous_ids", """
 SELECT "table", 'tabla_' || row_number() OVER (ORDER BY position IS NULL, position, "table") AS id FROM (
-  SELECT n_name AS "table", CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey END AS position FROM nation)""")
+  SELECT 't' || p_partkey AS "table", CASE WHEN p_partkey % 3 <> 0 THEN p_partkey END AS position FROM part)""")
 def _(m):
-    return catalogue.contiguous_ids(m.raw("nation").select(F.col("n_name").alias("table"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey")).alias("position")))
+    k = F.col("p_partkey")
+    return catalogue.contiguous_ids(m.raw("part").select(F.concat(F.lit("t"), k.cast("string")).alias("table"), F.when(k % 3 != 0, k).alias("position")))
 
 
 @query("X23_txt_policy_section", f"""
@@ -172,9 +174,8 @@ SELECT event_id, CAST(CASE WHEN event_id % 5 < 3 THEN json_extract(props, '$.k')
 def _(m):
     e = F.col("event_id")
     raw = F.when(e % 5 < 3, F.col("props")).when(e % 5 == 3, "").otherwise("{broken")
-    decoded = F.coalesce(F.from_json(F.nullif(raw, F.lit("")), "k bigint, _bad string", {"columnNameOfCorruptRecord": "_bad"})["k"], F.lit(-1))
-    flag = F.coalesce(F.lower(F.trim(F.when(e % 2 == 0, " True ").when(e % 3 == 0, F.lit(None)).otherwise("no"))) == "true", F.lit(False))
-    return m.raw("events").select("event_id", decoded.cast("bigint").alias("k"), flag.alias("flag"))
+    flag = F.when(e % 2 == 0, " True ").when(e % 3 == 0, F.lit(None)).otherwise("no")
+    return m.raw("events").select("event_id", json_number(raw, "k", -1).alias("k"), truth(flag).alias("flag"))
 
 
 @query("X21_json_value_form", """
