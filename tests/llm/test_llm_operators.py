@@ -343,6 +343,17 @@ def test_nearest_odd_rows(spark):
     assert neighbours.search(table.where("false")).count() == 0
 
 
+def test_nearest_of_a_table_with_itself(spark):
+    table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    # thrice in one block, so that the repeats of two ids would fill the five places
+    thrice = spark.createDataFrame(sorted(rows * 3, key=lambda r: r[0]), "vec_id long, embedding array<double>").coalesce(1)
+    expected = sorted(plain_nearest([(i, np.array(v, float)) for i, v in rows], 5, 50))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(thrice).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in expected]
+    assert np.allclose([x[3] for x in got], [x[3] for x in expected], atol=1e-12)
+
+
 def test_tiles_leave_out_only_what_bounds_rule_out():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 16))

@@ -74,13 +74,16 @@ class Side:
         self.vectors = np.ldexp(self.vectors, -np.frexp(np.abs(self.vectors).max(1))[1][:, None])
         self.norm = np.linalg.norm(self.vectors, axis=1)
         self.code, self.step, self.rest = quantised(self.vectors / self.norm[:, None])
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.firsts = np.flatnonzero(np.diff(self.ids[self.by_id], prepend=self.ids[self.by_id[:1]] - 1))  # where each id begins in by_id
 
 
 def tile(queries: Side, candidates: Side, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query place, candidate places, exact cosines) of the pairs that can be among the ``k`` nearest.
 
     With unit vectors x, y and their coded forms x', y': |xy - x'y'| <= |x - x'| + |y - y'| (1 + |x - x'|). A pair
-    survives if its upper bound reaches both ``floor`` (the query's kth best so far) and the kth best lower bound here.
+    survives if its upper bound reaches both ``floor`` (the query's kth best so far) and the kth best lower bound here, where
+    rows that repeat an id count once, by the best of them.
     """
     # products of int8 codes are whole numbers below 2**24 for up to a thousand components, so float32 holds them; more go by double
     kind = np.float32 if queries.code.shape[1] <= 1024 else np.float64
@@ -89,6 +92,8 @@ def tile(queries: Side, candidates: Side, k: int, floor: np.ndarray) -> Iterator
     bound = queries.rest[:, None] + candidates.rest[None, :] * (1 + queries.rest[:, None]) + 1e-6
     near[queries.ids[:, None] == candidates.ids[None, :]] = -np.inf
     low = near - bound
+    if len(candidates.firsts) < low.shape[1]:
+        low = np.maximum.reduceat(low[:, candidates.by_id], candidates.firsts, axis=1)
     if low.shape[1] > k:
         floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
     keep = (near + bound >= floor[:, None]) & np.isfinite(near)
