@@ -195,6 +195,14 @@ def test_base_spans_equal_plain_patterns(docs):
         assert pii.base_spans(text) == plain_spans(text)
 
 
+def test_numbers_that_int_refuses():
+    field = pii.Field(np.zeros((pii.FEATURES, pii.LABELS)), np.zeros((pii.LABELS,) * 2), np.zeros((pii.LABELS,) * 2))
+    long = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(long) == [(0, 1, len(long))]
+    assert pii.base_spans("0" * 5000 + "256.1.1.1") == []
+    assert [b for b, _ in pii.all_spans([long, "1.².³.²"], field)] == [[(0, 1, len(long))], []]
+
+
 def test_repeated_mentions_take_the_label(docs):
     field = pii.training_field(docs)
     text = "card 4284250577320971 and far away 4284.2505.7732.0971; version 10.2.3 of 2024-01-02"

@@ -63,7 +63,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) by start, then kind; offsets in code points, ends exclusive."""
     spans = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
-    spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    spans += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) < 4 and int(q or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if len(m[0]) >= 12 and 12 <= len(digits := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
             spans.append((m.start(), 2, m.end()))
@@ -136,7 +136,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> Mentions:
         row = features[n]
         row[0] = 1
         row[1] = "@" in own and "." in own[own.find("@") + 1:]
-        row[2] = own.count(".") == 3 and not letters and all(p.isdigit() and len(p) < 4 and int(p) <= 255 for p in own.split("."))
+        row[2] = own.count(".") == 3 and not letters and all(p.isdecimal() and len(p) < 4 and int(p) <= 255 for p in own.split("."))
         row[3] = not letters and 12 <= size <= 19 and luhn(digits)
         row[4] = own[:1] == "+" and 9 <= size <= 15
         row[5], row[6], row[7] = "@" in own, letters, "." in own
