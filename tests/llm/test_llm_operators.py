@@ -212,6 +212,15 @@ def test_repeated_mentions_take_the_label(docs):
     assert pii.masked(text, every) == "card <card> and far away <card>; version 10.2.3 of 2024-01-02"
 
 
+@pytest.mark.parametrize("bare", [1, 10, 50, 400])
+def test_every_repeat_takes_the_label(docs, bare):
+    field = pii.training_field(docs)
+    repeats = " ".join(["and far away 4284.2505.7732.0971; then"] * bare)
+    for text in (f"card 4284250577320971 {repeats}", f"{repeats} card 4284250577320971"):
+        (base, every), = pii.all_spans([text], field)
+        assert len(base) == 1 and len(every) == 1 + bare and {k for _, k, _ in every} == {2}
+
+
 def test_message_passing_equals_enumeration():
     rng = np.random.default_rng(0)
     field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)), rng.normal(size=(pii.LABELS,) * 2), rng.normal(size=(pii.LABELS,) * 2))
@@ -225,6 +234,35 @@ def test_message_passing_equals_enumeration():
     assert np.allclose(p, [z.sum((1, 2)), z.sum((0, 2)), z.sum((0, 1))], atol=1e-6)
 
 
+@pytest.mark.parametrize("mentions", [50, 300])
+def test_labels_reach_the_end_of_a_long_chain(mentions):
+    node = np.zeros((pii.FEATURES, pii.LABELS))
+    node[0, 0] = 0.02
+    field = pii.Field(node, np.zeros((pii.LABELS,) * 2), 9.0 * np.eye(pii.LABELS))
+    features = np.zeros((mentions, pii.FEATURES))
+    features[:, 0] = 1
+    fixed = np.zeros(mentions, int)
+    fixed[0] = 3
+    links = np.stack([np.arange(mentions - 1), np.arange(1, mentions)], 1)
+    p = pii.beliefs(field, features, fixed, links, links)
+    step = np.exp(field.skip)
+    ahead, behind = [np.eye(pii.LABELS)[3]], [np.ones(pii.LABELS)]
+    for _ in range(mentions - 1):
+        ahead.append((ahead[-1] @ step) * np.exp(node[0]))
+        behind.append(step @ (behind[-1] * np.exp(node[0])))
+        ahead[-1] /= ahead[-1].sum()
+        behind[-1] /= behind[-1].sum()
+    exact = np.array(ahead) * np.array(behind[::-1])
+    assert np.allclose(p, exact / exact.sum(1, keepdims=True), atol=1e-3)
+    assert mentions > 50 or p[:, 3].min() > pii.ADD_AT
+
+
+def test_texts_do_not_change_each_other(docs):
+    field = pii.training_field(docs)
+    texts = [t for _, t in texts_of(docs)][:40]
+    assert pii.all_spans(texts, field) == [pii.all_spans([t], field)[0] for t in texts]
+
+
 def test_personal_data_rows(odd, none, spark):
     got = pii.find_personal_data(odd).collect()
     assert len(got) == odd.count()

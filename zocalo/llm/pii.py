@@ -24,8 +24,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: About how many documents the weights are fitted on, rounds of message passing, belief from which a span is added.
-TRAIN_ROWS, ROUNDS, ADD_AT = 2000, 8, 0.9
+#: About how many documents the weights are fitted on, change (in nats) below which a message rests, belief from which a span is added.
+TRAIN_ROWS, SETTLED, ADD_AT = 2000, 1e-5, 0.9
 #: Share of labelled mentions whose validity is hidden in training, so that context and repeats get weight too.
 HIDDEN = 0.3
 LABELS = len(KINDS) + 1  # 0: none
@@ -93,7 +93,11 @@ class Mentions:
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> Mentions:
-    """Base spans cover what they touch; of spans that overlap, the first is the mention. Work is linear in the text."""
+    """Base spans cover what they touch; of spans that overlap, the first is the mention. Work is linear in the text.
+
+    A mention is linked to the one before with the same key, and to the first base span of each kind with that key, before or
+    behind it: so it hears of a base span at first hand, whatever the number of mentions between.
+    """
     nodes: list[tuple[int, int, int]] = []
     end = -1
     for a, kind, b in base:
@@ -127,6 +131,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> Mentions:
     features = np.zeros((len(nodes), FEATURES), np.float32)
     links: list[tuple[int, int]] = []
     last: dict[tuple[str, str], int] = {}
+    same: dict[tuple[str, str], list[int]] = {}
     for n, (a, b, _) in enumerate(nodes):
         own = text[a:b]
         digits = _NOT_DIGIT.sub("", own)
@@ -158,6 +163,19 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> Mentions:
             if (k := last.get(key)) is not None and (k, n) not in links[-2:]:
                 links.append((k, n))
             last[key] = n
+            same.setdefault(key, []).append(n)
+    made = set(links)
+    for places in same.values():
+        anchors: dict[int, int] = {}
+        for n in places:
+            if nodes[n][2]:
+                anchors.setdefault(nodes[n][2], n)
+        for n in places if anchors else ():
+            for k in anchors.values():
+                link = (min(k, n), max(k, n))
+                if k != n and link not in made:
+                    made.add(link)
+                    links.append(link)
     return Mentions([(a, b) for a, b, _ in nodes], [k for _, _, k in nodes], features, links)
 
 
@@ -184,10 +202,13 @@ def graph(texts: list[Mentions]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return features, labels, pairs(chain), pairs(skip)
 
 
-def beliefs(field: Field, features: np.ndarray, fixed: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def beliefs(field: Field, features: np.ndarray, fixed: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Probability of each label for each mention by loopy message passing; mentions with a label > 0 in ``fixed`` keep it.
 
-    All messages are passed at once in each round, damped by half; memory is linear in mentions and links.
+    Messages are damped by half and passed until none changes by SETTLED, however long the chains of links are; a round works
+    only on messages that still move or whose senders heard something new. Loops need not settle: without ``rounds``, the
+    messages of a text end after rounds in proportion to its mentions, beyond what any path through it takes. Memory is linear in
+    mentions and links.
     """
     own = features @ field.node
     own[fixed > 0] = -50.0
@@ -196,24 +217,35 @@ def beliefs(field: Field, features: np.ndarray, fixed: np.ndarray, chain: np.nda
     targets = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
     back = np.concatenate([np.arange(len(chain)) + len(chain), np.arange(len(chain)), np.arange(len(skip)) + 2 * len(chain) + len(skip),
                            np.arange(len(skip)) + 2 * len(chain)])
-    pair = np.concatenate([np.repeat(w[None], n, 0) for w, n in ((field.chain, len(chain)), (field.chain.T, len(chain)), (field.skip, len(skip)),
-                                                                  (field.skip.T, len(skip)))]) if len(sources) else np.zeros((0, LABELS, LABELS))
+    pair = np.stack([field.chain, field.chain.T, field.skip, field.skip.T])
+    kind = np.repeat(np.arange(4), [len(chain), len(chain), len(skip), len(skip)])
+    # mentions that follow each other along the chain are one text
+    begins = np.ones(len(own), bool)
+    begins[chain[:, 1]] = False
+    text = np.cumsum(begins) - 1
+    last = 100 + 6 * np.bincount(text)[text[sources]] if rounds is None else np.full(len(sources), rounds)
     message = np.zeros((len(sources), LABELS))
-
-    def summed() -> np.ndarray:
-        total = own.copy()
-        np.add.at(total, targets, message)
-        return total
-
-    for _ in range(rounds if len(sources) else 0):
-        out = summed()[sources] - message[back]
-        new = (out[:, :, None] + pair)
+    sent = message.copy()  # as it was when its target last took notice
+    total = own.copy()
+    live, done = np.arange(len(sources)), 0
+    while len(live := live[last[live] > done]):
+        old = message[live]
+        out = total[sources[live]] - message[back[live]]
+        new = out[:, :, None] + pair[kind[live]]
         top = new.max(1)
         new = top + np.log(np.exp(new - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-    z = summed()
-    z = np.exp(z - z.max(1, keepdims=True)) if len(z) else z
+        moving = np.abs(new - old).max(1) >= SETTLED
+        message[live] = np.where(moving[:, None], 0.5 * old + 0.5 * new, new)
+        np.add.at(total, targets[live], message[live] - old)
+        told = live[np.abs(message[live] - sent[live]).max(1) >= SETTLED]
+        sent[told] = message[told]
+        heard = np.zeros(len(own), bool)
+        heard[targets[told]] = True
+        again = heard[sources]
+        again[live[moving]] = True
+        live, done = np.flatnonzero(again), done + 1
+    z = np.exp(total - total.max(1, keepdims=True)) if len(total) else total
     return z / z.sum(1, keepdims=True) if len(z) else z
 
 
@@ -294,7 +326,8 @@ def find_personal_data(docs: DataFrame, train_rows: int = TRAIN_ROWS, add_at: fl
 
     Base spans come from the fixed patterns and always stay. Every other token with a digit or @ is a mention that the
     random field may give a kind: from its form, from the mentions beside it and, along skip links, from distant mentions of
-    the same digits or name. Links join each mention to the one before with the same key, so they are linear in number.
+    the same digits or name. Links join each mention to the one before with the same key and to the first base span of each
+    kind with it, so they are linear in number.
     Null counts as empty: no spans, the digest of empty text. Repeated rows are judged each; an empty table gives an
     empty result; other columns are ignored.
     """
