@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import compare, duck
-from zocalo.llm import cascade, components, golay, language, mixing, neighbours, packing, pieces, pii, quality, simhash, suffix_tree, tokens
+from zocalo.llm import cascade, components, golay, language, mixing, near_copies, neighbours, packing, pieces, pii, quality, simhash, suffix_tree, tokens
 from zocalo.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -497,6 +497,56 @@ def test_components_of_a_chain(spark):
     assert components.components(edges.where("false")).count() == 0
 
 
+def plain_copies(texts):
+    """Group of each text by the Jaccard similarity of its five-word shingles."""
+    sets = []
+    for t in texts:
+        w = t.encode("utf-8", "replace").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else {()})
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_no_near_copies_stay(docs, odd, none):
+    for table in (docs, odd):
+        ids, texts = zip(*texts_of(table))
+        least = defaultdict(list)
+        for i, g in zip(ids, plain_copies(texts)):
+            least[g].append(math.inf if i is None else i)
+        kept = near_copies.without_near_copies(table)
+        assert kept.columns == table.columns
+        assert sorted(math.inf if r is None else r for r, _ in texts_of(kept)) == sorted(min(x) for x in least.values())
+    assert near_copies.without_near_copies(none).count() == 0
+
+
+@pytest.mark.parametrize("group", [2, 64])
+def test_crowded_keys_lose_no_copy(spark, group):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        for i in rng.integers(0, 300, rng.integers(1, 12)):
+            w[i] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(w))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    least = {}
+    for i, g in enumerate(plain_copies(texts)):
+        least.setdefault(g, i)
+    assert 1 < len(least) < 60
+    assert sorted(r["doc_id"] for r in near_copies.without_near_copies(table, group).collect()) == sorted(least.values())
+
+
 # 9 language-model scores ----------------------------------------------------------------------------------------------
 
 def test_base_scores_equal_plain_counts(docs, odd, none):
