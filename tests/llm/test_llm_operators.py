@@ -314,6 +314,18 @@ def test_language_odd_rows(odd, none):
     assert kept.columns == odd.columns and {None, 3, 4} - set(r["doc_id"] for r in kept.collect()) <= {None}
 
 
+def test_rare_languages_are_learned_and_unknown_scripts_go(spark, docs):
+    rows = [(i, t, lang) for i, t, lang in docs.select("doc_id", "text", "lang").toLocalIterator() if t and lang]
+    rare = [(10_000 + i, f"õhtul läksime järve äärde ja võtsime kaasa {i} õuna ning käsitöö", "et") for i in range(3)]
+    unknown = [(20_000 + i, "北京的秋天很美，香山的红叶吸引了许多游客。我们明天去图书馆看书。" * 3, None) for i in range(2)]
+    table = spark.createDataFrame(rows + rare + unknown, "doc_id long, text string, lang string")
+    # of 4 documents the rare language would have less than a tenth
+    assert "et" in language.fit(table, 4).langs
+    kept = {r["doc_id"] for r in language.known_language(table).collect()}
+    assert not kept & {i for i, _, _ in unknown}
+    assert len(kept) >= 0.99 * len(rows)
+
+
 # 5 mixing, 10 cascade -------------------------------------------------------------------------------------------------
 
 def test_mixing_odd_rows(odd, none):

@@ -17,10 +17,11 @@ from zocalo.llm.grams import histograms
 
 #: Buckets (as a power of two) and lengths of the character grams, taken from lower-cased text with blanks for ASCII non-letters.
 BITS, ORDERS = 14, (1, 2, 3)
-#: About how many documents with a known language the model is fitted on.
-TRAIN_ROWS = 20_000
+#: About how many documents with a known language the model is fitted on, and of each language at least, as far as there are.
+TRAIN_ROWS, LANGUAGE_ROWS = 20_000, 500
 UNKNOWN = "und"
-#: A document is rejected where it has no letter or no language reaches this probability.
+#: A document is rejected where it has no letter, no language reaches this probability, or its grams are on average less likely
+#: in its language than if all buckets were even.
 LEAST_SCORE = 0.5
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -38,49 +39,55 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and its probability; ``und`` and 0 where the text is null or has no letter, or nothing was learned."""
+        return self.judged(texts)[:2]
+
+    def judged(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its probability, and the mean log-likelihood of a gram in it over that of even buckets."""
         known = [t if t and LETTER.search(t) else "" for t in texts]
-        if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        rows = [x @ self.grams for x in histograms(known, ORDERS, BITS, letters=True)]
-        z = (np.concatenate(rows) if rows else np.empty((0, len(self.langs)))).astype(float) + self.prior
-        best = z.argmax(1) if len(z) else np.empty(0, int)
-        sure = 1.0 / np.exp(z - z.max(1, keepdims=True)).sum(1) if len(z) else np.empty(0)
+        if not self.langs or not texts:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        rows, sizes = zip(*((x @ self.grams, x.sum(1)) for x in histograms(known, ORDERS, BITS, letters=True)))
+        likely, size = np.concatenate(rows).astype(float), np.concatenate(sizes).astype(float)
+        z = likely + self.prior
+        best = z.argmax(1)
+        sure = 1.0 / np.exp(z - z.max(1, keepdims=True)).sum(1)
+        gain = likely[np.arange(len(best)), best] / np.maximum(size, 1) + BITS * np.log(2)
         blank = np.array([not t for t in known], bool)
-        return [UNKNOWN if no else self.langs[i] for no, i in zip(blank, best)], np.where(blank, 0.0, sure)
+        return [UNKNOWN if no else self.langs[i] for no, i in zip(blank, best)], np.where(blank, 0.0, sure), np.where(blank, 0.0, gain)
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, language_rows: int = LANGUAGE_ROWS) -> Model:
     """Learns from about ``train_rows`` documents outside the held-out part whose language is not null.
 
-    The sample is every such id whose hash falls below a threshold. Tasks add up their own counts; Spark adds up the
+    The sample is every such id whose hash falls below a threshold, which is higher for a language that would have fewer than
+    about ``language_rows``; priors are by the counts of all. Tasks add up their own counts; Spark adds up the
     rest, and the driver gets languages x buckets numbers.
     """
     rows = exact(docs, doc_id="doc_id", text="text", lang="lang").where(F.col("lang").isNotNull() & (id_remainder(F.col("doc_id"), 5) != 0))
-    share = min(1.0, train_rows / max(rows.count(), 1))
-    sample = rows.where(unit_hash(F.coalesce("doc_id", F.lit(0)), seed=8) < share).select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    many = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share = train_rows / max(sum(many.values()), 1)
+    shares = docs.sparkSession.createDataFrame([(lang, max(share, language_rows / n)) for lang, n in many.items()], "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(unit_hash(F.coalesce("doc_id", F.lit(0)), seed=8) < F.col("share")).select("lang", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for b in batches:
             lines = (line for x in histograms((t.as_py() for t in b.column(1)), ORDERS, BITS, letters=True) for line in x)
             for lang, line in zip(b.column(0).to_pylist(), lines):
-                seen[lang] = seen.get(lang, 0) + 1
                 sums[lang] = sums.get(lang, 0) + line.astype(np.int64)
         for lang, counts in sums.items():
-            at = np.append(np.flatnonzero(counts), -1)  # bucket -1 counts documents
+            at = np.append(np.flatnonzero(counts), -1)  # bucket -1 says that the language was seen
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()),
-                                              pa.array(np.append(counts[at[:-1]], seen[lang]), pa.int64())], names=["lang", "bucket", "n"])
+                                              pa.array(np.append(counts[at[:-1]], 1), pa.int64())], names=["lang", "bucket", "n"])
 
     sums = (sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
-    counts, docs_of = np.zeros((1 << BITS, len(langs))), np.zeros(len(langs))
+    counts, docs_of = np.zeros((1 << BITS, len(langs))), np.array([many[x] for x in langs], float)
     place = {lang: i for i, lang in enumerate(langs)}
     col = np.array([place[x] for x in sums.column("lang").to_pylist()], int)
     at, n = np.asarray(sums.column("bucket"), int), np.asarray(sums.column("n"), float)
     gram = at >= 0
     counts[at[gram], col[gram]] = n[gram]
-    docs_of[col[~gram]] = n[~gram]
     smooth = counts + 0.5
     return Model(langs, np.log(smooth / smooth.sum(0)).astype(np.float32) if langs else smooth.astype(np.float32),
                  np.log(docs_of / max(docs_of.sum(), 1)))
@@ -107,13 +114,13 @@ def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = LEAST_SCORE, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents with a language of probability ``least`` or more, with all their columns."""
+    """The documents with a language of probability ``least`` or more that explains their grams better than even buckets; all columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, train_rows))
     flat, at = numbered_columns(docs)
 
     @F.pandas_udf("boolean")
     def accepted(texts: pd.Series) -> pd.Series:
-        langs, sure = model.value.predict([t if isinstance(t, str) else None for t in texts])
-        return pd.Series([lang != UNKNOWN and s >= least for lang, s in zip(langs, sure)], dtype=bool)
+        langs, sure, gain = model.value.judged([t if isinstance(t, str) else None for t in texts])
+        return pd.Series([lang != UNKNOWN and s >= least and g > 0 for lang, s, g in zip(langs, sure, gain)], dtype=bool)
 
     return flat.where(accepted(F.col(at["text"]))).toDF(*docs.columns)
