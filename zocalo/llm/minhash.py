@@ -5,13 +5,12 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zocalo.llm.components import components
@@ -22,10 +21,8 @@ from zocalo.llm.simhash import words
 LOW_BITS = 4
 #: Standard deviations below the threshold at which an estimate still sends a pair to the full sets: one in 10**9 falls below.
 MARGIN = 6.0
-#: Leads that a key puts up in a round, and rounds after which all that is left apart is compared.
-LEADS, ROUNDS = 4, 12
-#: Pairs left apart for each row under the keys still open, up to which they are all compared.
-FEW = 8
+#: Rows of a block under a band key and in a cluster, and shingles in a block of a cluster; larger groups are dealt into blocks.
+KEY_BLOCK, BLOCK, WEIGHT = 1024, 512, 1 << 17
 #: Shingles whose minima are taken at once, and minima taken at once.
 SLICE, STRIP = 1 << 12, 32
 
@@ -64,7 +61,7 @@ def shingles(text: str, size: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(w[k:] for k in range(size)))))
 
 
-def similar(x: set[bytes], y: set[bytes], least: int) -> bool:
+def similar(x: set, y: set, least: int) -> bool:
     both = len(x & y)
     return bool(both) and 100 * both >= least * (len(x) + len(y) - both)
 
@@ -130,116 +127,115 @@ def sketches(texts: DataFrame, rule: Rule) -> DataFrame:
     return texts.mapInArrow(run, SKETCH)
 
 
-def fits(rule: Rule, n: Column, m: Column, x: Column, y: Column) -> Column:
-    """Whether sizes allow, and collision-corrected counts of equal low bits suggest, that two sets are similar enough."""
+def fitting(rule: Rule, n: int, bits: np.ndarray, sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which ``others`` may be similar to one set: sizes allow it, and the collision-corrected count of equal low bits suggests it."""
     width, strip = rule.bands * rule.rows, -(-rule.bands * rule.rows // 64)
-    unequal = [F.bit_count(reduce(lambda p, q: p.bitwiseOR(q), [x[s + b * strip].bitwiseXOR(y[s + b * strip]) for b in range(LOW_BITS)]))
-               for s in range(strip)]
-    same = 1 - reduce(lambda p, q: p + q, unequal) / width
+    unequal = np.bitwise_count(np.bitwise_or.reduce((others ^ bits).reshape(-1, LOW_BITS, strip), axis=1)).sum(1)
     blind = 2.0 ** -LOW_BITS
-    return (100 * F.least(n, m) >= rule.least * F.greatest(n, m)) & ((same - blind) / (1 - blind) >= rule.estimate)
+    near = (1 - unequal / width - blind) / (1 - blind) >= rule.estimate
+    return near & (100 * np.minimum(sizes, n) >= rule.least * np.maximum(sizes, n))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar, from (row, text). A lead's set is built once for all its partners in a batch."""
+def forest(rows: np.ndarray, sizes: np.ndarray, bits: np.ndarray, side: np.ndarray, rule: Rule, sets: list[set] | None = None) -> list[tuple[int, int]]:
+    """Pairs that join all that fitting pairs (with ``sets``: similar ones) join: at most one for each row.
+
+    Breadth first from any row: what a row reaches leaves the list. A row is compared with all rows still in it, so no pair
+    between two trees is passed over. ``side`` is 0 for all rows, or 1 and 2 for two blocks of which only pairs across count.
+    """
+    left, found = np.arange(len(rows)), []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            one = queue.pop()
+            near = fitting(rule, sizes[one], bits[one], sizes[left], bits[left]) & ((side[left] != side[one]) | (side[one] == 0))
+            if sets is not None:
+                at = np.flatnonzero(near)
+                near[at] = [similar(sets[one], sets[i], rule.least) for i in left[at].tolist()]
+            if near.any():
+                got = left[near]
+                found += [(int(rows[one]), int(rows[i])) for i in got]
+                queue.extend(got.tolist())
+                left = left[~near]
+    return found
+
+
+PAIRS = "a long, b long"
+
+
+def pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(found, np.int64).reshape(-1, 2)
+    both.sort(1)
+    both = np.unique(both, axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def in_cells(rows: DataFrame, group: str, weight: int) -> DataFrame:
+    """``rows`` with a column ``cell`` and a ``side``, dealt and sorted by ``group`` and cell.
+
+    A group of up to ``weight`` rows and about ``WEIGHT`` shingles is one cell. A larger one is dealt into blocks of about that by hash,
+    and each two of them, and each one, are a cell, so no task holds more than two blocks.
+    """
+    size = rows.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / weight), F.ceil(F.sum("n") / WEIGHT)).alias("parts"))
+    dealt = rows.join(size, group).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")))
+    many = dealt.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    split = many.select(*rows.columns, (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("cell"), side.alias("side"))
+    cells = dealt.where("parts = 1").select(*rows.columns, F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side")).union(split)
+    return cells.repartition(group, "cell").sortWithinPartitions(group, "cell")
+
+
+def solved(cells: DataFrame, group: str, rule: Rule, texts: bool) -> DataFrame:
+    """The forest of each cell, from rows of (group, cell, side, row, n, bits) and the text, which confirms on full sets if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, own = None, set()
+        held: list[tuple] = []
+        now, found = None, []
+
+        def solve() -> None:
+            side, rows, sizes = (np.array(x) for x in list(zip(*held))[:3])
+            found.extend(forest(rows, sizes, np.stack([h[3] for h in held]), side, rule, [h[4] for h in held] if texts else None))
+
         for batch in batches:
-            keep = []
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                if a != lead:
-                    lead, own = a, shingles(x.as_py() or "", rule.shingle)
-                keep.append(similar(own, shingles(y.as_py() or "", rule.shingle), rule.least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
-
-
-class Search:
-    """One search for links among distinct sets: what has been tried, what was found, and the components so far."""
-
-    def __init__(self, sketch: DataFrame, texts: DataFrame, rule: Rule):
-        keyed = sketch.select(F.explode("keys").alias("key"), "row")
-        heads = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("row").alias("lead")).where("rows > 1")
-        self.rule, self.sketch = rule, sketch
-        self.members = stored(keyed.join(heads.select("key", "lead"), "key"), "minhash-members")
-        self.texts = stored(texts.join(self.members.select("row").distinct(), "row", "left_semi"), "minhash-texts")
-        self.found = sketch.sparkSession.createDataFrame([], "a long, b long")
-        self.tried: list[DataFrame] = []
-        self.roots: DataFrame | None = None
-
-    def estimated(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) of ``pairs`` whose sketches fit."""
-        one = self.sketch.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-        two = self.sketch.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-        return pairs.join(one, "a").join(two, "b").where(fits(self.rule, F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"))).select("a", "b")
-
-    def rooted(self, rows: DataFrame, row: str, root: str) -> DataFrame:
-        """``rows`` with the root of column ``row`` as ``root``."""
-        if self.roots is None:
-            return rows.withColumn(root, F.col(row))
-        named = self.roots.select(F.col("node").alias(row), F.col("root").alias(root))
-        return rows.join(named, row, "left").withColumn(root, F.coalesce(root, row))
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        both = self.rooted(self.rooted(pairs, "a", "root_a"), "b", "root_b")
-        return both.where("root_a <> root_b").select("a", "b")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Confirm fitting pairs and take up their links."""
-        pairs = stored(pairs, "minhash-tried")
-        self.tried.append(pairs)
-        self.found = stored(self.found.union(confirmed(pairs, self.texts, self.rule)), "minhash-links")
-        self.roots = components(self.found)
-
-    def untried(self, pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return reduce(lambda p, q: p.join(q, ["a", "b"], "left_anti"), self.tried, pairs)
-
-    def stars(self) -> None:
-        """Each row with the least row of each of its keys: one lead for each row first, then those still apart."""
-        star = stored(self.estimated(self.members.where("row <> lead").select(F.col("lead").alias("a"), F.col("row").alias("b")).distinct()), "minhash-star")
-        self.confirm(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        self.confirm(self.untried(self.apart(star)))
-
-    def open(self) -> tuple[DataFrame, int, int]:
-        """Members of the keys under which more than one root is left, how many they are, and how many pairs they have left apart."""
-        placed = self.rooted(self.members.select("key", "row"), "row", "root")
-        split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
-        held = stored(placed.join(split.select("key"), "key").join(self.sketch.select("row", "n", "bits"), "row"), "minhash-open")
-        per = held.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        rows, pairs = per.agg(F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0))).first()
-        return held, int(rows), int(pairs)
-
-    def across(self, held: DataFrame, leads: DataFrame) -> DataFrame:
-        """Fitting (a, b) of ``leads`` and rows of ``held`` under the same key, with different roots."""
-        left = leads.select("key", F.col("row").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-        right = held.select(F.col("key").alias("own"), F.col("row").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-        both = (F.col("key") == F.col("own")) & (F.col("root_a") != F.col("root_b"))
-        return left.join(right, both & fits(self.rule, F.col("n_a"), F.col("n_b"), F.col("bits_a"), F.col("bits_b"))).select("a", "b")
-
-    def links(self) -> DataFrame:
-        """(a, b) links that join exactly what the similar pairs under a common key join.
-
-        A key's rows meet its least row first. Then, in rounds, keys with several roots put up a few new leads, each compared
-        with the rows of other roots only, so a dense group grows together by a few passes over its rows. Once little is left
-        apart, or after the last round, all pairs that are left apart are compared, so no link is lost.
-        """
-        self.stars()
-        for turn in range(ROUNDS + 1):
-            held, rows, pairs = self.open()
-            if not pairs:
-                break
-            if pairs <= FEW * rows or turn == ROUNDS:
-                self.confirm(self.untried(self.across(held, held).where("a < b")))
-                break
-            part = F.pmod(F.xxhash64("root", F.lit(turn)), F.lit(LEADS))
-            chosen = held.groupBy("key", part.alias("part")).agg(F.min(F.struct(F.xxhash64("row", F.lit(turn)).alias("draw"), "row", "root", "n", "bits")).alias("lead"))
-            self.confirm(self.untried(self.across(held, chosen.select("key", "lead.row", "lead.root", "lead.n", "lead.bits"))))
-        return self.found
+            if not batch.num_rows:
+                continue
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            marks = list(zip(columns[group].to_pylist(), columns["cell"].to_pylist()))
+            sides, rows, sizes = (columns[x].to_pylist() for x in ("side", "row", "n"))
+            bits = columns["bits"].flatten().to_numpy().view(np.uint64).reshape(len(marks), -1)
+            for i, mark in enumerate(marks):
+                if mark != now:
+                    if len(held) > 1:
+                        solve()
+                    now, held = mark, []
+                own = frozenset(map(_hash, shingles(columns["text"][i].as_py() or "", rule.shingle))) if texts else None
+                held.append((sides[i], rows[i], sizes[i], bits[i].copy(), own))
+            if len(found) > 1 << 14:
+                yield pair_batch(found)
+                found = []
+        if len(held) > 1:
+            solve()
+        yield pair_batch(found)
+
+    wanted = [group, "cell", "side", "row", "n", "bits"] + (["text"] if texts else [])
+    return cells.select(*wanted).mapInArrow(run, PAIRS)
+
+
+def links(sketch: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) links that join exactly what the similar pairs under a common band key join, from distinct sets and (row, text).
+
+    Under each key rows whose sketches fit are joined to clusters; a cluster holds whatever could be linked. Its rows then meet with their
+    full sets, in one cell or cell by cell, and give a spanning forest of the similar pairs. No list of pairs is ever made, so
+    a dense group costs rows times blocks to move and nothing in links but one for each row.
+    """
+    keyed = sketch.select(F.explode("keys").alias("key"), "row")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    members = stored(keyed.join(shared, "key"), "minhash-members")
+    near = solved(in_cells(members.join(sketch.select("row", "n", "bits"), "row"), "key", KEY_BLOCK), "key", rule, texts=False)
+    joined = components(near.distinct())
+    clusters = joined.select(F.col("node").alias("row"), F.col("root").alias("cluster")).union(joined.select("root", "root").distinct())
+    rows = clusters.join(sketch.select("row", "n", "bits"), "row").join(texts, "row")
+    cells = in_cells(stored(rows, "minhash-rows"), "cluster", BLOCK)
+    return stored(solved(cells, "cluster", rule, texts=True).distinct(), "minhash-links")
 
 
 def grouped(sketch: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -250,9 +246,8 @@ def grouped(sketch: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """
     sets = stored(sketch.where("n > 0").groupBy("digest").agg(F.min("row").alias("node")), "minhash-sets")
     distinct = stored(sketch.select("row", "n", "keys", "bits").join(sets.select(F.col("node").alias("row")), "row", "left_semi"), "minhash-distinct")
-    search = Search(distinct, texts, rule)
-    search.links()
-    return stored(search.rooted(sets, "node", "root").select("digest", "root"), "minhash-grouped")
+    joined = components(links(distinct, texts, rule))
+    return stored(sets.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "minhash-grouped")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = DEFAULT) -> DataFrame:
