@@ -220,25 +220,25 @@ def solved(cells: DataFrame, group: str, rule: Rule, texts: bool) -> DataFrame:
     return cells.select(*wanted).mapInArrow(run, PAIRS)
 
 
-def links(sketch: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def links(sketch: DataFrame, texts: DataFrame, rule: Rule, group: int | None = None) -> DataFrame:
     """(a, b) links that join exactly what the similar pairs under a common band key join, from distinct sets and (row, text).
 
     Under each key rows whose sketches fit are joined to clusters; a cluster holds whatever could be linked. Its rows then meet with their
     full sets, in one cell or cell by cell, and give a spanning forest of the similar pairs. No list of pairs is ever made, so
-    a dense group costs rows times blocks to move and nothing in links but one for each row.
+    a dense group costs rows times blocks to move and nothing in links but one for each row. ``group`` is the rows of a block.
     """
     keyed = sketch.select(F.explode("keys").alias("key"), "row")
     shared = keyed.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     members = stored(keyed.join(shared, "key"), "minhash-members")
-    near = solved(in_cells(members.join(sketch.select("row", "n", "bits"), "row"), "key", KEY_BLOCK), "key", rule, texts=False)
+    near = solved(in_cells(members.join(sketch.select("row", "n", "bits"), "row"), "key", group or KEY_BLOCK), "key", rule, texts=False)
     joined = components(near.distinct())
     clusters = joined.select(F.col("node").alias("row"), F.col("root").alias("cluster")).union(joined.select("root", "root").distinct())
     rows = clusters.join(sketch.select("row", "n", "bits"), "row").join(texts, "row")
-    cells = in_cells(stored(rows, "minhash-rows"), "cluster", BLOCK)
+    cells = in_cells(stored(rows, "minhash-rows"), "cluster", group or BLOCK)
     return stored(solved(cells, "cluster", rule, texts=True).distinct(), "minhash-links")
 
 
-def grouped(sketch: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def grouped(sketch: DataFrame, texts: DataFrame, rule: Rule, group: int | None = None) -> DataFrame:
     """(digest, root) of every set that is not empty; root is the least row of its component.
 
     ``sketch`` is a stored table of ``sketches``, ``texts`` the (row, text) it was made from, with the same row numbers. Equal sets
@@ -246,7 +246,7 @@ def grouped(sketch: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """
     sets = stored(sketch.where("n > 0").groupBy("digest").agg(F.min("row").alias("node")), "minhash-sets")
     distinct = stored(sketch.select("row", "n", "keys", "bits").join(sets.select(F.col("node").alias("row")), "row", "left_semi"), "minhash-distinct")
-    joined = components(links(distinct, texts, rule))
+    joined = components(links(distinct, texts, rule, group))
     return stored(sets.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "minhash-grouped")
 
 
