@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zocalo.llm import cascade, language, minhash, mixing, neighbours, packing, pii, quality, simhash, suffix_tree, tokens
+from zocalo.llm import cascade, conversations, hard_negatives, language, minhash, mixing, neighbours, packing, pii, quality, simhash, suffix_tree, tokens
 from zocalo.llm.frames import table
 from zocalo.llm.sql import CASCADE_SQL, MIXING_SQL
 
@@ -33,5 +33,7 @@ over("op7_near_duplicates", simhash.near_duplicates)
 over("op8_language_id", language.identify)
 over("op9_suffix_tree_scores", suffix_tree.lm_scores)
 over("op10_rule_cascade", cascade.rule_cascade, sql=CASCADE_SQL)
+over("op11_hard_negatives", hard_negatives.hard_negatives, "embeddings")
 over("op12_minhash_duplicates", minhash.near_duplicates)
+over("op13_conversation_repair", conversations.repair, "conversations")
 QUERIES["pipeline"] = (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
