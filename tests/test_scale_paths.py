@@ -28,8 +28,8 @@ def test_asof_is_the_same_when_keys_are_split(spark):
     for i, k, t in sales:
         before = [(t2, ev) for ev, k2, t2 in events if t is not None and k2 == k and t2 <= t]
         naive.append((i, max(before)[1] if before else None))
-    for hot in (None, ordered.hot_keys(left, ["k"], rows=3, fraction=1.0)):
-        got = ordered.asof_backward(left, right, ["k"], "t", "t2", "ev", hot=hot).select("id", "ev")
+    for parts in (None, 1, 13):  # more ranges than keys: the hot key lies across most of them
+        got = ordered.asof_backward(left, right, ["k"], "t", "t2", "ev", parts=parts).select("id", "ev")
         assert rows(got) == sorted(naive, key=str)
 
 
@@ -38,6 +38,7 @@ def test_interval_join_is_the_same_for_busy_keys(spark):
     sales = [(i % 40, f"k{i % 3}", f"2024-03-{rng.randint(1, 28):02d} {rng.choice(['00:00', '13:45'])}:00") for i in range(150)]
     spans = [(f"p{i:02d}", f"k{i % 3}", f"2024-03-{a:02d}", f"2024-03-{min(a + rng.randint(0, 6), 28):02d}")
              for i in range(45) for a in [rng.randint(1, 28)]]
+    spans += [("ten", "k1", "2024-03-20", "2034-03-20"), ("none", "k2", "2024-03-09", "2024-03-08"), ("nil", None, "2024-03-01", "2024-03-28")]
     left = spark.createDataFrame(sales, "o int, k string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
     right = spark.createDataFrame(spans, "p string, k string, s string, e string").withColumns({"s": F.col("s").cast("date"), "e": F.col("e").cast("date")})
     best = {}
@@ -46,8 +47,51 @@ def test_interval_join_is_the_same_for_busy_keys(spark):
             if k == k2 and s + " 00:00:00" <= t <= e + " 00:00:00":
                 best[o] = min(best.get(o, ("9", "")), (s, p))
     expected = sorted(((o, v[1]) for o, v in best.items()), key=str)
-    for fan_out in (1, 100):
-        assert rows(joins.first_valid_interval(left, right, ["k"], "o", "t", "s", "e", "p", fan_out)) == expected
+    for parts in (None, 1, 17):
+        assert rows(joins.first_valid_interval(left, right, ["k"], "o", "t", "s", "e", "p", parts)) == expected
+
+
+def test_running_values_over_batches_and_ranges(spark):
+    rng = random.Random(11)
+    data = [(rng.choice(["hot", "hot", "a", None]), rng.randint(0, 40) if rng.random() < 0.9 else None, i, rng.randint(0, 99) if rng.random() < 0.4 else None) for i in range(400)]
+    df = spark.createDataFrame(data, "k string, t int, i int, v int")
+
+    def plain(fold, before):
+        out = []
+        for k, t, i, _ in data:
+            held = [(t2, i2, v) for k2, t2, i2, v in data if k2 == k and t is not None and t2 is not None and v is not None and ((t2, i2) < (t, i) or (t2, i2) == (t, i) and not before)]
+            out.append((i, fold(held) if held else None))
+        return sorted(out, key=str)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for before in (False, True):
+            for parts in (1, 9):
+                last = ordered.running_last(df, ["k"], "t", ["i"], F.col("v"), "got", before, parts)
+                assert rows(last.select("i", "got")) == plain(lambda held: max(held)[2], before)
+                most = ordered.running_max(df, ["k"], "t", ["i"], F.col("v"), "got", before, parts)
+                assert rows(most.select("i", "got")) == plain(lambda held: max(v for _, _, v in held), before)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_ordered_scan_reads_and_shuffles_once(spark):
+    from zocalo.queries import QUERIES
+    frame = QUERIES["J04_join_asof_backward"].run(spark, PATH)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    shuffles = [line for line in plan.splitlines() if "Exchange rangepartitioning" in line]
+    assert len(shuffles) == 2 and sum("ReusedExchange" in line for line in shuffles) == 1
+
+
+def test_median_of_large_groups_sorts_only_the_middle(spark):
+    data = spark.range(400_000).selectExpr("CASE WHEN id % 4 = 0 THEN NULL ELSE id % 3 END AS g", "CAST(pmod(hash(id), 1000003) AS double) * IF(id % 7 = 0, 1e30, -1) AS v")
+    exact = data.groupBy("g").agg(F.expr("percentile(v, 0.5)").alias("median"))
+    got = aggregates.exact_median(data, ["g"], "v")
+    assert rows(got) == rows(exact)
+    assert rows(aggregates.exact_median(data, [], "v")) == rows(data.agg(F.expr("percentile(v, 0.5)")))
+    assert rows(aggregates.exact_median(data.filter("false"), [], "v")) == [(None,)]
+    assert rows(aggregates.exact_median(data.filter("false"), ["g"], "v")) == []
 
 
 def test_exact_median(spark):
@@ -76,11 +120,58 @@ def test_nearest_in_small_blocks(spark):
         assert rows(got.select("q", "doc", "distance", "position")) == brute(bool(by))
 
 
+def test_balls_are_skipped_and_nothing_is_missed():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 16)) * 20
+    docs = centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 16))
+    asked = centres[rng.integers(0, 30, 64)] + rng.normal(size=(64, 16))
+    for metric in ("l2sq", "cosine"):
+        docs[7] = 0
+        table = retrieval._distances(asked, docs, metric)
+        for k, within, distinct in ((5, None, None), (9000, 0.9, None), (4, None, np.arange(6000) // 3)):
+            q, d, far, compared = retrieval.near_in_balls(retrieval.Balls(docs, metric, 200), docs, asked, k, metric, None, within, distinct)
+            q, d, far = (np.concatenate(x) for x in (q, d, far))
+            if within is None:
+                assert compared < 64 * 6000 / 3
+            for i in range(64):
+                best = sorted((x, j) for j, x in enumerate(table[i]) if within is None or x <= within)
+                firsts, seen = [], set()
+                for x, j in best:
+                    if distinct is None or distinct[j] not in seen:
+                        firsts.append((x, j))
+                        seen.add(j if distinct is None else distinct[j])
+                own = sorted(zip(far[q == i], d[q == i]))
+                assert set(firsts[:k]) <= set(own)
+
+
+@pytest.mark.parametrize("metric,within", [("l2sq", None), ("cosine", None), ("l2sq", 9.0)])
+def test_queries_go_only_to_balls_that_may_hold_a_neighbour(spark, metric, within):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 8)) * 15
+    docs = [(i, (centres[i % 20] + rng.normal(size=8)).tolist()) for i in range(900)] + [(900, [0.0] * 8), (900, [1.0] * 8), (901, None)]
+    d = spark.createDataFrame(docs, "doc int, embedding array<double>")
+    q = d.filter("doc % 50 = 0").withColumnRenamed("doc", "q")
+    got = retrieval.nearest(q, d, 4, "q", "doc", metric=metric, others=True, within=within, document_block=60, query_block=7)
+    expected = []
+    usable = [(i, np.array(v)) for i, v in docs if v is not None]
+    for i, v in usable:
+        if i % 50 == 0:
+            far = retrieval._distances(v[None], np.array([w for _, w in usable]), metric)[0]
+            near = sorted((x, j) for x, (j, _) in zip(far.tolist(), usable) if j != i and (within is None or x <= within))
+            expected += [(i, j, x, n + 1) for n, (x, j) in enumerate(near[:4])]
+    if within is not None or metric == "l2sq":
+        visits = retrieval._dealt(d.filter("embedding is not null").withColumnRenamed("embedding", "_vector"), q.withColumnRenamed("embedding", "_vector"), [], 6, metric,
+                                  "q", "doc", 60, 7, within, True, 902)[1]
+        assert visits.count() < q.count() * 12
+    mine = [r for r in rows(got.select("q", "doc", "distance", "position")) if r[0] != 900]
+    assert mine == sorted((e for e in expected if e[0] != 900), key=str)
+
+
 def test_sample_and_numbering_do_not_depend_on_partitions(spark):
     df = spark.range(500).withColumn("g", F.col("id") % 3)
     samples = [rows(sampling.weighted_sample(df.repartition(n), "id", F.col("g") + 1, 50, "s").select("id")) for n in (2, 7)]
     assert samples[0] == samples[1] and len(samples[0]) == 50
-    numbered = sampling.numbered(df.repartition(5), ["g"], ["id"], buckets=8).collect()
+    numbered = sampling.numbered(df.repartition(5), ["g"], ["id"], rows=8).collect()
     for g in range(3):
         assert sorted(r["idx"] for r in numbered if r["g"] == g) == list(range(sum(r["g"] == g for r in numbered)))
 
@@ -138,6 +229,42 @@ def test_metric_layer_counts_orders_once_and_rejects_unknown(spark):
         metric_query(m, MetricSpec("profit"))
 
 
+def test_draws_number_only_the_buckets_they_fall_into(spark):
+    df = spark.range(3000).withColumn("k", F.col("id") * 7)
+    pools = [rows(sampling.sample_with_replacement(df.repartition(n), ["id"], 400, "s", rows=size)) for n, size in ((2, 4096), (7, 16), (3, 1))]
+    assert pools[0] == pools[1] == pools[2] and len(pools[0]) == 400
+    order = [r["id"] for r in df.orderBy(sampling.hash32("bucket", F.col("id")), "id").collect()]
+    picked = {r["draw"]: r["i"] for r in spark.range(400).select(F.col("id").alias("draw"), (sampling.hash32("s", F.col("id")) % 3000).alias("i")).collect()}
+    assert pools[0] == sorted(((d, order[i]) for d, i in picked.items()), key=str)
+    assert sampling.sample_with_replacement(df.filter("false"), ["id"], 5, "s").count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    from zocalo.operators.graphs import connected
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 301)]
+    roots = {r["node"]: r["root"] for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(roots[i] == 0 for i in range(41)) and all(roots[i] == 100 for i in range(100, 160)) and roots[301] == 300
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_dataset_hash_equals_the_tree_level_by_level(spark):
+    import hashlib
+    from zocalo.operators import evaluation
+    data = {p: f"v{p}" for p in (*range(0, 40), 63, 64, 700, 5000, 70_000)}
+    df = spark.createDataFrame(list(data.items()), "p long, v string")
+    level = {p: hashlib.sha256(v.encode()).hexdigest() for p, v in data.items()}
+    for _ in range(7):
+        above = {}
+        for p in sorted(level):
+            above[p // 4] = above.get(p // 4, "") + level[p]
+        level = {p: hashlib.sha256(t.encode()).hexdigest() for p, t in above.items()}
+    got = evaluation.content_hash(df, "p", F.col("v"), width=4)
+    assert [r[0] for r in got.collect()] == [level[p] for p in sorted(level)] or len(level) > 1
+    assert sorted(r[0] for r in got.collect()) == sorted(level.values())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 2
+
+
 def test_rows_without_a_key_match_no_event(spark):
     left = spark.createDataFrame([(1, None, "2024-01-02"), (2, "a", "2024-01-02"), (3, "a", None)], "id int, k string, t string").withColumn(
         "t", F.col("t").cast("timestamp_ntz"))

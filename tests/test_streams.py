@@ -49,3 +49,21 @@ def test_a_batch_that_runs_again_replaces_its_part(spark):
     log.write(spark.range(3).select(F.col("id").cast("string").alias("call_id"), F.lit("m").alias("memory_id")), "s", 0)
     log.write(spark.range(2).select(F.col("id").cast("string").alias("call_id"), F.lit("m").alias("memory_id")), "s", 0)
     assert counts(log) == {"m": 2}
+
+
+def test_parts_of_a_log_pile_up_in_levels(spark):
+    log = sinks.BatchLog(spark, run_dir(spark, "log"), fan=3)
+    fold = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
+    frame = lambda k: spark.createDataFrame([(k, 1), ("all", 1)], "k string, n long")
+    most = 0
+    for batch in range(20):
+        for stream in ("s", "t"):
+            log.write(frame(stream), stream, batch)
+            log.compact(fold)
+            log.write(frame(stream), stream, batch)  # the last batch runs again
+        log.write(frame("late"), "s", max(batch - 9, 0) if batch > 9 else batch)  # an old one must not count again
+        if batch <= 9:
+            log.write(frame("s"), "s", batch)
+        most = max(most, len(log.parts()))
+    assert {r["k"]: r["n"] for r in fold(log.read()).collect()} == {"s": 20, "t": 20, "all": 40}
+    assert most <= 12

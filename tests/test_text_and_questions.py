@@ -77,3 +77,12 @@ def test_folding_of_other_scripts_and_long_labels(spark):
     row = spark.createDataFrame([("ＡＢＣ ガ हि̃", "x" * 1500)], "x string, y string").select(
         text.fold(F.col("x")).alias("native"), text.fold_any_script("x").alias("exact"), F.length(column_label(F.col("y"))).alias("n")).first()
     assert row["native"] == row["exact"] and row["n"] == 1500
+
+
+def test_folding_equals_full_decomposition_in_every_script(spark):
+    import unicodedata
+    points = [c for a, b in ((0x80, 0xD800), (0xE000, 0x20000), (0x2F800, 0x2FA20), (0xE0100, 0xE01F0)) for c in range(a, b) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    texts = ["".join("x" + chr(c) for c in points[i:i + 40]) for i in range(0, len(points), 40)] + ["한국어 각 가힣", "㍿ ﷺ ㌀ ½ … 𝔘𝔫𝔦 ①⑳ ☎ 漢字 豈 丽", "a\0b é"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string").select("x", text.without_accents(F.col("x")).alias("native"))
+    wrong = [(r["x"], r["native"]) for r in df.collect() if r["native"] != text.strip_marks(r["x"])]
+    assert not wrong, wrong[:2]

@@ -10,10 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Code points the native accent folding covers one to one: every script of the basic plane. Those that decompose into
-# several characters are covered in the second list; Hangul syllables and squared or ligature forms beyond it are not.
-FOLDED_RANGES = ((0x80, 0x2E80), (0x3000, 0x3200), (0xA640, 0xAC00), (0xF900, 0x10000))
-EXPANDED_RANGES = ((0x80, 0x250), (0xFB00, 0xFB07), (0x2026, 0x2027), (0x2122, 0x2123))
+# Where a character can stand for several others, as ranges that are looked for before their table is used. A range's table
+# is worked out from the character database; the first holds what is common, the others what a text has only in special scripts.
+EXPANDED_RANGES = (((0x80, 0x250), (0x2026, 0x2027), (0x2122, 0x2123), (0xFB00, 0xFB07)),
+                   ((0x250, 0x2026), (0x2027, 0x2122), (0x2123, 0x2E80)),
+                   ((0x2E80, 0x3400),), ((0x3400, 0xAC00), (0xD7A4, 0xFB00), (0xFB07, 0xFE00)), ((0xFE00, 0x10000),), ((0x10000, 0x20000),))
+#: No other character decomposes, but for Hangul syllables.
+DECOMPOSING = ((0x80, 0x3400), (0xA000, 0xAC00), (0xF900, 0x20000), (0x2F800, 0x2FA20))
+# A Hangul syllable is composed of one of 19 leading, 21 vowel and 27 trailing letters (or none) by its number.
+HANGUL, LEADS, VOWELS, TRAILS = 0xAC00, 0x1100, 0x1161, 0x11A8
+LETTERS = "".join(chr(c) for c in (*range(LEADS, LEADS + 19), *range(VOWELS, VOWELS + 21), *range(TRAILS, TRAILS + 27)))
 
 
 def strip_marks(value: str) -> str:
@@ -21,29 +27,55 @@ def strip_marks(value: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _fold_table() -> tuple[str, str, dict[str, str]]:
-    """Characters to map one-to-one, their bases, and those that expand to several."""
-    source, base, dropped, expanded = [], [], [], {}
-    for low, high in FOLDED_RANGES + EXPANDED_RANGES:
+def _fold_table() -> tuple[str, str, list[dict[str, str]]]:
+    """Characters to map one-to-one, their bases, and for each list of ranges those that expand to several."""
+    source, base, dropped = [], [], []
+    expanded: list[dict[str, str]] = [{} for _ in EXPANDED_RANGES]
+    for low, high in DECOMPOSING:
         for char in map(chr, range(low, high)):
+            if not unicodedata.decomposition(char) and not unicodedata.combining(char):
+                continue
             plain = strip_marks(char)
             if plain == "":
                 dropped.append(char)
             elif len(plain) == 1 and plain != char:
                 source.append(char)
                 base.append(plain)
-            elif len(plain) > 1 and any(a <= ord(char) < b for a, b in EXPANDED_RANGES):
-                expanded[char] = plain
+            elif len(plain) > 1:
+                own = next(i for i, ranges in enumerate(EXPANDED_RANGES) if any(a <= ord(char) < b for a, b in ranges))
+                expanded[own][char] = plain
     return "".join(source + dropped), "".join(base), expanded
 
 
+def _with_letters(x: Column) -> Column:
+    """Hangul syllables as their letters, by the number of the syllable."""
+    def letters(char: Column) -> Column:
+        number = F.ascii(char) - HANGUL
+        trail = number % 28
+        pick = lambda place: F.substring(F.lit(LETTERS), place.cast("int"), F.lit(1))
+        spelled = F.concat(pick(F.floor(number / 588) + 1), pick(F.floor((number % 588) / 28) + 20), F.when(trail > 0, pick(trail + 40)).otherwise(""))
+        return F.when((number >= 0) & (number < 19 * 588), spelled).otherwise(char)
+
+    return F.array_join(F.transform(F.split(x, ""), letters), "")
+
+
 def without_accents(x: Column) -> Column:
-    """Compatibility-decompose and drop combining marks, without leaving the JVM."""
-    source, base, expanded = _fold_table()
-    pairs = F.array(*[F.struct(F.lit(char).alias("char"), F.lit(text).alias("text")) for char, text in expanded.items()])
+    """Compatibility-decompose and drop combining marks in any script, without leaving the JVM.
+
+    Each text only goes through the tables that its own characters ask for.
+    """
+    source, base, tables = _fold_table()
+    # One text a table, cut at a mark that no text keeps: the character, then what it stands for.
+    entries = lambda table: F.split(F.lit("\0".join(char + text for char, text in table.items())), "\0")
+    expand = lambda value, table: F.aggregate(table, value, lambda done, e: F.replace(done, F.substring(e, 1, 1), F.substring(e, 2, 99)))
+    any_of = lambda ranges: "[" + "".join(rf"\x{{{a:x}}}-\x{{{b - 1:x}}}" for a, b in ranges) + "]"
     plain = F.translate(x, source, base)
-    wide = F.aggregate(pairs, plain, lambda done, pair: F.replace(done, pair["char"], pair["text"]))
-    return (F.when(~x.rlike(r"[^\x00-\x7F]"), x).when(x.rlike("[" + "".join(expanded) + "]"), wide).otherwise(plain))
+    common = F.when(x.rlike("[" + "".join(tables[0]) + "]"), expand(plain, entries(tables[0]))).otherwise(plain)
+    asked = [F.when(x.rlike(any_of(ranges)), entries(table)).otherwise(F.expr("cast(array() AS array<string>)")) for ranges, table in zip(EXPANDED_RANGES, tables)]
+    spelled = F.when(x.rlike(any_of([(HANGUL, HANGUL + 19 * 588)])), _with_letters(x)).otherwise(x)
+    rare = expand(F.translate(spelled, source, base), F.concat(*asked))
+    beyond = any_of([(0x250, 0x2010), (0x2027, 0x20A0), (0x2100, 0x2122), (0x2123, 0xFB00), (0xFB07, 0x110000)])
+    return F.when(~x.rlike(r"[^\x00-\x7F]"), x).when(x.rlike(beyond), rare).otherwise(common)
 
 
 def fold(x: Column) -> Column:
@@ -53,7 +85,7 @@ def fold(x: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def fold_any_script(x: pd.Series) -> pd.Series:
-    """Same as ``fold`` for every script, for text outside the native ranges."""
+    """Same as ``fold``, character by character in Python; tests hold the native form against it."""
     return x.map(lambda v: None if v is None else strip_marks(v).lower())
 
 

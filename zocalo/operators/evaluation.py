@@ -15,9 +15,11 @@ from zocalo.functions.numbers import ANSWER_NUMBER, MONTH, UUID, number_from_tex
 from zocalo.functions.sets import name_set, split_names
 from zocalo.functions.sqltext import read_only
 from zocalo.functions.text import casefold, compare_form
+from zocalo.operators.graphs import connected
 
 # Classes of a reference validation, thresholds of the sweep.
 CLASSES = ["correct", "golden_set_outdated", "reference_sql_error"]
+LARGE_CASE = 2000  # rows up to which a case is matched as one group; not a fixed value
 THRESHOLDS = [0.00, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09, 0.10, 0.12, 0.15, 0.20, 0.30, 0.50, 1.00, 2.00]
 
 
@@ -103,7 +105,7 @@ def _looks(value: _Value, width: float) -> list[tuple]:
 
 def _greedy_match(key: tuple, actual: pd.DataFrame, expected: pd.DataFrame) -> pd.DataFrame:
     """First fit in row order, as defined; each expected row looks only at actual rows that may hold its rarest value."""
-    case_id, tolerance = key
+    case_id, tolerance = key[:2]
     width = tolerance + 1e-8  # wider than any difference that still counts as equal
     rows = _rows_of(actual)
     filed: dict[tuple, list[int]] = defaultdict(list)
@@ -138,24 +140,67 @@ def _greedy_match(key: tuple, actual: pd.DataFrame, expected: pd.DataFrame) -> p
     return pd.DataFrame({"case_id": [case_id], "matched": [matched]})
 
 
-def result_facts(cases: DataFrame, actual: DataFrame, expected: DataFrame) -> DataFrame:
+def _place_columns(looking: bool) -> Column:
+    """``_places`` of an actual value, or ``_looks`` of an expected one, as a list of texts. Very large numbers share a place."""
+    c = F.col
+    step = F.floor(F.when(F.abs(c("number") / c("_width")) < 1e15, c("number") / c("_width")))
+    has = c("number").isNotNull() & ~F.isnan("number")
+    number = lambda d: F.concat(F.lit("number "), F.coalesce((step + d).cast("string"), F.lit("large")))
+    month = F.concat(F.lit("month "), F.substring(F.coalesce("trimmed", F.lit("")), 1, 7))
+    form = F.concat(F.lit("form "), F.coalesce("form", F.lit("")))
+    numbers = F.when(has, F.array_distinct(F.array(*[number(d) for d in ((-1, 0, 1) if looking else (0,))]))).otherwise(F.array())
+    uuid = F.when(c("uuid").isNotNull(), F.array(F.concat(F.lit("uuid "), "uuid"))).otherwise(F.array())
+    texts = F.when(c("month"), F.array(month)).otherwise(F.array(form)) if looking else F.array(form, month)
+    return F.when(c("raw").isNull(), F.array(F.lit("null"))).otherwise(F.concat(texts, numbers, uuid))
+
+
+def _components(actual: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Long rows with the component of the candidate graph that their row lies in, as ``_part``.
+
+    An expected row is linked to the places of its rarest value, and those to the actual rows filed there, which are all that can hold
+    that value.  Rows of different components can never match, so each component is matched by itself.
+    """
+    node = lambda kind, what: F.xxhash64("case_id", F.lit(kind), what)
+    filed = actual.select("case_id", "row_no", F.explode(_place_columns(False)).alias("place")).distinct()
+    sizes = filed.groupBy("case_id", "place").agg(F.count(F.lit(1)).alias("_size"))
+    looks = expected.select("case_id", "row_no", "pos", F.explode(_place_columns(True)).alias("place")).join(sizes, ["case_id", "place"], "left")
+    options = looks.groupBy("case_id", "row_no", "pos").agg(F.coalesce(F.sum("_size"), F.lit(0)).alias("_all"), F.collect_list("place").alias("_where"))
+    rarest = options.groupBy("case_id", "row_no").agg(F.min_by("_where", F.struct("_all", "pos")).alias("_where"))
+    wanted = rarest.select("case_id", "row_no", F.explode("_where").alias("place"))
+    links = wanted.select(node("expected", "row_no").alias("a"), node("place", "place").alias("b")).union(
+        filed.join(wanted.select("case_id", "place").distinct(), ["case_id", "place"]).select(node("actual", "row_no").alias("a"), node("place", "place").alias("b")))
+    parts = connected(links).select(F.col("node").alias("_node"), F.col("root").alias("_part"))
+    named = lambda df, kind: df.withColumn("_node", node(kind, "row_no")).join(parts, "_node").drop("_node")
+    return named(actual, "actual"), named(expected, "expected")
+
+
+def result_facts(cases: DataFrame, actual: DataFrame, expected: DataFrame, large: int = LARGE_CASE) -> DataFrame:
     """Whether each expected row finds its own actual row that holds all its values.
 
     ``cases`` has (case_id, tolerance), the row tables (case_id, row_no, pos, value).
     Names, order and extra columns do not matter; matching is greedy first fit on
-    both levels.  Row counts are compared first, so a case is only grouped, in one
-    task, if it has as many rows as expected.
+    both levels.  Row counts are compared first, so a case is only looked at if it has as many rows as expected.
+    A case of up to ``large`` rows is one group; a larger one falls into the components of its candidate
+    graph, each a group of its own, in which the order and so the result of the greedy matching is the same.
     """
     size = lambda df, name: df.groupBy("case_id").agg(F.count_distinct("row_no").alias(name))
     counted = (cases.join(size(actual, "_a"), "case_id", "left").join(size(expected, "_e"), "case_id", "left")
                .fillna(0, ["_a", "_e"]))
-    fitting = counted.filter((F.col("_a") == F.col("_e")) & (F.col("_a") > 0)).select("case_id", "tolerance")
-    def grouped(df: DataFrame):
-        long = _with_forms(df).join(fitting, "case_id")
-        return long.toDF(*long.columns).groupBy("case_id", "tolerance")  # fresh column ids: both sides may share a source
-
-    kind = cases.schema["case_id"].dataType.simpleString()
-    matched = grouped(actual).cogroup(grouped(expected)).applyInPandas(_greedy_match, f"case_id {kind}, matched boolean")
+    fitting = counted.filter((F.col("_a") == F.col("_e")) & (F.col("_a") > 0)).select("case_id", "tolerance", "_a")
+    forms = lambda df, of: _with_forms(df).join(of, "case_id")
+    fresh = lambda df: df.toDF(*df.columns)  # fresh column ids: both sides may share a source
+
+    def matching(a: DataFrame, e: DataFrame, by: list[str]) -> DataFrame:
+        kind = cases.schema["case_id"].dataType.simpleString()
+        return fresh(a).groupBy(*by).cogroup(fresh(e).groupBy(*by)).applyInPandas(_greedy_match, f"case_id {kind}, matched boolean")
+
+    small = fitting.filter(F.col("_a") <= large).drop("_a")
+    matched = matching(forms(actual, small), forms(expected, small), ["case_id", "tolerance"])
+    many = fitting.filter(F.col("_a") > large).drop("_a")
+    if many.limit(1).count():
+        many = many.withColumn("_width", F.col("tolerance") + 1e-8)
+        parts = _components(fresh(forms(actual, many)), fresh(forms(expected, many)))
+        matched = matched.unionByName(matching(*parts, ["case_id", "tolerance", "_part"]).groupBy("case_id").agg(F.bool_and("matched").alias("matched")))
     return (counted.join(matched, "case_id", "left")
             .select("case_id", F.coalesce("matched", (F.col("_a") == 0) & (F.col("_e") == 0)).alias("matched")))
 
@@ -289,14 +334,24 @@ def sync_status(local: DataFrame, stored: DataFrame, key: str, fields: list[str]
 def content_hash(df: DataFrame, position: str, content: Column, width: int = 1024, levels: int = 7) -> DataFrame:
     """One digest over all rows in position order.
 
-    A tree of digests: ``width`` neighbours are hashed together level by level, so
-    no task ever holds more than ``width`` hashes; seven levels hold every bigint position.
+    A tree of digests: ``width`` neighbours are hashed together level by level; seven levels hold every bigint position.
+    The first two levels are folded where rows are dealt by their second-level group, all others, a millionth of the
+    rows, after one more shuffle, so the table is shuffled once and no hash holds more than ``width`` others.
     """
     rows = df.select(F.col(position).alias("p"), F.sha2(content, 256).alias("h"))
-    for _ in range(levels):
-        ordered = F.array_sort(F.collect_list(F.struct("p", "h")))
-        rows = (rows.groupBy(F.floor(F.col("p") / width).alias("g")).agg(ordered.alias("o"))
-                .select(F.col("g").alias("p"), F.sha2(F.array_join(F.col("o.h"), ""), 256).alias("h")))
+    for first, last in ((1, min(2, levels)), (3, levels)):
+        span = range(first, last + 1)
+        if not len(span):
+            break
+        above = [f"_g{n}" for n in span]
+        rows = rows.select("p", "h", *[F.expr(f"(p - pmod(p, {width ** (n - first + 1)}L)) div {width ** (n - first + 1)}L").alias(f"_g{n}") for n in span]).repartition(above[-1])
+        at = "p"
+        for n, own in enumerate(above):
+            # rows of a group lie together already, so these aggregates move nothing
+            ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("p"), "h")))
+            rows = rows.groupBy(*above[n:]).agg(ordered.alias("o")).select(*above[n:], F.sha2(F.array_join(F.col("o.h"), ""), 256).alias("h"))
+            at = own
+        rows = rows.select(F.col(above[-1]).alias("p"), "h")
     return rows.select(F.col("h").alias("content_sha256"))
 
 

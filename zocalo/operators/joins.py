@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zocalo.operators.ordered import asof_backward, running_max
 from zocalo.operators.ranking import best_per_key, top_n_per_key
 
 NATIONWIDE = "NACIONAL"
@@ -15,34 +16,37 @@ def left_once(left: DataFrame, right: DataFrame, key: str, order: list[str], tak
     return left.join(best_per_key(right, [key], order, take), key, "left")
 
 
+def winner_segments(intervals: DataFrame, by: list[str], start: str, end: str, interval_id: str, parts: int | None = None) -> DataFrame:
+    """Overlapping intervals of a key as disjoint stretches of time, each won by the interval with the least (start, id).
+
+    (by, _from, _segment): the stretch begins at ``_from`` and lasts to ``_segment._until``, both inclusive. In order of (start, id) an interval
+    wins exactly what lies beyond the latest end so far, as everything up to there is covered by an earlier one. So each interval gives
+    at most one stretch, however long it is.
+    """
+    at = lambda c: F.col(c).cast("timestamp_ntz")
+    keyed = F.col(start) <= F.col(end)
+    for column in by:
+        keyed = keyed & F.col(column).isNotNull()
+    usable = intervals.filter(keyed).select(*by, F.col(start).alias("_start"), F.col(interval_id).alias("_id"), at(start).alias("_begin"), at(end).alias("_until"))
+    covered = running_max(usable, by, "_begin", ["_id"], F.col("_until"), "_covered", before=True, parts=parts)
+    beyond = F.col("_covered") + F.expr("interval 1 microsecond")  # the next instant that a timestamp can hold
+    return (covered.filter(F.col("_covered").isNull() | (F.col("_until") > F.col("_covered")))
+            .select(*by, F.greatest("_begin", beyond).alias("_from"), F.struct("_until", "_start", "_id").alias("_segment")))
+
+
 def first_valid_interval(sales: DataFrame, intervals: DataFrame, by: list[str], group: str, ts: str, start: str,
-                         end: str, interval_id: str, fan_out: int = 32) -> DataFrame:
+                         end: str, interval_id: str, parts: int | None = None) -> DataFrame:
     """Per ``group`` the first interval (by start, id) that covers one of its sales.
 
     An interval is valid from the start of its first day to midnight of its last
-    day, both inclusive.  Keys with up to ``fan_out`` intervals join directly, so a
-    sale meets at most that many.  Busier keys are laid out by day and reduced to
-    one row per (key, day) first, which keeps their join free of fan-out too.
+    day, both inclusive.  Intervals become disjoint stretches first; each sale then looks
+    up the last stretch that begins at or before it, in one ordered scan over both.
     """
     dated = sales.select(group, *by, ts).filter(F.col(ts).isNotNull())
-    usable = intervals.filter(F.col(start) <= F.col(end)).select(*by, start, end, interval_id)
-    busy = usable.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > fan_out).select(*by)
-    first = F.struct(F.col(start), F.col(interval_id))
-
-    few = usable.join(busy, by, "left_anti")
-    direct = (dated.join(few, by).filter((F.col(ts) >= F.col(start)) & (F.col(ts) <= F.col(end)))
-              .select(group, first.alias("_valid")))
-
-    by_day = (usable.join(busy, by, "left_semi").withColumn("_day", F.explode(F.sequence(start, end)))
-              .groupBy(*by, "_day")
-              .agg(F.min(F.when(F.col("_day") < F.col(end), first)).alias("_any_time"),
-                   F.min(first).alias("_at_midnight")))
-    midnight = F.col(ts) == F.col("_day").cast("timestamp_ntz")
-    laid_out = (dated.join(busy, by, "left_semi").withColumn("_day", F.to_date(ts)).join(by_day, [*by, "_day"])
-                .select(group, F.when(midnight, F.col("_at_midnight")).otherwise(F.col("_any_time")).alias("_valid"))
-                .filter(F.col("_valid").isNotNull()))
-
-    return direct.unionByName(laid_out).groupBy(group).agg(F.min("_valid")[interval_id].alias(interval_id))
+    segments = winner_segments(intervals, by, start, end, interval_id, parts)
+    found = asof_backward(dated, segments, by, ts, "_from", "_segment", parts)
+    valid = found.filter(F.col(ts) <= F.col("_segment._until")).select(group, F.struct("_segment._start", "_segment._id").alias("_valid"))
+    return valid.groupBy(group).agg(F.min("_valid")["_id"].alias(interval_id))
 
 
 def orphan_keys(child: DataFrame, column: str, parent: DataFrame, parent_column: str, name: str) -> DataFrame:

@@ -118,13 +118,13 @@ def usable(version: str = EMBEDDING_VERSION) -> Column:
 
 
 def search(queries: DataFrame, memories: DataFrame, n: int, threshold: float = DISTANCE_THRESHOLD, mode: str = "prefilter",
-           overfetch: int = OVERFETCH, metric: str = "l2sq") -> DataFrame:
+           overfetch: int = OVERFETCH, metric: str = "l2sq", others: bool = False) -> DataFrame:
     """The ``n`` nearest distinct memories per query that pass the quality checks.
 
     ``prefilter`` compares only usable memories of the same intent and operation whose
     metrics include the question's, so it is complete and works in blocks.
     ``postfilter`` takes the nearest ``overfetch * n`` first and then filters, as the older
-    reading did; it may miss memories.
+    reading did; it may miss memories.  With ``others`` a query never finds its own id.
     """
     asked = queries.select("query_id", F.col("intent").alias("_intent"), F.col("operation").alias("_operation"),
                            F.col("metrics").alias("_metrics"))
@@ -132,9 +132,9 @@ def search(queries: DataFrame, memories: DataFrame, n: int, threshold: float = D
     if mode == "prefilter":
         pool = memories.filter(usable() & (F.col("fingerprint") != ""))
         found = nearest(queries, pool, n, "query_id", "memory_id", by=["intent", "operation"], metric=metric, mask="metrics",
-                        group="fingerprint", within=threshold)
+                        group="fingerprint", within=threshold, others=others)
     elif mode == "postfilter":
-        found = nearest(queries, memories, overfetch * n, "query_id", "memory_id", metric=metric, within=threshold)
+        found = nearest(queries, memories, overfetch * n, "query_id", "memory_id", metric=metric, within=threshold, others=others)
     else:
         raise ValueError(f"unknown mode: {mode}")
     checked = (found.filter(F.col("distance") <= threshold).drop("position").join(good, "memory_id").join(asked, "query_id")
@@ -152,9 +152,8 @@ def structural_key() -> Column:
         metrics=c("metrics"), operation=c("operation")))
 
 
-def search_structural(queries: DataFrame, memories: DataFrame, n: int, threshold: float = DISTANCE_THRESHOLD,
-                      metric: str = "l2sq") -> DataFrame:
-    """The ``n`` nearest memories with the same structure and an overlapping context.
+def _same_structure(queries: DataFrame, memories: DataFrame, k: int, threshold: float, metric: str, others: bool, group: str | None = None) -> DataFrame:
+    """The ``k`` nearest usable memories (of different ``group``) per query with the same structure and an overlapping context.
 
     Blocked and exact: the structural key is an equality, and the context rule
     (overlap, or either side empty) is one too once both sides are listed under
@@ -168,14 +167,29 @@ def search_structural(queries: DataFrame, memories: DataFrame, n: int, threshold
     asked = (queries.withColumn("_key", structural_key())
              .withColumn("_label", F.explode(F.when(F.size("context") > 0, F.concat("context", F.array(F.lit("\u0001any"))))
                                              .otherwise(F.array(F.lit("\u0001all"))))))
-    return nearest(asked, docs, n, "query_id", "memory_id", by=["_key", "_label"], metric=metric, within=threshold)
+    return nearest(asked, docs, k, "query_id", "memory_id", by=["_key", "_label"], metric=metric, within=threshold, group=group, others=others)
+
+
+def search_structural(queries: DataFrame, memories: DataFrame, n: int, threshold: float = DISTANCE_THRESHOLD,
+                      metric: str = "l2sq", others: bool = False) -> DataFrame:
+    """The ``n`` nearest memories with the same structure and an overlapping context."""
+    return _same_structure(queries, memories, n, threshold, metric, others)
 
 
 def search_compatible(queries: DataFrame, memories: DataFrame, n: int, threshold: float = DISTANCE_THRESHOLD,
-                      metric: str = "l2sq") -> DataFrame:
-    """Post-filter reading of the structural search: a wide ``search`` whose hits are then compared field by field."""
+                      metric: str = "l2sq", mode: str = "prefilter", others: bool = False) -> DataFrame:
+    """The ``n`` nearest memories of different fingerprint that agree field by field, with an overlapping context.
+
+    ``prefilter`` compares only such memories, so it finds them all.  ``postfilter`` is the older reading: a wide
+    ``search`` whose hits are then compared; it may miss memories.
+    """
+    if mode == "prefilter":
+        good = memories.filter(F.col("fingerprint") != "")
+        return _same_structure(queries, good, n, threshold, metric, others, "fingerprint")
+    if mode != "postfilter":
+        raise ValueError(f"unknown mode: {mode}")
     fields = ("metrics", "filters", "date_range", "group_by", "context")
-    wide = search(queries, memories, OVERFETCH * n, threshold, mode="postfilter", metric=metric).withColumnRenamed("position", "_place")
+    wide = search(queries, memories, OVERFETCH * n, threshold, mode="postfilter", metric=metric, others=others).withColumnRenamed("position", "_place")
     theirs = memories.select("memory_id", *[F.col(f).alias(f"_m_{f}") for f in fields])
     mine = queries.select("query_id", *fields)
     same = F.lit(True)
@@ -186,10 +200,10 @@ def search_compatible(queries: DataFrame, memories: DataFrame, n: int, threshold
 
 
 def inspect(queries: DataFrame, memories: DataFrame, n: int, threshold: float = INSPECTION_THRESHOLD,
-            validated: bool | None = None, metric: str = "l2sq") -> DataFrame:
+            validated: bool | None = None, metric: str = "l2sq", others: bool = False) -> DataFrame:
     """Free search for inspection: nearest candidates within the threshold, usage not recorded."""
     pool = memories if validated is None else memories.filter(F.col("validated") == validated)
-    found = nearest(queries, pool, n, "query_id", "memory_id", metric=metric, within=threshold)
+    found = nearest(queries, pool, n, "query_id", "memory_id", metric=metric, within=threshold, others=others)
     return top_n_per_key(found.withColumnRenamed("position", "_place"), ["query_id"], [F.col("_place")], n).drop("_place")
 
 

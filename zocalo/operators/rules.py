@@ -93,25 +93,40 @@ def _pieces(x: Column) -> Column:
     return F.regexp_extract_all(x, F.lit(r"(?U)\w+|[^\w]+"), F.lit(0))
 
 
+def anchored(terms: DataFrame) -> DataFrame:
+    """Terms with the piece they are looked up by: the word found in the fewest terms, of several the longest (marks only if there is no word).
+
+    Adds ``anchor``, its place ``_at`` in the term and the term's number of pieces ``_size``.
+    """
+    listed = terms.select("term").distinct().withColumn("_p", _pieces(F.col("term"))).filter(F.size("_p") > 0)
+    pieces = listed.select("term", F.size("_p").alias("_size"), F.posexplode("_p").alias("_at", "anchor"))
+    often = pieces.select("term", "anchor").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("_in"))
+    order = F.struct(~F.col("anchor").rlike(r"^(?U)\w"), "_in", -F.length("anchor"), "anchor", "_at")
+    best = pieces.join(often, "anchor").groupBy("term", "_size").agg(F.min_by(F.struct("anchor", "_at"), order).alias("_a"))
+    return terms.join(best.select("term", "_size", "_a.*"), "term")
+
+
 def tag_texts(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(key, rule) pairs for a rule catalogue of any size.
 
-    Every text is cut into its sequences of pieces, up to the length of the longest
-    term, and these join the terms on equality, so the work does not grow with texts
-    x rules. A sequence ends at word boundaries on both sides, as ``fired_rules``
-    asks: a mark at the start or end of a text has none outside.
+    The pieces of a text join the terms on each term's rarest word, one light row a piece; only where that word stands is the text's own
+    stretch of pieces compared with the whole term. So nothing is written out for words that no term is looked up by, however
+    long the terms are. A stretch ends at word boundaries on both sides, as ``fired_rules`` asks: a mark at the start or
+    end of a text has none outside.
     """
-    longest = F.broadcast(terms.agg(F.coalesce(F.max(F.size(_pieces(F.col("term")))), F.lit(0)).alias("_longest")))  # one row
     is_word = lambda piece: piece.rlike(r"^(?U)\w")
-    cut = (df.select(key, _pieces(matching_form(F.col(text))).alias("_p")).select(key, F.explode(F.array("_p")).alias("_p"))
-           .filter(F.size("_p") > 0).join(longest).filter("_longest > 0"))
+    cut = df.select(key, _pieces(matching_form(F.col(text))).alias("_p")).select(key, F.explode(F.array("_p")).alias("_p")).filter(F.size("_p") > 0)
     size = F.size("_p")
-    first = F.when(is_word(F.element_at("_p", 1)), 1).otherwise(2)
+    first = F.when(is_word(F.element_at("_p", 1)), 0).otherwise(1)
     last = F.when(is_word(F.element_at("_p", -1)), size).otherwise(size - 1)
-    bounds = cut.select(key, "_longest", "_p", first.alias("_first"), last.alias("_last")).filter("_first <= _last")
-    starts = bounds.select(key, "_longest", "_p", "_last", F.explode(F.sequence("_first", "_last")).alias("_from"))
-    lengths = F.sequence(F.lit(1), F.least(F.col("_longest"), F.col("_last") - F.col("_from") + 1))
-    spans = starts.select(key, F.explode(F.transform(lengths, lambda n: F.array_join(F.slice("_p", F.col("_from"), n), ""))).alias("term"))
-    return (spans.join(terms, "term").groupBy(key, "rule_id")
-            .agg(F.bool_or(F.col("kind") == "on").alias("_on"), F.bool_or(F.col("kind") == "off").alias("_off"))
+    bounds = cut.select(key, "_p", first.alias("_first"), last.alias("_end")).filter("_first < _end")
+    words = cut.select(key, F.posexplode("_p").alias("_place", "anchor"))
+    start = (F.col("_place") - F.col("_at")).alias("start")
+    hits = words.join(anchored(terms), "anchor").filter(start >= 0).select(key, F.struct(start, "_size", "term", "rule_id", "kind").alias("_hit"))
+    listed = hits.groupBy(key).agg(F.collect_set("_hit").alias("_hits"))
+    fits = lambda h: ((h["start"] >= F.col("_first")) & (h["start"] + h["_size"] <= F.col("_end"))
+                      & (F.array_join(F.slice("_p", h["start"] + 1, h["_size"]), "") == h["term"]))
+    found = bounds.join(listed, key).select(key, F.explode(F.filter("_hits", fits)).alias("_hit"))
+    return (found.groupBy(key, F.col("_hit.rule_id").alias("rule_id"))
+            .agg(F.bool_or(F.col("_hit.kind") == "on").alias("_on"), F.bool_or(F.col("_hit.kind") == "off").alias("_off"))
             .filter(F.col("_on") & ~F.col("_off")).select(key, "rule_id"))

@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zocalo.operators.ordered import asof_backward
 from zocalo.session import shared_dir
 
 HASH_RANGE = 2 ** 32
+#: Rows that a hash bucket is meant to hold.
+BUCKET_ROWS = 4096
 
 
 def hash32(seed: str, *keys: Column) -> Column:
@@ -35,22 +38,42 @@ def weighted_sample(df: DataFrame, key: str, weight: Column, k: int, seed: str)
             .orderBy("_race", key).limit(k).drop("_w", "_race"))
 
 
-def numbered(df: DataFrame, keys: list[str], id_columns: list[str], name: str = "idx", buckets: int = 1024,
+def bucketed(df: DataFrame, id_columns: list[str], rows: int = BUCKET_ROWS, seed: str = "bucket") -> tuple[DataFrame, int]:
+    """``df`` with the hash ``_h`` of its ids and the bucket ``_b``, its leading bits, and how many bits that are.
+
+    There are as many buckets as the row count asks for. They are stretches of the order by hash, so that how many there are never changes the order.
+    """
+    bits = min(31, max(0, (df.count() // rows).bit_length()))
+    hashed = df.withColumn("_h", hash32(seed, *[F.col(c) for c in id_columns]))
+    return hashed.withColumn("_b", F.shiftright("_h", 32 - bits) if bits else F.lit(0).cast("bigint")), bits
+
+
+def bucket_offsets(spread: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """(keys, _b, _c, _o, n): rows of each bucket, of the buckets before it, and of the group.
+
+    Counts are added up in a tree of two levels, so that no task sees more than about the square root of the buckets of a group.
+    """
+    branch = F.shiftright("_b", bits // 2)
+    sizes = spread.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_t", branch)
+    earlier = lambda window, order: window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    trunk = sizes.groupBy(*keys, "_t").agg(F.sum("_c").alias("_s"))
+    trunk = trunk.select(*keys, "_t", F.coalesce(F.sum("_s").over(earlier(group, "_t")), F.lit(0)).alias("_before"), F.sum("_s").over(group).alias("n"))
+    within = F.coalesce(F.sum("_c").over(earlier(Window.partitionBy(*keys, "_t"), "_b")), F.lit(0))
+    return sizes.withColumn("_in", within).join(trunk, [*keys, "_t"]).select(*keys, "_b", "_c", (F.col("_before") + F.col("_in")).alias("_o"), "n")
+
+
+def numbered(df: DataFrame, keys: list[str], id_columns: list[str], name: str = "idx", rows: int = BUCKET_ROWS,
              seed: str = "bucket") -> DataFrame:
-    """Dense 0-based number per ``keys`` group, plus the group size ``n``.
+    """Dense 0-based number per ``keys`` group in the order of a hash of the ids, plus the group size ``n``.
 
-    Rows are spread over hash buckets; a bucket is numbered locally and shifted by
+    Rows are spread over hash buckets of about ``rows``; a bucket is numbered locally and shifted by
     the sizes of the buckets before it, so no task holds a whole group.
     """
-    spread = df.withColumn("_b", hash32(seed, *[F.col(c) for c in id_columns]) % buckets)
-    sizes = spread.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))  # at most `buckets` rows per group
-    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"),
-                           F.sum("_c").over(group).alias("n"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*id_columns)) - 1
-    return (spread.withColumn("_local", local).join(offsets, [*keys, "_b"])
-            .withColumn(name, F.col("_local") + F.col("_o")).drop("_local", "_o", "_b"))
+    spread, bits = bucketed(df, id_columns, rows, seed)
+    local = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", *id_columns)) - 1
+    return (spread.withColumn("_local", local).join(bucket_offsets(spread, keys, bits), [*keys, "_b"])
+            .withColumn(name, F.col("_local") + F.col("_o")).drop("_local", "_o", "_c", "_b", "_h"))
 
 
 def in_order(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
@@ -68,13 +91,21 @@ def in_order(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame
     return parts.withColumn("_local", local).join(offsets, "_part").withColumn(name, F.col("_local") + F.col("_o")).drop("_part", "_local", "_o")
 
 
-def sample_with_replacement(df: DataFrame, id_columns: list[str], draws: int, seed: str) -> DataFrame:
-    """``draws`` uniform picks with replacement, one output row per draw."""
-    rows = numbered(df.select(*id_columns), [], id_columns)
-    total = rows.sparkSession.range(draws).withColumnRenamed("id", "draw")
+def sample_with_replacement(df: DataFrame, id_columns: list[str], draws: int, seed: str, rows: int = BUCKET_ROWS) -> DataFrame:
+    """``draws`` uniform picks with replacement, one output row per draw.
+
+    A draw is a place in the order by hash. It goes down the bucket counts first; only rows of buckets that were drawn are then numbered.
+    """
+    spread, bits = bucketed(df.select(*id_columns), id_columns, rows)
+    offsets = bucket_offsets(spread, [], bits)
     size = F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))  # one row
-    picks = total.join(size).select("draw", (hash32(seed, F.col("draw")) % F.col("_n")).alias("idx"))
-    return picks.join(rows.drop("n"), "idx").select("draw", *id_columns)
+    total = df.sparkSession.range(draws).withColumnRenamed("id", "draw")
+    picks = total.join(size).filter("_n > 0").select("draw", (hash32(seed, F.col("draw")) % F.col("_n")).alias("_idx"))
+    leaf = offsets.select(F.col("_o").alias("_from"), F.struct("_b", "_o").alias("_leaf"))
+    placed = asof_backward(picks, leaf, [], "_idx", "_from", "_leaf").select("draw", "_leaf._b", (F.col("_idx") - F.col("_leaf._o") + 1).alias("_local"))
+    drawn = spread.join(placed.select("_b").distinct(), "_b", "left_semi")
+    local = drawn.withColumn("_local", F.row_number().over(Window.partitionBy("_b").orderBy("_h", *id_columns)))
+    return placed.join(local, ["_b", "_local"]).select("draw", *id_columns)
 
 
 def assign_by_region(orders: DataFrame, coverage: DataFrame, carriers: DataFrame, order_id: str, region: str,

@@ -86,8 +86,7 @@ FROM m_dated_items i ASOF LEFT JOIN m_price_history h
   ON i.product_id = h.product_id AND i.seller_id = h.seller_id AND i.order_purchase_timestamp >= h.change_at""")
 def _(m):
     joined = ordered.asof_backward(dated_items(m), m.price_history(), ["product_id", "seller_id"],
-                                   "order_purchase_timestamp", "change_at", "price_event_id",
-                                   hot=ordered.hot_keys(m.items(), ["product_id", "seller_id"]))
+                                   "order_purchase_timestamp", "change_at", "price_event_id")
     return joined.drop("order_purchase_timestamp").withColumn("price", F.col("price").cast("double"))
 
 
@@ -147,8 +146,7 @@ SELECT product_id, price_event_id, CAST(old_price AS DOUBLE) AS old_price, CAST(
   SELECT *, lag(new_price) OVER (PARTITION BY product_id ORDER BY change_at, price_event_id) AS previous FROM m_price_history)
 WHERE previous IS NOT NULL AND previous <> old_price""")
 def _(m):
-    broken = ordered.chain_breaks(m.price_history(), ["product_id"], "change_at", "price_event_id", "old_price", "new_price",
-                                  hot=ordered.hot_keys(m.items(), ["product_id"]))
+    broken = ordered.chain_breaks(m.price_history(), ["product_id"], "change_at", "price_event_id", "old_price", "new_price")
     return broken.select("product_id", "price_event_id", F.col("old_price").cast("double"), F.col("previous").cast("double"))
 
 
@@ -199,7 +197,7 @@ def _(m):
 
 @query("P02_smp_with_replacement", f"""
 WITH pairs AS (SELECT DISTINCT product_id, seller_id FROM m_items),
-numbered AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('bucket', 'product_id', 'seller_id')} % 1024, product_id, seller_id) - 1 AS idx FROM pairs),
+numbered AS (SELECT *, row_number() OVER (ORDER BY {hash_sql('bucket', 'product_id', 'seller_id')}, product_id, seller_id) - 1 AS idx FROM pairs),
 draws AS (SELECT range AS draw, {hash_sql('promos', 'range')} % (SELECT count(*) FROM pairs) AS idx FROM range(5000))
 SELECT draw, product_id, seller_id FROM draws JOIN numbered USING (idx)""")
 def _(m):
@@ -220,7 +218,7 @@ def _(m):
 
 @query("P04_smp_assign_by_region", f"""
 WITH choices AS (
-  SELECT region, carrier_id, row_number() OVER (PARTITION BY region ORDER BY {hash_sql('bucket', 'carrier_id')} % 1024, carrier_id) - 1 AS idx,
+  SELECT region, carrier_id, row_number() OVER (PARTITION BY region ORDER BY {hash_sql('bucket', 'carrier_id')}, carrier_id) - 1 AS idx,
          count(*) OVER (PARTITION BY region) AS n
   FROM (SELECT region, carrier_id FROM m_coverage UNION ALL SELECT '*', carrier_id FROM m_carriers)),
 placed AS (

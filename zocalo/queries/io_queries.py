@@ -145,6 +145,15 @@ def _(m):
     return store.read().select("order_id", "order_status", F.col("order_total").cast("double"))
 
 
+@query("S10b_sink_bucket_store", MERGED_SQL)
+def _(m):
+    events = memory.sequenced(records(m), ["seq"])
+    store = sinks.BucketStore(m.spark, run_dir(m.spark, "buckets"), "fingerprint", buckets=16)
+    for part in (F.col("seq") < 5000, F.col("seq") >= 5000):
+        store.merge(events.filter(part), memory.folded)
+    return merged_flat(store.read())
+
+
 # --- streams ----------------------------------------------------------------------------------
 
 @query("ST1_st_redact", f"SELECT doc_id, {redact_sql('text')} AS text FROM documents")

@@ -148,11 +148,11 @@ SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding, 'f' || (vec_id /
        CASE WHEN vec_id % 29 = 0 THEN 'old' ELSE '{memory.EMBEDDING_VERSION}' END AS embedding_version,
        CASE WHEN vec_id % 5 = 0 THEN '' ELSE 'SELECT ' || (vec_id % 40) || ' ;' END AS sql
 FROM embeddings""")
-view("m_mem", "SELECT *, vec_id AS memory_id FROM m_vectors WHERE vec_id % 10 <> 0")
-view("m_asked", "SELECT *, vec_id AS query_id FROM m_vectors WHERE vec_id % 10 = 0")
+view("m_mem", "SELECT *, vec_id AS memory_id FROM m_vectors")
+view("m_asked", "SELECT *, vec_id AS query_id FROM m_vectors WHERE vec_id % 50 = 0")
 view("m_near", """
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id) AS position FROM (
-  SELECT query_id, memory_id, round(power(list_distance(q.embedding, d.embedding), 2), 6) AS distance FROM m_asked q CROSS JOIN m_mem d)""")
+  SELECT query_id, memory_id, round(power(list_distance(q.embedding, d.embedding), 2), 6) AS distance FROM m_asked q CROSS JOIN m_mem d WHERE q.query_id <> d.memory_id)""")
 view("m_usable", f"""
 SELECT * FROM m_mem WHERE embedding_version = '{memory.EMBEDDING_VERSION}' AND validated AND execution_status = 'success'""")
 
@@ -174,15 +174,16 @@ def vectors(m):
 
 
 def memories(m):
-    return vectors(m).filter(F.col("vec_id") % 10 != 0).withColumn("memory_id", F.col("vec_id"))
+    return vectors(m).withColumn("memory_id", F.col("vec_id"))
 
 
 def asked(m):
-    return vectors(m).filter(F.col("vec_id") % 10 == 0).withColumn("query_id", F.col("vec_id"))
+    """Every fiftieth vector asks all others."""
+    return vectors(m).filter(F.col("vec_id") % 50 == 0).withColumn("query_id", F.col("vec_id"))
 
 
 def near(m, k):
-    return retrieval.nearest(asked(m), memories(m), k, "query_id", "memory_id")
+    return retrieval.nearest(asked(m), memories(m), k, "query_id", "memory_id", others=True)
 
 
 @query("J09_join_knn_threshold", "SELECT query_id, memory_id, position, distance, distance <= 1.4 AS passed_threshold FROM m_near WHERE position <= 10")
@@ -217,14 +218,23 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, me
 SELECT query_id, fingerprint, memory_id, distance, position FROM top WHERE position <= 3"""
 
 
-@query("M04_mem_search", SEARCH_SQL.format(candidates="SELECT * FROM m_near WHERE position <= 15"))
+def searched(m, mode):
+    return memory.search(asked(m), memories(m), 3, threshold=1.7, mode=mode, others=True).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query("M04_mem_search", SEARCH_SQL.format(candidates="SELECT * FROM m_near"))
 def _(m):
-    return memory.search(asked(m), memories(m), 3, threshold=1.7, mode="postfilter").withColumn("position", F.col("position").cast("bigint"))
+    return searched(m, "prefilter")
 
 
 @query("M04b_mem_search_prefilter", SEARCH_SQL.format(candidates="SELECT * FROM m_near"))
 def _(m):
-    return memory.search(asked(m), memories(m), 3, threshold=1.7, mode="prefilter").withColumn("position", F.col("position").cast("bigint"))
+    return searched(m, "prefilter").orderBy("query_id", "position")
+
+
+@query("M04c_mem_search_postfilter", SEARCH_SQL.format(candidates="SELECT * FROM m_near WHERE position <= 15"))
+def _(m):
+    return searched(m, "postfilter")
 
 
 STRUCTURAL_SQL = """
@@ -237,11 +247,24 @@ SELECT query_id, memory_id, distance, position FROM (
 
 @query("J18_join_structural_similarity", STRUCTURAL_SQL.format(extra=""))
 def _(m):
-    found = memory.search_structural(asked(m), memories(m), 3, threshold=1.8)
+    found = memory.search_structural(asked(m), memories(m), 3, threshold=1.8, others=True)
     return found.withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("M05_mem_search_structural", """
+WITH good AS (
+  SELECT n.query_id, n.memory_id, n.distance, row_number() OVER (PARTITION BY n.query_id, u.fingerprint ORDER BY distance, n.memory_id) AS r
+  FROM m_near n JOIN m_usable u USING (memory_id) JOIN m_asked a USING (query_id)
+  WHERE distance <= 1.8 AND a.intent = u.intent AND a.operation = u.operation AND a.metrics = u.metrics AND a.group_by = u.group_by
+    AND (len(a.context) = 0 OR len(u.context) = 0 OR list_has_any(a.context, u.context)))
+SELECT query_id, memory_id, distance, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, memory_id) AS position FROM good WHERE r = 1) WHERE position <= 3""")
+def _(m):
+    found = memory.search_compatible(asked(m), memories(m), 3, threshold=1.8, others=True)
+    return found.select("query_id", "memory_id", "distance", F.col("position").cast("bigint"))
+
+
+@query("M05b_mem_search_structural_postfilter", """
 WITH raw AS (SELECT * FROM m_near WHERE position <= 75),
 good AS (
   SELECT r.query_id, r.memory_id, r.distance, u.fingerprint, a.metrics = u.metrics AND a.group_by = u.group_by
@@ -253,7 +276,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, me
 SELECT query_id, memory_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY position) AS position FROM top
 WHERE position <= 15 AND same QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= 3""")
 def _(m):
-    found = memory.search_compatible(asked(m), memories(m), 3, threshold=1.8)
+    found = memory.search_compatible(asked(m), memories(m), 3, threshold=1.8, mode="postfilter", others=True)
     return found.select("query_id", "memory_id", "distance", F.col("position").cast("bigint"))
 
 
@@ -262,7 +285,7 @@ SELECT query_id, memory_id, distance, n AS position FROM (
   SELECT n.*, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM m_near n JOIN m_mem USING (memory_id)
   WHERE position <= 15 AND distance <= 1.6 AND validated) WHERE n <= 5""")
 def _(m):
-    found = memory.inspect(asked(m), memories(m), 5, threshold=1.6, validated=True)
+    found = memory.inspect(asked(m), memories(m), 5, threshold=1.6, validated=True, others=True)
     return found.select("query_id", "memory_id", "distance", F.col("position").cast("bigint"))
 
 

@@ -39,13 +39,14 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFram
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def _logged(stream: DataFrame, log: BatchLog, folder: str, reduce) -> None:
-    """``reduce`` of each micro-batch into the log, under the id that Spark keeps in the stream's checkpoint."""
+def _logged(stream: DataFrame, log: BatchLog, folder: str, reduce, fold) -> None:
+    """``reduce`` of each micro-batch into the log, under the id that Spark keeps in the stream's checkpoint; ``fold`` as parts pile up."""
     checkpoint = f"{folder}/checkpoint"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         named = log.spark.read.json(f"{checkpoint}/metadata").first()
         log.write(reduce(batch), named["id"], batch_id)
+        log.compact(fold)
 
     (stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
@@ -56,17 +57,17 @@ def merge_into_log(records: DataFrame, log: BatchLog, folder: str, seq: list[str
 
     Merging is associative, so ``merged_log`` gives the same store whatever the triggers, retries and checkpoints were.
     """
-    _logged(records, log, folder, lambda batch: memory.merge(batch, seq))
+    _logged(records, log, folder, lambda batch: memory.merge(batch, seq), memory.folded)
 
 
 def merged_log(log: BatchLog) -> DataFrame:
-    """The store: all merged micro-batches as one row per fingerprint."""
+    """The store: all parts of the log as one row per fingerprint."""
     return memory.folded(log.read())
 
 
 def log_usage(hits: DataFrame, log: BatchLog, folder: str) -> None:
     """Add the (call, memory) pairs of each micro-batch to the log."""
-    _logged(hits, log, folder, lambda batch: batch.select("call_id", "memory_id").distinct())
+    _logged(hits, log, folder, lambda batch: batch.select("call_id", "memory_id").distinct(), lambda rows: rows.distinct())
 
 
 def usage_counts(log: BatchLog) -> DataFrame:
