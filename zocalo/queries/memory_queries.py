@@ -301,10 +301,10 @@ def _(m):
 
 @query("M08_mem_match_sql", """
 SELECT query_id, arg_min(memory_id, position) AS memory_id, min(position) AS position FROM m_near n JOIN m_mem USING (memory_id)
-WHERE position <= 60 AND sql = 'SELECT ' || (query_id // 10 % 40) || ' ;' GROUP BY query_id""")
+WHERE position <= 60 AND sql = 'SELECT ' || (query_id // 50 % 40) || ' ;' GROUP BY query_id""")
 def _(m):
     results = near(m, 60).join(memories(m).select("memory_id", "sql"), "memory_id")
-    runs = asked(m).select("query_id", F.concat(F.lit(" select\n"), F.expr("query_id div 10 % 40").cast("string"), F.lit(" ;; ")).alias("sql"))
+    runs = asked(m).select("query_id", F.concat(F.lit(" select\n"), F.expr("query_id div 50 % 40").cast("string"), F.lit(" ;; ")).alias("sql"))
     return memory.match_sql(results, runs).withColumn("position", F.col("position").cast("bigint"))
 
 
