@@ -73,3 +73,43 @@ def histograms(texts: Iterable[str], orders: tuple[int, ...], bits: int, words:
             table = []
     if table:
         yield np.stack(table)
+
+
+def bucket_lists(texts: Iterable[str], orders: tuple[int, ...], bits: int, letters: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(place of the text, buckets of the hashed grams in a slice of it, repeats included); nothing for a text without a gram."""
+    for i, text in enumerate(texts):
+        points = letters_only(codes(text.lower())) if letters else codes(text)
+        for a in range(0, len(points), SLICE):
+            found = [gram_buckets(points[a:a + SLICE + order - 1], order, bits) for order in orders]
+            yield i, np.concatenate(found)
+
+
+def sums_by_text(lists: Iterable[tuple[int, np.ndarray]], count: int, matrix: np.ndarray, at_once: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``count`` texts the sum of the matrix rows of its buckets, and how many buckets that are.
+
+    Only rows that a text asks for are read: they are gathered for many texts at once and added up between the texts' edges.
+    """
+    sums, sizes = np.zeros((count, matrix.shape[1])), np.zeros(count, np.int64)
+    owners: list[int] = []
+    held: list[np.ndarray] = []
+
+    def add() -> None:
+        used = [(i, b) for i, b in zip(owners, held) if len(b)]
+        if used:
+            edges = np.cumsum([0] + [len(b) for _, b in used[:-1]])
+            np.add.at(sums, [i for i, _ in used], np.add.reduceat(matrix[np.concatenate([b for _, b in used])], edges, axis=0, dtype=float))
+        owners.clear()
+        held.clear()
+
+    pending = 0
+    for i, found in lists:
+        sizes[i] += len(found)
+        for a in range(0, len(found), at_once):
+            owners.append(i)
+            held.append(found[a:a + at_once])
+            pending += len(held[-1])
+            if pending >= at_once:
+                add()
+                pending = 0
+    add()
+    return sums, sizes
