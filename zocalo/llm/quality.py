@@ -17,7 +17,9 @@ from zocalo.llm.grams import histograms
 BITS, ORDERS, WIDTH = 14, (1, 2, 3), 8
 #: About how many labelled documents the classifier is fitted on, and how often it goes through them.
 TRAIN_ROWS, EPOCHS = 3000, 12
-#: Training texts are cut out of the sample above this many characters, so that the driver holds a bounded matrix. Scoring takes whole texts.
+#: Fixed factor between the average and the softmax layer, which sets how fast the layer learns.
+SCALE = 5.0
+#: Longest text, in characters, that the classifier is fitted on, so that the driver holds a bounded matrix. Scoring takes whole texts.
 TRAIN_CHARS = 1 << 18
 KEEP_AT = 0.7
 
@@ -26,8 +28,9 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", p
 
 
 def weigh(counts: np.ndarray) -> np.ndarray:
-    """Weights of a document's grams in its average. Roots make a gram's repeats count less, so repetition shows."""
-    return np.sqrt(counts) * (3.0 / np.maximum(counts.sum(1, keepdims=True), 1.0) ** 0.75)
+    """Weights of a document's grams in its average; they add up to 1. Roots make a gram's repeats count less."""
+    roots = np.sqrt(counts)
+    return roots / np.maximum(roots.sum(1, keepdims=True), 1.0)
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,7 @@ class Classifier:
     bias: np.ndarray
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        z = (weigh(counts) @ self.vectors) @ self.weights + self.bias
+        z = SCALE * (weigh(counts) @ self.vectors) @ self.weights + self.bias
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -59,13 +62,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int = 2, bits:
             for line, i in zip(x, chosen):
                 line[rows[i][0]] = rows[i][1]
             x = weigh(x)
-            hidden = x @ vectors
+            hidden = SCALE * (x @ vectors)
             z = hidden @ weights + bias
             z = np.exp(z - z.max(1, keepdims=True))
             error = z / z.sum(1, keepdims=True)
             error[np.arange(len(chosen)), labels[chosen]] -= 1
             error /= len(chosen)
-            step_w, step_v = hidden.T @ error, x.T @ (error @ weights.T)
+            step_w, step_v = hidden.T @ error, x.T @ (SCALE * error @ weights.T)
             seen_w += step_w ** 2
             seen_v += step_v ** 2
             weights -= rate * step_w / np.sqrt(seen_w)
@@ -74,7 +77,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int = 2, bits:
     return Classifier(vectors, weights, bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Grams of about ``train_rows`` labelled documents outside the held-out part, in a fixed order.
 
     The sample is every labelled id whose hash falls below a threshold, so it depends on the ids alone.
@@ -84,7 +87,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     share = min(1.0, train_rows / max(marked.count(), 1))
     marked = marked.where(unit_hash(F.col("label_id"), seed=4) < share)
     texts = (exact(docs, doc_id="doc_id", text="text").where(unit_hash(F.col("doc_id"), seed=4) < share)
-             .where((id_remainder(F.col("doc_id"), 4) != 2) & (F.length("text") <= TRAIN_CHARS))
+             .where((id_remainder(F.col("doc_id"), 4) != 2) & (F.length("text") <= train_chars))
              .join(marked, F.col("doc_id") == F.col("label_id")).select("doc_id", "label", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +106,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
 
 
 def score(docs: DataFrame, classifier: Classifier, keep_at: float = KEEP_AT) -> DataFrame:
-    """doc_id, held_out, score (probability of label 1), predicted for every whole text."""
+    """doc_id, held_out, score (probability of label 1), predicted for every whole text.
+
+    Null and empty texts get the score of no grams; repeated rows are scored each; an empty table gives an empty result.
+    """
     rows = exact(docs, doc_id="doc_id", text="text")
     rows = rows.select("doc_id", (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
@@ -119,12 +125,13 @@ def score(docs: DataFrame, classifier: Classifier, keep_at: float = KEEP_AT) ->
     return rows.mapInArrow(run, SCHEMA)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, keep_at: float = KEEP_AT,
+                     train_chars: int = TRAIN_CHARS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Only the text goes into a score.
 
-    Learns from about ``train_rows`` labelled documents (a documented bound) and scores every whole text. Null counts as
+    Learns from about ``train_rows`` labelled documents of up to ``train_chars`` characters (documented bounds) and scores every whole text. Null counts as
     empty and gets the score of no grams at all; labels other than 0 and 1 are passed over, a document with both labels
     counts once with each; without labels every score is about one half; repeated rows are scored each; an empty table gives an
     empty result; other columns are ignored.
     """
-    return score(docs, fit(training_rows(docs, labels, train_rows)), keep_at)
+    return score(docs, fit(training_rows(docs, labels, train_rows, train_chars)), keep_at)
