@@ -26,6 +26,8 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: About how many documents the weights are fitted on, change (in nats) below which a message rests, belief from which a span is added.
 TRAIN_ROWS, SETTLED, ADD_AT = 2000, 1e-5, 0.9
+#: Longest text, in characters, that the field is fitted on; spans are sought in whole texts.
+TRAIN_CHARS = 1 << 18
 #: Share of labelled mentions whose validity is hidden in training, so that context and repeats get weight too.
 HIDDEN = 0.3
 LABELS = len(KINDS) + 1  # 0: none
@@ -280,11 +282,11 @@ def fit(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.nd
     return Field(*field)
 
 
-def training_field(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """Fitted on about ``rows`` documents with a digit or @ (those whose id's hash is below a threshold; a documented bound)."""
+def training_field(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Field:
+    """Fitted on about ``rows`` documents with a digit or @ (those whose id's hash is below a threshold) of up to ``chars`` characters: documented bounds."""
     texts = exact(docs, doc_id="doc_id", text="text")
     share = min(1.0, rows / max(texts.count(), 1))
-    sample = texts.where(unit_hash(F.coalesce("doc_id", F.lit(0)), seed=3) < share).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 1 << 18))
+    sample = texts.where(unit_hash(F.coalesce("doc_id", F.lit(0)), seed=3) < share).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
