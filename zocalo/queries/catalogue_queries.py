@@ -53,13 +53,17 @@ FROM (SELECT *, CASE type WHEN 'INT4' THEN 'integer' WHEN 'numeric( 12 , 2 )' TH
       FROM m_documented WHERE "table" IN (SELECT "table" FROM m_actual)) d
 FULL JOIN (SELECT * FROM m_actual WHERE "table" IN (SELECT "table" FROM m_documented)) a ON d."table" = a."table" AND d."column" = a."column" """)
 
-TYPES = ["  Timestamp ", "DECIMAL", "int4", "INT8", "float8", "Bool", "numeric( 12 , 2 )", "character  varying"]
-CANONICAL = ["timestamp without time zone", "numeric", "integer", "bigint", "double precision", "boolean", "numeric(12,2)", "character varying"]
+TYPES = ["  Timestamp ", "DECIMAL", "int4", "INT8", "float8", "Bool", "numeric", "character  varying", " Int"]
 
 
-@query("X17_type_canonical", f"SELECT p_partkey, {sql_pick(CANONICAL, 'p_partkey')} AS type FROM part")
+@query("X17_type_canonical", f"""
+SELECT type, CASE t {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in catalogue.TYPE_ALIASES.items())} ELSE t END AS canonical FROM (
+  SELECT type, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(type)), '\\s+', ' ', 'g'), '\\s*,\\s*', ',', 'g'), '\\(\\s*', '(', 'g'), '\\s*\\)', ')', 'g') AS t FROM (
+    SELECT DISTINCT unnest([{sql_pick(TYPES, 'p_partkey')}, p_type, p_type || '( ' || p_size || ' ,' || chr(9) || '2 )', upper(p_brand) || '  (' || p_size || ')']) AS type FROM part))""")
 def _(m):
-    return m.raw("part").select("p_partkey", catalogue.canonical_type(pick(TYPES, F.col("p_partkey"))).alias("type"))
+    size = F.col("p_size").cast("string")
+    made = F.array(pick(TYPES, F.col("p_partkey")), F.col("p_type"), F.concat("p_type", F.lit("( "), size, F.lit(" ,\t2 )")), F.concat(F.upper("p_brand"), F.lit("  ("), size, F.lit(")")))
+    return m.raw("part").select(F.explode(made).alias("type")).distinct().select("type", catalogue.canonical_type(F.col("type")).alias("canonical"))
 
 
 @query("X18_ddl_flatten", 'SELECT "table", "column", type, comment FROM m_documented')
@@ -127,18 +131,21 @@ def _(m):
     return observed(m)
 
 
-COMMENTS = {("carriers", "carrier_type"): "Valores: economy | express | freight | nuevo", ("orders", "order_status"): "Estados: delivered | shipped",
-            ("payments", "payment_type"): "texto libre"}
+# The catalogue names the values that half of the rows hold, and one that is new.
+DOCUMENTED_FROM = {("carriers", "carrier_type"): "carrier_id", ("orders", "order_status"): "order_id", ("payments", "payment_type"): "order_id", ("promotions", "promo_type"): "product_id"}
 
 
 @query("D08_dq_category_drift", f"""
-WITH o AS ({OBSERVED_SQL}), d AS (
-  SELECT 'carriers' AS "table", 'carrier_type' AS "column", unnest(['economy', 'express', 'freight', 'nuevo']) AS value UNION ALL SELECT 'orders', 'order_status', unnest(['delivered', 'shipped']))
+WITH o AS ({OBSERVED_SQL}), d AS ({' UNION ALL '.join(f"""SELECT '{t}' AS "table", '{c}' AS "column", unnest(list_append(list(DISTINCT {c}), 'nuevo')) AS value FROM m_{t} WHERE {k} % 1000 < 3"""
+                                                       for (t, c), k in DOCUMENTED_FROM.items())})
 SELECT "table", "column", value, 'not_observed' AS issue FROM (SELECT * FROM d EXCEPT SELECT * FROM o)
 UNION ALL SELECT "table", "column", value, 'not_documented' FROM (SELECT * FROM o WHERE ("table", "column") IN (SELECT ("table", "column") FROM d) EXCEPT SELECT * FROM d)""")
 def _(m):
-    rows = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(c).alias("column"), F.lit(text).alias("comment")) for (t, c), text in COMMENTS.items()])
-    documented = m.spark.range(1).select(F.inline(rows))
+    documented = None
+    for (table, column), key in DOCUMENTED_FROM.items():
+        named = m.table(table).filter(F.col(key) % 1000 < 3).agg(F.array_sort(F.collect_set(column)).alias("listed"))  # a closed list of categories
+        row = named.select(F.lit(table).alias("table"), F.lit(column).alias("column"), F.concat(F.lit("Valores: "), F.array_join(F.concat("listed", F.array(F.lit("nuevo"))), " | ")).alias("comment"))
+        documented = row if documented is None else documented.unionByName(row)
     return catalogue.category_drift(documented, observed(m))
 
 

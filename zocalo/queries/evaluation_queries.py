@@ -40,103 +40,176 @@ def dashed(h):
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+view("m_words", r"""
+SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)""")
+view("m_values", "SELECT word AS value FROM m_words UNION SELECT printed FROM m_printed")
+
+
+def words(m):
+    """The different words of all documents and conversations."""
+    texts = m.spread("documents").select("text").unionByName(m.spread("conversations").select("text"))
+    return texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")).distinct()
+
+
+def values(m):
+    """Those words and the amounts of the orders as they are printed in many ways."""
+    return words(m).select(F.col("word").alias("value")).union(printed(m).select("printed")).distinct()
+
+
 @query("X11_num_uuid_form", f"""
-SELECT order_id, CASE WHEN order_id % 3 < 2 THEN h END AS id FROM m_printed""")
+SELECT word, form, CASE WHEN regexp_full_match(trim(t), '{numbers.UUID}') THEN lower(replace(trim(t), '-', '')) END AS id FROM (
+  SELECT word, unnest([0, 1, 2, 3]) AS form, unnest([word, ' ' || h, upper({DASHED.format(h='h')}), substr(h, 1, length(word)) || word]) AS t FROM (SELECT word, md5(word) AS h FROM m_words))""")
 def _(m):
-    o = F.col("order_id")
-    text = F.when(o % 3 == 0, F.upper(dashed("h"))).when(o % 3 == 1, F.concat(F.lit(" "), F.col("h"))).otherwise(F.concat(F.lit("x"), F.col("h")))
-    return printed(m).select("order_id", numbers.uuid_form(text).alias("id"))
+    h = F.md5("word")
+    forms = F.array(F.col("word"), F.concat(F.lit(" "), h), F.upper(dashed(h)), F.concat(F.substr(h, F.lit(1), F.length("word")), "word"))
+    return words(m).select("word", F.posexplode(forms).alias("form", "t")).select("word", "form", numbers.uuid_form(F.col("t")).alias("id"))
+
+
+NUMBER_SQL = "CASE WHEN regexp_matches(trim({x}), '^[+-]?[0-9]+([.][0-9]+)?$') THEN TRY_CAST(trim({x}) AS DECIMAL(38,10)) END"
 
 
-@query("X12_num_from_text", """
-SELECT order_id, CASE WHEN regexp_matches(trim(printed), '^[+-]?[0-9]+([.][0-9]+)?$') THEN TRY_CAST(trim(printed) AS DOUBLE) END AS number FROM m_printed""")
+@query("X12_num_from_text", f"SELECT value, CAST({NUMBER_SQL.format(x='value')} AS DOUBLE) AS number FROM m_values")
 def _(m):
-    return printed(m).select("order_id", numbers.number_from_text(F.col("printed")).cast("double").alias("number"))
+    return values(m).select("value", numbers.number_from_text(F.col("value")).cast("double").alias("number"))
+
+
+# A token's readings: with both marks the last one is the decimal mark; with one it may be that or, if all groups behind it have three digits, a separator.
+view("m_tokens", """
+SELECT value, t, contains(t, ',') AS comma, contains(t, '.') AS dot, regexp_extract(t, '([.,])[^.,]*$', 1) AS last, regexp_extract(t, '^[+-]?') AS sign,
+       string_split_regex(regexp_replace(t, '^[+-]', ''), '[.,]') AS parts
+FROM (SELECT value, trim(trim(value), '.,') AS t FROM m_values WHERE regexp_matches(value, '[0-9]'))""")
 
 
 @query("X13_num_token_candidates", """
-SELECT order_id, printed, CASE order_id % 8 WHEN 6 THEN '' WHEN 0 THEN printf('%.3f', CAST(order_total AS DOUBLE)) WHEN 1 THEN printf('%.3f', CAST(order_total AS DOUBLE))
-  WHEN 2 THEN printf('%.3f', CAST(order_id AS DOUBLE)) WHEN 3 THEN printf('%.3f', CAST(order_total AS DOUBLE)) WHEN 4 THEN printf('%.3f', CAST(order_total AS DOUBLE))
-  WHEN 5 THEN CASE WHEN order_id < 1000 THEN printf('%.3f', CAST(-order_id AS DOUBLE)) || ' ' ELSE '' END || printf('%.3f', CAST(-order_id * 1000 AS DOUBLE))
-  ELSE printf('%.3f', CAST('0.' || lpad(CAST(order_id % 1000 AS VARCHAR), 3, '0') AS DOUBLE)) || CASE WHEN order_id % 1000 = 0 THEN '' ELSE ' ' || printf('%.3f', CAST(order_id % 1000 AS DOUBLE)) END END AS readings
-FROM m_printed""")
+SELECT value, array_to_string(list_transform(list_sort(list_distinct(list_filter(list_transform(
+  CASE WHEN comma AND dot THEN [CASE WHEN last = '.' THEN replace(t, ',', '') ELSE replace(replace(t, '.', ''), ',', '.') END]
+       WHEN comma OR dot THEN [CASE WHEN len(parts) = 2 THEN sign || array_to_string(parts, '.') END,
+                               CASE WHEN len(list_filter(parts[2:], lambda g: length(g) <> 3)) = 0 THEN sign || array_to_string(parts, '') END]
+       ELSE [t] END, lambda x: CASE WHEN regexp_matches(x, '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$') THEN TRY_CAST(x AS DECIMAL(38,10)) END),
+  lambda n: n IS NOT NULL))), lambda n: printf('%.3f', CAST(n AS DOUBLE))), ' ') AS readings FROM m_tokens""")
 def _(m):
-    rows = printed(m)
-    text = F.array_join(F.transform(numbers.readings(F.col("printed")), lambda n: F.format_string("%.3f", n.cast("double"))), " ")
-    return rows.select("order_id", "printed", text.alias("readings"))
+    rows = values(m).filter(F.col("value").rlike("[0-9]"))
+    text = F.array_join(F.transform(F.sort_array(numbers.readings(F.col("value"))), lambda n: F.format_string("%.3f", n.cast("double"))), " ")
+    return rows.select("value", text.alias("readings"))
 
 
 @query("X14_num_answer_parse", """
-SELECT order_id, CASE order_id % 8 WHEN 6 THEN NULL WHEN 2 THEN CAST(order_id AS DOUBLE) WHEN 5 THEN CAST(-order_id * 1000 AS DOUBLE)
-  WHEN 7 THEN CAST('0.' || lpad(CAST(order_id % 1000 AS VARCHAR), 3, '0') AS DOUBLE) ELSE CAST(order_total AS DOUBLE) END AS number
-FROM m_printed""")
+SELECT value, TRY_CAST(CASE WHEN comma AND dot THEN CASE WHEN last = ',' THEN replace(replace(v, '.', ''), ',', '.') ELSE replace(v, ',', '') END
+  WHEN comma THEN CASE WHEN starts_with(v, '0,') OR length(regexp_extract(v, ',([^,]*)$', 1)) <= 2 THEN replace(v, ',', '.') ELSE replace(v, ',', '') END ELSE v END AS DOUBLE) AS number
+FROM (SELECT value, trim(value) AS v, contains(value, ',') AS comma, contains(value, '.') AS dot, regexp_extract(value, '([.,])[^.,]*$', 1) AS last
+      FROM m_values WHERE regexp_full_match(trim(value), '[-+]?[0-9][0-9.,]*'))""")
 def _(m):
-    return printed(m).select("order_id", numbers.answer_number(F.col("printed")).alias("number"))
+    return values(m).filter(F.trim("value").rlike("^[-+]?[0-9][0-9.,]*$")).select("value", numbers.answer_number(F.col("value")).alias("number"))
 
 
 KEYS = ["on_time_rate", "price", "discount_pct", "Tasa de entrega", "generated", "porcentaje-año", "ratio2", "RATE"]
-RATE_KEYS = ["on_time_rate", "discount_pct", "Tasa de entrega", "porcentaje-año", "ratio2", "RATE"]
 
 
 @query("X15_key_is_percent", f"""
-SELECT order_id, key, list_contains({sql_list(RATE_KEYS)}, key) AS is_rate FROM (SELECT order_id, {sql_pick(KEYS, 'order_id')} AS key FROM m_orders)""")
+SELECT key, list_has_any(string_split_regex(lower(key), '[^a-záéíóúñ]+'), {sql_list(numbers.PERCENT_WORDS)}) AS is_rate
+FROM (SELECT DISTINCT word || {sql_pick(['_', ' ', '', '2'], 'length(word)')} || {sql_pick(KEYS, 'length(word) // 2')} AS key FROM m_words)""")
 def _(m):
-    keyed = m.orders().select("order_id", pick(KEYS, F.col("order_id")).alias("key"))
+    n = F.length("word")
+    keyed = words(m).select(F.concat("word", pick(["_", " ", "", "2"], n), pick(KEYS, F.expr("length(word) div 2"))).alias("key")).distinct()
     return keyed.withColumn("is_rate", numbers.percent_key(F.col("key")))
 
 
-@query("X16_val_equivalent", """
-SELECT order_id, CASE order_id % 6 WHEN 0 THEN order_id % 4 <> 0 WHEN 1 THEN true WHEN 2 THEN true WHEN 3 THEN order_id % 5 <> 0
-  WHEN 4 THEN false ELSE true END AS same FROM m_orders""")
-def _(m):
+view("m_pairs", f"""
+SELECT 'o' || order_id AS pair_id, unnest([0, 1, 2, 3, 4]) AS n,
+       unnest([printed, h, strftime(day, '%Y-%m-%d'), upper(state) || '_ ' , CASE WHEN order_id % 2 = 0 THEN printed END]) AS actual,
+       unnest([CAST(order_total AS VARCHAR), upper({DASHED.format(h='h')}), strftime(other, '%Y-%m'), lower(state), CAST(customer_id AS VARCHAR)]) AS expected
+FROM (SELECT p.order_id, p.printed, p.h, o.order_total, o.customer_id, o.order_purchase_timestamp AS day, o.order_estimated_delivery_date - INTERVAL 60 DAY + to_days(CAST(o.order_id % 40 AS INTEGER)) AS other,
+             o.payment_type AS state FROM m_printed p JOIN m_orders o USING (order_id))
+UNION ALL SELECT 'w' || conv_id || '-' || turn, i, w[i + 1], w[i + 2] FROM (
+  SELECT conv_id, turn, w, unnest(range(len(w) - 1)) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM conversations))""")
+
+
+def pairs(m):
+    """Printed values beside what they may stand for: of every order, and of all words that follow each other in a conversation."""
     o = F.col("order_id")
-    text = lambda c: c.cast("string")
-    h = F.md5(text(o))
-    actual = (F.when(o % 6 == 0, text(o + F.when(o % 4 == 0, 0.5).otherwise(0.004).cast("decimal(6,3)"))).when(o % 6 == 1, F.upper(dashed(h)))
-              .when(o % 6 == 2, F.lit("2018-03-15")).when(o % 6 == 3, F.when(o % 5 == 0, "Sao Pablo").otherwise("São_Paulo "))
-              .when(o % 6 == 4, F.lit(None).cast("string")).otherwise("Crédito  Tienda"))
-    expected = (F.when(o % 6 == 0, text(o)).when(o % 6 == 1, h).when(o % 6 == 2, "2018-03").when(o % 6 == 3, "sao paulo")
-                .when(o % 6 == 4, "x").otherwise("credito tienda"))
-    return m.orders().select("order_id", numbers.equivalent(actual, expected, F.lit(0.01)).alias("same"))
+    rows = printed(m).drop("order_total").join(m.orders(), "order_id")
+    other = F.expr("order_purchase_timestamp + make_interval(0, 0, 0, CAST(order_id % 40 AS INT))")
+    actual = F.array("printed", "h", F.date_format("order_purchase_timestamp", "yyyy-MM-dd"), F.concat(F.upper("payment_type"), F.lit("_ ")), F.when(o % 2 == 0, F.col("printed")))
+    expected = F.array(F.col("order_total").cast("string"), F.upper(dashed("h")), F.date_format(other, "yyyy-MM"), F.lower("payment_type"), F.col("customer_id").cast("string"))
+    of_orders = rows.select(F.concat(F.lit("o"), o.cast("string")).alias("pair_id"), F.posexplode(F.arrays_zip(actual.alias("actual"), expected.alias("expected"))).alias("n", "p"))
+    turn = m.spread("conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"))
+    follow = F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("actual"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("expected"))
+    of_words = turn.select(F.concat_ws("-", F.concat(F.lit("w"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("pair_id"), F.posexplode(follow).alias("n", "p"))
+    return of_orders.unionByName(of_words).select("pair_id", F.col("n").cast("bigint").alias("n"), "p.actual", "p.expected")
+
+
+def uuid_sql(x):
+    return f"CASE WHEN regexp_full_match(trim({x}), '{numbers.UUID}') THEN lower(replace(trim({x}), '-', '')) END"
+
+
+@query("X16_val_equivalent", f"""
+SELECT pair_id, CAST(n AS BIGINT) AS n, CASE WHEN a IS NOT NULL AND e IS NOT NULL THEN abs(a - e) <= 0.01 WHEN actual IS NULL OR expected IS NULL THEN actual IS NOT DISTINCT FROM expected
+  WHEN ua IS NOT NULL AND ue IS NOT NULL THEN ua = ue WHEN regexp_full_match(trim(expected), '[0-9]{{4}}-[0-9]{{2}}') THEN starts_with(trim(actual), trim(expected))
+  ELSE {s.compare_form('actual')} = {s.compare_form('expected')} END AS same
+FROM (SELECT *, {NUMBER_SQL.format(x='actual')} AS a, {NUMBER_SQL.format(x='expected')} AS e, {uuid_sql('actual')} AS ua, {uuid_sql('expected')} AS ue FROM m_pairs)""")
+def _(m):
+    return pairs(m).select("pair_id", "n", numbers.equivalent(F.col("actual"), F.col("expected"), F.lit(0.01)).alias("same"))
 
 
 QUERY_LOG = ["SELECT * FROM orders;", "WITH t AS (SELECT 1) SELECT * FROM t", "DROP TABLE orders;", "", "WITH r AS (DELETE FROM orders RETURNING *) SELECT 1",
              "-- note\nSELECT 1 /* update\nlater */", "SELECT 1; SELECT 2", "SELECT 'update' AS word", "  ;; ", "select created_at from events"]
 
 
-@query("X25_sql_read_only_flag", f"""
-SELECT order_id, n IN (0, 1, 5, 6, 9) AS read_only FROM (SELECT order_id, order_id % {len(QUERY_LOG)} AS n FROM m_orders)""")
+STATEMENTS = ["{t}", "SELECT {t}", "/* {t} */ WITH x AS (SELECT 1) SELECT 2;", "-- {t}\nselect 1", "select 'x' ; {t}", "{t} update"]
+view("m_log", f"""
+SELECT 'o' || order_id AS log_id, {sql_pick(QUERY_LOG, 'order_id')} AS sql FROM m_orders
+UNION ALL SELECT 'c' || conv_id || '-' || turn || '-' || unnest(range({len(STATEMENTS)})), unnest([{', '.join("replace(" + s.q(x) + ", '{t}', t)" for x in STATEMENTS)}])
+FROM (SELECT conv_id, turn, regexp_replace(text, '[^\\x0A\\x20-\\x7E]', ' ', 'g') AS t FROM conversations)""")
+# what is left of a statement without comments, and whether it only reads
+view("m_read", r"""
+SELECT log_id, sql, regexp_matches(plain, '(?i)^\s*(?:SELECT|WITH)\b') AND NOT regexp_matches(plain,
+  '(?i)\b(?:ALTER|CALL|COPY|CREATE|DELETE|DO|DROP|EXECUTE|GRANT|INSERT|MERGE|REVOKE|TRUNCATE|UPDATE|VACUUM)\b') AS read_only
+FROM (SELECT log_id, sql, trim(regexp_replace(coalesce(sql, ''), '(?s)--[^\r\n]*|/\*.*?\*/', ' ', 'g')) AS plain FROM m_log)""")
+
+
+def logged(m):
+    """Statements to check: those of the orders, and what people say in conversations, put into statements in several ways."""
+    o = F.col("order_id")
+    own = m.orders().select(F.concat(F.lit("o"), o.cast("string")).alias("log_id"), pick(QUERY_LOG, o).alias("sql"))
+    plain = F.regexp_replace("text", r"[^\x0A\x20-\x7E]", " ")
+    said = m.spread("conversations").select("conv_id", "turn", plain.alias("t"))
+    made = F.array(*[F.replace(F.lit(x), F.lit("{t}"), F.col("t")) for x in STATEMENTS])
+    named = said.select("conv_id", "turn", F.posexplode(made).alias("i", "sql"))
+    return own.unionByName(named.select(F.concat(F.lit("c"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("i").cast("string"))).alias("log_id"), "sql"))
+
+
+@query("X25_sql_read_only_flag", "SELECT log_id, read_only FROM m_read")
 def _(m):
-    return m.orders().select("order_id", sqltext.read_only(pick(QUERY_LOG, F.col("order_id"))).alias("read_only"))
+    return logged(m).select("log_id", sqltext.read_only(F.col("sql")).alias("read_only"))
 
 
-@query("E03_ev_read_only", f"""
-SELECT n, n IN (0, 1, 5, 6, 9) AS read_only, count(*) AS logged FROM (SELECT order_id % {len(QUERY_LOG)} AS n FROM m_orders) GROUP BY n""")
+@query("E03_ev_read_only", "SELECT length(sql) AS size, read_only, count(*) AS logged FROM m_read GROUP BY size, read_only")
 def _(m):
-    flagged = m.orders().select((F.col("order_id") % len(QUERY_LOG)).alias("n"), sqltext.read_only(pick(QUERY_LOG, F.col("order_id"))).alias("read_only"))
-    return flagged.groupBy("n", "read_only").agg(F.count(F.lit(1)).alias("logged"))
+    flagged = logged(m).select(F.length("sql").cast("bigint").alias("size"), sqltext.read_only(F.col("sql")).alias("read_only"))
+    return flagged.groupBy("size", "read_only").agg(F.count(F.lit(1)).alias("logged"))
 
 
-CITED = ["CASE WHEN order_id % 4 = 0 THEN ['orders', 't'] WHEN order_id % 4 = 1 THEN ['orders', 'secret'] ELSE CAST([] AS VARCHAR[]) END"]
+# words that a statement cites, those it defines itself (its first two) and those that are known (the words of the language)
+view("m_cited", r"""
+SELECT log_id, sql, list_sort(list_distinct(list_filter(w, lambda x: NOT list_contains(w[:2], x) AND NOT list_contains(['SELECT', 'select', 'WITH', 'FROM', '1', '2', '*'], x)))) AS unknown
+FROM (SELECT log_id, sql, regexp_extract_all(sql, '\w+') AS w FROM m_log)""")
 
 
 def cited(m):
-    o = F.col("order_id")
-    arr = lambda *xs: F.array(*[F.lit(x) for x in xs])
-    names = F.when(o % 4 == 0, arr("orders", "t")).when(o % 4 == 1, arr("orders", "secret")).otherwise(sets.none())
-    unknown = sets.unknown_names(names, arr("t"), arr("orders", "events"))
-    return m.orders().select("order_id", pick(QUERY_LOG, o).alias("sql"), unknown.alias("unknown"))
+    said = F.regexp_extract_all("sql", F.lit(r"\w+"), F.lit(0))
+    known = F.array(*[F.lit(x) for x in ("SELECT", "select", "WITH", "FROM", "1", "2", "*")])
+    return logged(m).select("log_id", "sql", sets.unknown_names(said, F.slice(said, 1, 2), known).alias("unknown"))
 
 
-@query("U06_set_unknown_tables", "SELECT order_id, CASE WHEN order_id % 4 = 1 THEN 'secret' ELSE '' END AS unknown FROM m_orders")
+@query("U06_set_unknown_tables", "SELECT log_id, array_to_string(unknown, ',') AS unknown FROM m_cited")
 def _(m):
-    return cited(m).select("order_id", F.array_join("unknown", ",").alias("unknown"))
+    return cited(m).select("log_id", F.array_join("unknown", ",").alias("unknown"))
 
 
-@query("D10_dq_query_log", f"""
+@query("D10_dq_query_log", """
 SELECT stage, count(*) AS logged FROM (
-  SELECT CASE WHEN n IN (3, 8) THEN 'syntax' WHEN n IN (2, 4, 6, 7) THEN 'statement' WHEN order_id % 4 = 1 THEN 'tables' ELSE 'ok' END AS stage
-  FROM (SELECT order_id, order_id % {len(QUERY_LOG)} AS n FROM m_orders)) GROUP BY stage""")
+  SELECT CASE WHEN trim(coalesce(t, '')) = '' THEN 'syntax' WHEN contains(t, ';') OR NOT read_only THEN 'statement' WHEN len(unknown) > 0 THEN 'tables' ELSE 'ok' END AS stage
+  FROM (SELECT unknown, rtrim(trim(c.sql), ';') AS t, read_only FROM m_cited c JOIN m_read USING (log_id))) GROUP BY stage""")
 def _(m):
     staged = cited(m).select(sqltext.stage(F.col("sql"), F.col("unknown")).alias("stage"))
     return staged.groupBy("stage").agg(F.count(F.lit(1)).alias("logged"))
@@ -144,35 +217,45 @@ def _(m):
 
 # --- cases ------------------------------------------------------------------------------------
 
-view("m_cases", """
-SELECT order_id AS case_id, CASE WHEN order_id % 7 = 0 THEN 'blocked' WHEN order_id % 29 = 0 THEN NULL ELSE 'success' END AS status,
-       CASE WHEN order_id % 31 = 0 THEN NULL ELSE 'success' END AS expected_status,
-       CASE order_id % 3 WHEN 0 THEN ' Orders, customers' WHEN 1 THEN 'customers,ORDERS,orders' ELSE 'orders' END AS sources FROM m_orders""")
+view("m_cases", r"""
+SELECT d.doc_id AS case_id, CASE WHEN toxic = 1 THEN 'blocked' WHEN quality = 1 THEN 'success' WHEN quality = 0 THEN 'failed' END AS status,
+       CASE WHEN n_chars % 2 = 0 THEN 'success' WHEN lang = 'en' THEN 'blocked' END AS expected_status,
+       replace(trim(text), ' ', ',') AS sources, list_filter(regexp_extract_all(upper(text), '[^\x20\x09-\x0D,]+'), lambda x: length(x) <> 1) AS expected_sources
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+
+
+def labelled(m):
+    """Cases from the documents and their labels; a document without a label has no status."""
+    docs = m.spread("documents").select(F.col("doc_id").alias("case_id"), "text", "lang", "source", "n_chars")
+    return docs.join(m.raw("labels").select(F.col("doc_id").alias("case_id"), "quality", "toxic"), "case_id", "left")
 
 
 @query("E01_ev_status", "SELECT case_id, status IS NOT DISTINCT FROM expected_status AS matched FROM m_cases")
 def _(m):
-    o = F.col("order_id")
-    status = F.when(o % 7 == 0, "blocked").when(o % 29 != 0, "success")
-    expected = F.when(o % 31 != 0, "success")
-    return m.orders().select(o.alias("case_id"), evaluation.status_matches(status, expected).alias("matched"))
+    status = F.when(F.col("toxic") == 1, "blocked").when(F.col("quality") == 1, "success").when(F.col("quality") == 0, "failed")
+    expected = F.when(F.col("n_chars") % 2 == 0, "success").when(F.col("lang") == "en", "blocked")
+    return labelled(m).select("case_id", evaluation.status_matches(status, expected).alias("matched"))
+
+
+# both sides as sets: trimmed, in one case, without repeats and without empty names
+SAME_SOURCES_SQL = """
+SELECT case_id, list_sort(list_distinct(list_filter(list_transform(string_split(sources, ','), lambda x: {0}), lambda x: x <> '')))
+  = list_sort(list_distinct(list_filter(list_transform(expected_sources, lambda x: {0}), lambda x: x <> ''))) AS {1} FROM m_cases"""
 
 
 def reported_sources(m):
-    o = F.col("order_id")
-    return m.orders().select(o.alias("case_id"), F.when(o % 3 == 0, " Orders, customers").when(o % 3 == 1, "customers,ORDERS,orders").otherwise("orders").alias("sources"))
+    named = F.regexp_extract_all(F.upper("text"), F.lit(r"[^\x20\x09-\x0D,]+"), F.lit(0))
+    return labelled(m).select("case_id", F.replace(F.trim("text"), F.lit(" "), F.lit(",")).alias("sources"), F.filter(named, lambda x: F.length(x) != 1).alias("wanted"))
 
 
-@query("U02_set_equality", "SELECT case_id, case_id % 3 <> 2 AS same FROM m_cases")
+@query("U02_set_equality", SAME_SOURCES_SQL.format("lower(trim(x))", "same"))
 def _(m):
-    wanted = F.array(F.lit("customers "), F.lit("orders"))
-    return reported_sources(m).select("case_id", sets.same_set(sets.split_names(F.col("sources")), wanted, lambda v: F.lower(v)).alias("same"))
+    return reported_sources(m).select("case_id", sets.same_set(sets.split_names(F.col("sources")), F.col("wanted"), lambda v: F.lower(v)).alias("same"))
 
 
-@query("E02_ev_sources", "SELECT case_id, case_id % 3 <> 2 AS matched FROM m_cases")
+@query("E02_ev_sources", SAME_SOURCES_SQL.format(s.casefold("trim(x)"), "matched"))
 def _(m):
-    wanted = F.array(F.lit("orders"), F.lit("customers"))
-    return reported_sources(m).select("case_id", evaluation.sources_match(F.col("sources"), wanted).alias("matched"))
+    return reported_sources(m).select("case_id", evaluation.sources_match(F.col("sources"), F.col("wanted")).alias("matched"))
 
 
 def fact_cases(m, tolerance):
@@ -230,18 +313,25 @@ def _(m):
     return evaluation.answer_facts(cases, expected)
 
 
-REFERENCE_SQL = f"""
-SELECT case_id, CASE WHEN n IN (2, 3, 4, 7, 8) OR case_id % 23 = 0 THEN 'reference_sql_error' WHEN case_id % 5 <> 0 THEN 'correct' ELSE 'golden_set_outdated' END AS class,
-  CASE WHEN n IN (2, 3, 4, 7, 8) THEN 'not read-only' WHEN case_id % 23 = 0 THEN 'timeout' WHEN case_id % 5 <> 0 THEN 'match'
-       WHEN case_id % 3 = 0 THEN 'row count: expected=3, actual=2' WHEN case_id % 4 = 0 THEN 'row differs: 1' ELSE 'tolerance' END AS reason
-FROM (SELECT order_id AS case_id, order_id % {len(QUERY_LOG)} AS n FROM m_orders)"""
+# two runs of a logged statement: how many rows came back, and where they first differ
+view("m_runs_again", """
+SELECT log_id AS case_id, read_only, CASE WHEN len(w) > 40 THEN 'timeout' END AS error, len(w) % 3 <> 0 AS matched, len(w) AS expected_rows, len(list_distinct(w)) AS actual_rows,
+       CASE WHEN len(w) % 2 = 0 THEN length(w[1]) END AS first_difference
+FROM (SELECT log_id, read_only, regexp_extract_all(sql, '[a-z]+') AS w FROM m_read)""")
+REFERENCE_SQL = """
+SELECT case_id, CASE WHEN NOT read_only OR error IS NOT NULL THEN 'reference_sql_error' WHEN matched THEN 'correct' ELSE 'golden_set_outdated' END AS class,
+  CASE WHEN NOT read_only THEN 'not read-only' WHEN error IS NOT NULL THEN error WHEN matched THEN 'match'
+       WHEN expected_rows <> actual_rows THEN 'row count: expected=' || expected_rows || ', actual=' || actual_rows
+       WHEN first_difference IS NOT NULL THEN 'row differs: ' || first_difference ELSE 'tolerance' END AS reason
+FROM m_runs_again"""
 
 
 def classified(m):
-    o = F.col("order_id")
+    rows = logged(m).withColumn("w", F.regexp_extract_all("sql", F.lit("[a-z]+"), F.lit(0)))
+    n = F.size("w")
     label, reason = evaluation.reference_class(
-        pick(QUERY_LOG, o), F.when(o % 23 == 0, "timeout"), o % 5 != 0, F.lit(3), F.when(o % 3 == 0, 2).otherwise(3), F.when(o % 4 == 0, 1))
-    return m.orders().select(o.alias("case_id"), label.alias("class"), reason.alias("reason"))
+        F.col("sql"), F.when(n > 40, "timeout"), n % 3 != 0, n, F.size(F.array_distinct("w")), F.when(n % 2 == 0, F.length(F.get("w", F.lit(0)))))
+    return rows.select(F.col("log_id").alias("case_id"), label.alias("class"), reason.alias("reason"))
 
 
 @query("E06_ev_reference_class", REFERENCE_SQL)
@@ -400,15 +490,20 @@ def _(m):
     return evaluation.content_hash(m.orders(), "order_id", F.concat_ws(":", "order_status", F.col("order_total").cast("string")))
 
 
-@query("D09_dq_case_contract", """
-SELECT order_id, array_to_string(list_filter([CASE WHEN order_id % 10 = 0 THEN 'case_id' END, CASE WHEN order_id % 9 = 0 THEN 'question' END, CASE WHEN order_id % 8 = 0 THEN 'reference_outputs' END,
-  CASE WHEN order_id % 7 < 2 THEN 'row_count' END, CASE WHEN order_id % 6 = 0 THEN 'dataset_version' END], lambda e: e IS NOT NULL), ',') AS errors FROM m_orders""")
-def _(m):
-    o = F.col("order_id")
-    cases = m.orders().select("order_id", F.when(o % 10 != 0, o.cast("string")).alias("case_id"), F.when(o % 9 == 0, " ").otherwise("x").alias("question"),
-                              (o % 8 != 0).alias("has_reference"), F.when(o % 7 == 0, F.lit(None)).when(o % 7 == 1, 3).otherwise(2).alias("row_count"),
-                              F.lit(2).alias("rows_given"), F.when(o % 6 == 0, "1.0").otherwise("2.1.0").alias("version"), F.lit("2.1.0").alias("expected_version"))
-    return cases.select("order_id", F.array_join(quality.case_errors(), ",").alias("errors"))
+@query("D09_dq_case_contract", r"""
+SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(coalesce(source, '')) = '' OR lang = 'fr' THEN 'case_id' END, CASE WHEN trim(coalesce(first, '')) = '' THEN 'question' END,
+  CASE WHEN NOT labelled THEN 'reference_outputs' END, CASE WHEN rows IS NULL OR rows <> lines THEN 'row_count' END,
+  CASE WHEN version IS DISTINCT FROM '2.1.0' THEN 'dataset_version' END], lambda e: e IS NOT NULL), ',') AS errors
+FROM (SELECT doc_id, source, lang, substr(text, 1, 1) AS first, quality IS NOT NULL AS labelled, CASE WHEN toxic = 0 THEN len(string_split(text, chr(10))) END AS rows,
+             len(string_split(trim(text, chr(10)), chr(10))) AS lines, CASE WHEN lang IS NOT NULL THEN CASE WHEN n_chars > 300 THEN '2.1.0' ELSE '1.0' END END AS version
+      FROM documents LEFT JOIN labels USING (doc_id))""")
+def _(m):
+    lines = lambda t: F.size(F.split(t, "\n", -1))
+    cases = labelled(m).select(
+        F.col("case_id").alias("doc_id"), F.when(~F.coalesce(F.col("lang") == "fr", F.lit(False)), F.col("source")).alias("case_id"), F.substring("text", 1, 1).alias("question"),
+        F.col("quality").isNotNull().alias("has_reference"), F.when(F.col("toxic") == 0, lines(F.col("text"))).alias("row_count"), lines(F.btrim("text", F.lit("\n"))).alias("rows_given"),
+        F.when(F.col("lang").isNotNull(), F.when(F.col("n_chars") > 300, "2.1.0").otherwise("1.0")).alias("version"), F.lit("2.1.0").alias("expected_version"))
+    return cases.select("doc_id", F.array_join(quality.case_errors(), ",").alias("errors"))
 
 
 # --- result sets ------------------------------------------------------------------------------
