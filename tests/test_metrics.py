@@ -70,3 +70,19 @@ def test_ranking_without_grouping_and_typed_comparison(market):
     row = metric_query(market, MetricSpec("revenue", "compare", ("month",), compare=("1998-01-01", "1998-02-01"))).collect()[0]
     assert row["1998-01-01"] > 0 and row["1998-02-01"] > 0
     assert metric_query(market, MetricSpec("refund_amount", "detail")).count() > 200
+
+
+def test_questions_become_metric_queries(spark):
+    from zocalo.operators.structuring import structure
+    from zocalo.plans.answering import spec_of
+    asked = {"¿Cuál fue el total vendido por mes en 2018?": ("revenue", "sum", ("month",), (), ("2018-01-01", "2018-12-31")),
+             "¿Cuántas órdenes canceladas hubo?": ("order_count", "count", (), (("order_status", "canceled"),), None),
+             "Mediana del precio por categoria": ("price", "median", ("category",), (), None),
+             "promedio de ordenes": ("order_count", None, (), (), None),
+             "total de flete y ventas por vendedor": (("revenue", "freight_value"), "sum", ("seller",), (), None)}
+    rows = structure(spark.createDataFrame([(q,) for q in asked], "question string"), "question").collect()
+    for r in rows:
+        s = spec_of(r)
+        assert (s.metric, s.operation, s.group_by, s.filters, s.date_range) == asked[r["question"]]
+    with pytest.raises(ValueError):
+        spec_of(structure(spark.createDataFrame([("hola",)], "question string"), "question").first())

@@ -68,18 +68,17 @@ def unsupported_numbers(answers: DataFrame, cells: DataFrame, tolerance: float =
     said = (answers.select("result_id", token.alias("_token"))
             .select("result_id", raw.alias("_raw"), F.endswith("_token", F.lit("%")).alias("percent"))
             .withColumn("said", answer_number(F.col("_raw"))).distinct())
-    shown = cells.filter(F.col("num").isNotNull()).select("result_id", F.col("num").cast("double").alias("v"),
-                                                          percent_key(F.col("col")).alias("rate"))
-    values = (shown.select("result_id", F.lit(False).alias("percent"), "v")
-              .unionByName(shown.filter(F.col("rate") & (F.abs("v") <= 1)).select("result_id", F.lit(True).alias("percent"), (F.col("v") * 100).alias("v"))))
+    v, rate = F.col("num").cast("double"), percent_key(F.col("col")) & (F.abs(F.col("num").cast("double")) <= 1)
+    reading = lambda percent, value: F.struct(F.lit(percent).alias("percent"), value.alias("v"))
+    both = F.array(reading(False, v), F.when(rate, reading(True, v * 100)))
+    values = cells.filter(F.col("num").isNotNull()).select("result_id", F.inline(F.filter(both, lambda r: r.isNotNull())))
     ranges = (values.withColumn("_b", _bucket(F.col("v"), tolerance)).groupBy("result_id", "percent", "_b")
               .agg(F.min("v").alias("_lo"), F.max("v").alias("_hi")))
-    around = F.explode(F.sequence(_bucket(F.col("said"), tolerance) - 5, _bucket(F.col("said"), tolerance) + 5))
+    around = F.explode_outer(F.sequence(_bucket(F.col("said"), tolerance) - 5, _bucket(F.col("said"), tolerance) + 5))
     fits = lambda v: F.abs(F.col("said") - F.col(v)) <= tolerance * F.greatest(F.abs(v), F.lit(1.0))
-    supported = (said.withColumn("_b", around).join(ranges, ["result_id", "percent", "_b"]).filter(fits("_lo") | fits("_hi"))
-                 .select("result_id", "_raw", "percent").distinct())
-    return (said.join(supported, ["result_id", "_raw", "percent"], "left_anti")
-            .select("result_id", F.concat("_raw", F.when(F.col("percent"), " %").otherwise("")).alias("number")))
+    supported = F.bool_or(F.coalesce(fits("_lo") | fits("_hi"), F.lit(False))).alias("_supported")
+    return (said.withColumn("_b", around).join(ranges, ["result_id", "percent", "_b"], "left").groupBy("result_id", "_raw", "percent").agg(supported)
+            .filter(~F.col("_supported")).select("result_id", F.concat("_raw", F.when(F.col("percent"), " %").otherwise("")).alias("number")))
 
 
 def row_summary(cells: DataFrame) -> DataFrame:

@@ -616,9 +616,30 @@ def leaves(m):
     return m.orders().select(o.alias("payload_id"), F.posexplode(F.array(*rows)).alias("pos", "leaf")).select("payload_id", "pos", "leaf.path", "leaf.value")
 
 
-@query("D12_dq_redact_keys", """
-SELECT order_id AS payload_id, unnest(['question', 'config.My-API-Key', 'config.user', 'auth.Token', 'k0.k1.k2.k3.k4.k5.k6.k7.k8.k9', 'rows_summary', 'list.[0]']) AS path,
-       unnest(['mail [REDACTED_EMAIL] ' || order_id, '[REDACTED]', CAST(order_id AS VARCHAR), '[REDACTED]', '[MAX_DEPTH_REACHED]', '{"row_count":2,"columns":["carrier","rate","extra"]}', CAST(order_id AS VARCHAR)]) AS value
+def spoken_leaves(m):
+    """Payloads of conversation turns: the words of a turn as keys, twelve deep at most, some of them named like secrets, over its text."""
+    plain = F.regexp_replace("text", r"[^\x0A\x20-\x7E]", " ")
+    turn = m.spread("conversations").select(F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("payload_id"), plain.alias("t"))
+    said = turn.select("payload_id", "t", F.slice(F.regexp_extract_all("t", F.lit("[A-Za-z]+"), F.lit(0)), 1, 12).alias("w")).filter(F.size("w") > 0)
+    key = lambda x: F.concat(F.lit("k "), x, F.when(F.length(x) % 9 == 0, "-Token").when(F.length(x) % 7 == 0, " API key").otherwise(""))
+    secret = F.concat(F.element_at("w", 1), F.lit("@site.org says password: "), F.element_at("w", -1), F.lit(" "), F.col("t"))
+    return said.select("payload_id", F.lit(0).alias("pos"), F.transform("w", key).alias("path"), secret.alias("value"))
+
+
+@query("D12_dq_redact_keys", f"""
+WITH spoken AS (
+  SELECT payload_id, list_transform(w, lambda x: 'k ' || x || CASE WHEN length(x) % 9 = 0 THEN '-Token' WHEN length(x) % 7 = 0 THEN ' API key' ELSE '' END) AS path,
+         w[1] || '@site.org says password: ' || w[-1] || ' ' || t AS value FROM (
+    SELECT payload_id, t, (regexp_extract_all(t, '[A-Za-z]+'))[1:12] AS w FROM (
+      SELECT 'c-' || conv_id || '-' || turn AS payload_id, regexp_replace(text, '[^\\x0A\\x20-\\x7E]', ' ', 'g') AS t FROM conversations)) WHERE len(w) > 0),
+found AS (
+  SELECT payload_id, path, value, coalesce(list_position(list_transform(list_transform(path, lambda k: trim(regexp_replace(lower(k), '[^a-z0-9]+', '_', 'g'), '_')),
+    lambda k: list_contains({sql_list(redaction.SENSITIVE_KEYS)}, k) OR regexp_matches(k, '(_api_key|_password|_secret|_token)$')), true), 0) AS hidden FROM spoken)
+SELECT payload_id, array_to_string(CASE WHEN hidden BETWEEN 1 AND 10 THEN path[1:hidden] ELSE path[1:10] END, '.') AS path,
+       CASE WHEN hidden BETWEEN 1 AND 10 THEN '[REDACTED]' WHEN len(path) >= 10 THEN '[MAX_DEPTH_REACHED]' ELSE {redact_sql('value')} END AS value FROM found
+UNION ALL SELECT 'o' || order_id AS payload_id, unnest(['question', 'config.My-API-Key', 'config.user', 'auth.Token', 'k0.k1.k2.k3.k4.k5.k6.k7.k8.k9', 'rows_summary', 'list.[0]']) AS path,
+       unnest(['mail [REDACTED_EMAIL] ' || order_id, '[REDACTED]', CAST(order_id AS VARCHAR), '[REDACTED]', '[MAX_DEPTH_REACHED]', '{{"row_count":2,"columns":["carrier","rate","extra"]}}', CAST(order_id AS VARCHAR)]) AS value
 FROM m_orders""")
 def _(m):
-    return quality.redact_leaves(leaves(m)).withColumn("path", F.array_join("path", "."))
+    own = leaves(m).withColumn("payload_id", F.concat(F.lit("o"), F.col("payload_id").cast("string")))
+    return quality.redact_leaves(spoken_leaves(m).unionByName(own)).withColumn("path", F.array_join("path", "."))

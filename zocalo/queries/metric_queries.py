@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from zocalo.operators import aggregates, filters, ranking
+from zocalo.plans.answering import answer
 from zocalo.plans.metrics import MetricSpec, metric_query, month_of
 from zocalo.queries.registry import query
 
@@ -378,3 +379,19 @@ SELECT state, round(revenue, 4) AS revenue, round(abs(revenue - (SELECT avg(reve
 def _(m):
     df = as_double(metric_query(m, MetricSpec("revenue", "rank_nearest_average", group_by=("state",))), "revenue")
     return df.withColumn("distance_to_average", F.round("distance_to_average", 2))
+
+
+# --- questions in words -----------------------------------------------------------------------
+
+@query("Q11_qs_answer_trend", """
+SELECT date_trunc('month', order_purchase_timestamp) AS month, round(CAST(sum(price) AS DOUBLE), 4) AS revenue
+FROM m_items JOIN m_orders USING (order_id) GROUP BY 1""")
+def _(m):
+    return as_double(answer(m, "¿Cuál fue el total vendido por mes?"), "revenue")
+
+
+@query("Q11b_qs_answer_ranking", """
+SELECT customer_state AS state, round(CAST(sum(freight_value) AS DOUBLE), 4) AS freight_value FROM m_items JOIN m_orders USING (order_id) JOIN m_customers USING (customer_id)
+WHERE order_status = 'delivered' AND order_id IN (SELECT order_id FROM m_payments WHERE payment_type = 'credit_card') GROUP BY 1""")
+def _(m):
+    return as_double(answer(m, "¿Dónde se pagó el mayor flete por estado, entregado y con tarjeta?"), "freight_value")
