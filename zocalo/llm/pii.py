@@ -26,11 +26,15 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 #: About how many documents the weights are fitted on, change (in nats) below which a message rests, belief from which a span is added.
 TRAIN_ROWS, SETTLED, ADD_AT = 2000, 1e-5, 0.9
+#: Documents with linked base spans are sought among so many times as many, since few have any.
+LINKED_SHARE = 8
 #: Longest text, in characters, that the field is fitted on; spans are sought in whole texts.
 TRAIN_CHARS = 1 << 18
 #: Share of labelled mentions whose validity is hidden in training, so that context and repeats get weight too.
 HIDDEN = 0.3
 LABELS = len(KINDS) + 1  # 0: none
+#: Agreement along skip links before anything is learned, and how strongly it is held on to, in links.
+AGREE, SKIP_PRIOR = 5.0, 0.02
 WORDS = 32  # buckets of the word in front
 FEATURES = 22 + WORDS
 VALIDITY = (1, 2, 3, 4)
@@ -253,45 +257,67 @@ def beliefs(field: Field, features: np.ndarray, fixed: np.ndarray, chain: np.nda
 
 def fit(features: np.ndarray, labels: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 300, rate: float = 0.5,
         prior: float = 1e-3, seed: int = 0) -> Field:
-    """Weights by gradient ascent of the pseudo-likelihood, with a Gaussian prior around agreement along skip links.
+    """Weights by gradient ascent of the pseudo-likelihood, with a weak Gaussian prior (around agreement along skip links).
 
-    Base spans are the labels. For a share of them the features that say a pattern is complete are hidden.
+    Base spans are the labels. Of every two linked ones, one (by lot) is dressed as a mention without a label, drawn from all those, as if
+    it were not written as its pattern asks: its form then speaks against its label and only its links speak for it, which is
+    what skip potentials have to outweigh. Of the others a share loses the features that say a pattern is complete. A mention without a
+    label that is linked to a base span is what the field is there to judge: it is no evidence that links mean nothing, so it
+    counts as unobserved.
     """
     rng = np.random.default_rng(seed)
     x = features.astype(float)
+    linked = skip[(labels[skip] > 0).all(1)] if len(skip) else skip
+    veiled = np.unique(linked[np.arange(len(linked)), rng.integers(0, 2, len(linked))]) if len(linked) else np.empty(0, np.int64)
+    plain = np.flatnonzero(labels == 0)
+    if len(plain):
+        x[veiled] = x[rng.choice(plain, len(veiled))]
     hide = np.flatnonzero((labels > 0) & (rng.random(len(labels)) < HIDDEN))
     x[hide[:, None], list(VALIDITY)] = 0
-    agree = 6.0 * np.eye(LABELS)
+    seen = np.ones(len(labels), bool)
+    if len(skip):
+        told = (labels[skip] > 0).any(1)
+        ends = np.unique(skip[told])
+        seen[ends[labels[ends] == 0]] = False
+    agree = AGREE * np.eye(LABELS)
     field = [np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), agree.copy()]
     truth = np.eye(LABELS)[labels]
+    weight = max(len(labels), 1)
     for _ in range(steps if len(labels) else 0):
         z = x @ field[0]
         for edges, w in ((chain, field[1]), (skip, field[2])):
             np.add.at(z, edges[:, 1], w[labels[edges[:, 0]]])
             np.add.at(z, edges[:, 0], w.T[labels[edges[:, 1]]])
         p = np.exp(z - z.max(1, keepdims=True))
-        error = truth - p / p.sum(1, keepdims=True)
-        moves = [x.T @ error - prior * len(labels) * field[0]]
-        for edges, w, mean in ((chain, field[1], 0.0), (skip, field[2], agree)):
+        error = np.where(seen[:, None], truth - p / p.sum(1, keepdims=True), 0)
+        # the skip weights go by the evidence of their own few links, not by that of all mentions
+        sizes = (weight, weight, max(4 * len(linked), 1))
+        moves = [x.T @ error - prior * weight * field[0]]
+        for edges, w, mean, least in ((chain, field[1], 0.0, prior * weight), (skip, field[2], agree, SKIP_PRIOR)):
             g = np.zeros_like(w)
             np.add.at(g, labels[edges[:, 0]], error[edges[:, 1]])
             np.add.at(g.T, labels[edges[:, 1]], error[edges[:, 0]])
-            moves.append(g - max(prior * len(labels), 1.0) * (w - mean))
-        for w, g in zip(field, moves):
-            w += rate * g / max(len(labels), 1)
+            moves.append(g - least * (w - mean))
+        for w, g, size in zip(field, moves, sizes):
+            w += rate * g / size
     return Field(*field)
 
 
 def training_field(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Field:
-    """Fitted on about ``rows`` documents with a digit or @ (those whose id's hash is below a threshold) of up to ``chars`` characters: documented bounds."""
+    """Fitted on about ``rows`` documents with a digit or @ (those whose id's hash is below a threshold) of up to ``chars`` characters, and those
+    of ``LINKED_SHARE`` times as many that hold linked base spans: documented bounds.
+    """
     texts = exact(docs, doc_id="doc_id", text="text")
     share = min(1.0, rows / max(texts.count(), 1))
-    sample = texts.where(unit_hash(F.coalesce("doc_id", F.lit(0)), seed=3) < share).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= chars))
+    draw = unit_hash(F.coalesce("doc_id", F.lit(0)), seed=3)
+    sample = texts.where(draw < LINKED_SHARE * share).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= chars)).select("doc_id", "text", (draw < share).alias("drawn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, t in zip(b.column(0), b.column(1)):
+            for doc_id, t, drawn in zip(b.column(0), b.column(1), b.column(2).to_pylist()):
                 m = mentions(t.as_py(), base_spans(t.as_py()))
+                if not drawn and not any(m.kinds[i] and m.kinds[j] for i, j in m.links):
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([doc_id.as_py()], pa.int64()), pa.array([np.packbits(m.features.astype(bool)).tobytes()], pa.binary()),
                      pa.array([m.kinds], pa.list_(pa.int32())), pa.array([[i for e in m.links for i in e]], pa.list_(pa.int32()))],
@@ -360,7 +386,11 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def without_personal_data(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The documents with every span of personal data masked; n_chars follows the new text, all other columns stay."""
+    """The documents with every span of personal data masked; n_chars follows the new text, all other columns stay.
+
+    Null texts stay null and blank ones as they are; spans that overlap become one; repeated rows are masked each; an empty table stays
+    empty; columns whose names clash are kept.
+    """
     field = docs.sparkSession.sparkContext.broadcast(training_field(docs, train_rows))
     flat, at = numbered_columns(docs)
 
