@@ -220,7 +220,7 @@ def _(m):
 view("m_cases", r"""
 SELECT d.doc_id AS case_id, CASE WHEN toxic = 1 THEN 'blocked' WHEN quality = 1 THEN 'success' WHEN quality = 0 THEN 'failed' END AS status,
        CASE WHEN n_chars % 2 = 0 THEN 'success' WHEN lang = 'en' THEN 'blocked' END AS expected_status,
-       replace(trim(text), ' ', ',') AS sources, list_filter(regexp_extract_all(upper(text), '[^\x20\x09-\x0D,]+'), lambda x: length(x) <> 1) AS expected_sources
+       replace(trim(text), ' ', ',') AS sources, list_filter(regexp_extract_all(translate(text, 'aeiou', 'AEIOU'), '[^\x20\x09-\x0D,]+'), lambda x: length(x) <> 1) AS expected_sources
 FROM documents d LEFT JOIN labels l USING (doc_id)""")
 
 
@@ -244,7 +244,7 @@ SELECT case_id, list_sort(list_distinct(list_filter(list_transform(string_split(
 
 
 def reported_sources(m):
-    named = F.regexp_extract_all(F.upper("text"), F.lit(r"[^\x20\x09-\x0D,]+"), F.lit(0))
+    named = F.regexp_extract_all(F.translate("text", "aeiou", "AEIOU"), F.lit(r"[^\x20\x09-\x0D,]+"), F.lit(0))
     return labelled(m).select("case_id", F.replace(F.trim("text"), F.lit(" "), F.lit(",")).alias("sources"), F.filter(named, lambda x: F.length(x) != 1).alias("wanted"))
 
 
