@@ -66,7 +66,7 @@ def test_running_values_over_batches_and_ranges(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         for before in (False, True):
-            for parts in (1, 9):
+            for parts in (None, 1, 9):
                 last = ordered.running_last(df, ["k"], "t", ["i"], F.col("v"), "got", before, parts)
                 assert rows(last.select("i", "got")) == plain(lambda held: max(held)[2], before)
                 most = ordered.running_max(df, ["k"], "t", ["i"], F.col("v"), "got", before, parts)
@@ -76,12 +76,16 @@ def test_running_values_over_batches_and_ranges(spark):
 
 
 def test_ordered_scan_reads_and_shuffles_once(spark):
-    from zocalo.queries import QUERIES
-    frame = QUERIES["J04_join_asof_backward"].run(spark, PATH)
+    m = Marketplace(spark, PATH)
+    frame = ordered.running_last(m.orders(), ["customer_id"], "order_purchase_timestamp", ["order_id"], F.col("order_total"), "last", parts=8)
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     shuffles = [line for line in plan.splitlines() if "Exchange rangepartitioning" in line]
-    assert len(shuffles) == 2 and sum("ReusedExchange" in line for line in shuffles) == 1
+    assert len(shuffles) == 2 and sum("ReusedExchange" in line for line in shuffles) == 1  # the second reading is of the same shuffle
+    small = ordered.running_last(m.orders(), ["customer_id"], "order_purchase_timestamp", ["order_id"], F.col("order_total"), "last")
+    small.collect()
+    plan = small._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan and "MapInArrow" not in plan
 
 
 def test_median_of_large_groups_sorts_only_the_middle(spark):

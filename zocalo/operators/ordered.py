@@ -1,7 +1,8 @@
-"""Running values per key in time order, over ranges of (key, time) instead of one task per key.
+"""Running values per key in time order; of large inputs over ranges of (key, time) instead of one task per key.
 
 Rows are dealt by sampled ranges of (key, time, tie-break), so a key with very many rows is simply spread over many ranges. Each
 range is scanned on its own; what a key brings along from the ranges before comes from one aggregate with one row per range.
+An input so small that a single task could sort all of it is dealt by key instead, which needs no sample and no Python; the result is the same.
 """
 
 from __future__ import annotations
@@ -15,6 +16,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of input up to which rows are dealt by key: one key that holds them all is then still a sort that a task can spill.
+BY_KEY_BELOW = 4 << 30
+
+
+def _read_bytes(df: DataFrame) -> int:
+    """Estimated size of the tables that ``df`` reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def _key_starts(batch: pa.RecordBatch, by: list[str]) -> np.ndarray:
     """Whether each row's key differs from that of the row before; the first row counts as different."""
     fresh = np.ones(batch.num_rows, bool)
@@ -84,6 +95,11 @@ def _scan(by: list[str], name: str, largest: bool, before: bool):
 
 def _running(df: DataFrame, by: list[str], ts: str, tie: list[str], value: Column, name: str, largest: bool, before: bool,
              parts: int | None) -> DataFrame:
+    if by and parts is None and _read_bytes(df) < BY_KEY_BELOW:
+        given = F.when(F.col(ts).isNotNull(), value)
+        upto = Window.partitionBy(*by).orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+        running = (F.max(given) if largest else F.last(given, ignorenulls=True)).over(upto)
+        return df.withColumn(name, running).withColumn(name, F.when(F.col(ts).isNotNull(), F.col(name)))
     columns, order = df.columns, list(dict.fromkeys([*by, ts, *tie]))
     rest = [c for c in columns if c not in order]
     given = F.when(F.col(ts).isNotNull(), value)
@@ -114,8 +130,8 @@ def running_last(df: DataFrame, by: list[str], ts: str, tie: list[str], value: C
                  parts: int | None = None) -> DataFrame:
     """Add the last non-null ``value`` of the key in (``ts``, ``tie``) order.
 
-    ``before=True`` leaves the row's own value out.  Rows without ``ts`` get null.  One shuffle into ``parts`` ranges (default:
-    the session's number of shuffle partitions); how they are cut never changes the result.
+    ``before=True`` leaves the row's own value out.  Rows without ``ts`` get null.  One shuffle, into ``parts`` ranges if given; by default a
+    large input goes to as many ranges as the session has shuffle partitions, a small one by key. How rows are cut never changes the result.
     """
     return _running(df, by, ts, tie, value, name, False, before, parts)
 
