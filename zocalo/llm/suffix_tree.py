@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -17,22 +18,22 @@ from zocalo.llm.simhash import words
 
 #: Longest context in bytes.
 DEPTH = 6
-#: Least share of all symbols that a context must have to be looked at. There can be at most 1 / LEAST_SHARE of them per
-#: length, whatever the corpus is.
-LEAST_SHARE = 5e-6
-#: A context is retained where its count times its divergence from its parent's distribution (in nats) reaches this, and
-#: at most so many are, those with the greatest gain: the size of the model that is broadcast has a bound.
-LEAST_GAIN, MOST_CONTEXTS = 10.0, 1 << 16
+#: A context is retained where its count times its divergence from its parent's distribution (in nats) reaches this.
+LEAST_GAIN = 10.0
 #: Weight of the parent's distribution in a child's, in symbols for each different symbol seen after the child.
 SMOOTHING = 1.0
 #: Words counted by place instead of being dealt out, and the expected documents of the sample that names them. Which words
 #: are chosen decides the route of a count, not its value.
 COMMON_WORDS, SAMPLE_ROWS = 1 << 16, 4000
+#: Grams whose score every task holds; all others are dealt out by gram. Which they are decides the route of a score, not its value.
+COMMON_GRAMS = 1 << 21
 #: Bytes worked on at once, and states built at once.
 SLICE, CHUNK = 1 << 21, 1 << 12
 
 START, END = 9, 10  # tab and line feed cannot be part of a word
-SCORES = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word binary, n long, train boolean"
+#: Set in the key of a gram of a text that is not learned from.
+HELD_OUT = 1 << 8 * (DEPTH + 1)
+SCORES = "row_id long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word binary, n long, train boolean, gram long, times long"
 
 
 def canonical(w: list[bytes]) -> bytes:
@@ -124,8 +125,9 @@ class Tree:
 
 def build_tree(entries: dict[int, tuple[np.ndarray, np.ndarray]], totals: dict[int, tuple[np.ndarray, np.ndarray]],
                gain: float = LEAST_GAIN, smoothing: float = SMOOTHING) -> Tree:
-    """The tree from, by context length, (context and symbol -> count) and (context -> count), both sorted by key.
+    """The tree in memory, from, by context length, (context and symbol -> count) and (context -> count), both sorted by key.
 
+    ``gram_scores`` is the same tree as a table, which is what the query runs; this one is what tests hold it against.
     P(s | c) = (n(c, s) + w * P(s | parent)) / (n(c) + w), w being smoothing times the different symbols after c, so each
     distribution sums to 1; the root's parent is even over 256 bytes. A context is kept if it diverges enough from its parent, or is a suffix of one
     that does; prefixes of kept contexts become states too, with the distribution of their longest kept suffix, so
@@ -135,6 +137,7 @@ def build_tree(entries: dict[int, tuple[np.ndarray, np.ndarray]], totals: dict[i
     alphabet = np.full(256, len(used), np.int64)  # bytes that the root does not list share a column
     alphabet[used] = np.arange(len(used))
     symbols = np.append(used, next((b for b in range(256) if alphabet[b] == len(used)), END))
+    bytes_of = np.append(np.ones(len(used), np.float32), np.float32(256 - len(used)))
     keep: dict[int, np.ndarray] = {0: np.zeros(1, np.int64)}
     dense: dict[int, np.ndarray] = {}
 
@@ -157,11 +160,8 @@ def build_tree(entries: dict[int, tuple[np.ndarray, np.ndarray]], totals: dict[i
         frequent[d] = contexts
         dense[d] = distribution(d, contexts, dense[d - 1][parent]) if len(contexts) else np.empty((0, len(symbols)), np.float32)
         n = totals[d][1] if d in totals else np.empty(0)
-        gain_of = lambda i: (dense[d][i:i + CHUNK] * np.log(dense[d][i:i + CHUNK] / dense[d - 1][parent[i:i + CHUNK]])).sum(1)  # noqa: B023, E731
+        gain_of = lambda i: (dense[d][i:i + CHUNK] * np.log(dense[d][i:i + CHUNK] / dense[d - 1][parent[i:i + CHUNK]])) @ bytes_of  # noqa: B023, E731
         gains[d] = np.concatenate([gain_of(i) for i in range(0, len(contexts), CHUNK)]) * n if len(contexts) else np.empty(0)
-    every = np.concatenate(list(gains.values()))
-    if len(every) > MOST_CONTEXTS:
-        gain = max(gain, np.partition(every, -MOST_CONTEXTS)[-MOST_CONTEXTS])
     for d in gains:
         keep[d] = frequent[d][gains[d] >= gain]
     for d in range(DEPTH, 1, -1):
@@ -218,9 +218,9 @@ def common_words(rows: DataFrame, total: int, most: int = COMMON_WORDS) -> list[
 
 
 def corpus_counts(rows: DataFrame, common: list[bytes]) -> DataFrame:
-    """(kind, key, n): kind 0 counts common words by place (-1: ends), kind 1 the DEPTH + 1 byte grams, over all training texts.
+    """(kind, key, n, times): kind 0 counts common words by place (-1: ends), kind 1 the DEPTH + 1 byte grams.
 
-    A task adds up its own before anything is moved.
+    n is over all training texts, times over all texts. A task adds up its own before anything is moved.
     """
     places = docs_broadcast(rows, {w: i for i, w in enumerate(common)})
     many = len(common)
@@ -235,82 +235,142 @@ def corpus_counts(rows: DataFrame, common: list[bytes]) -> DataFrame:
             return own, np.bincount(back, np.concatenate(counts) if counts else None, len(own)).astype(np.int64)
 
         def out(kind, key, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(n)], names=["kind", "key", "n"])
+            learned = np.where(key & HELD_OUT, 0, n) if kind else n
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key & (HELD_OUT - 1) if kind else key),
+                                               pa.array(learned), pa.array(n)], names=["kind", "key", "n", "times"])
 
-        def texts(b: pa.RecordBatch) -> Iterator[bytes]:
-            for t in b.column(0):
-                w = words(t.as_py() or "")
-                found = [place[x] for x in w if x in place]
-                tally[:] += np.bincount(found, minlength=many + 1) if found else 0
-                yield canonical(w)
+        def texts(b: pa.RecordBatch, train: bool) -> Iterator[bytes]:
+            for t, own in zip(b.column(0), b.column(1).to_pylist()):
+                if own == train:
+                    w = words(t.as_py() or "")
+                    found = [place[x] for x in w if x in place] if train else []
+                    tally[:] += np.bincount(found, minlength=many + 1) if found else 0
+                    yield canonical(w)
 
         for b in batches:
-            ends += b.num_rows
-            for data, valid, _, _ in streams(texts(b)):
-                own, n = np.unique(gram_keys(data, valid), return_counts=True)
-                keys.append(own)
-                counts.append(n)
-                pending += len(own)
-                if pending > 1 << 22:
-                    own, n = merged()
-                    keys, counts, pending = [own], [n], len(own)
-                    if pending > 1 << 21:
-                        yield out(1, own, n)
-                        keys, counts, pending = [], [], 0
+            ends += b.column(1).true_count
+            for train in (True, False):
+                for data, valid, _, _ in streams(texts(b, train)):
+                    own, n = np.unique(gram_keys(data, valid), return_counts=True)
+                    keys.append(own if train else own | HELD_OUT)
+                    counts.append(n)
+                    pending += len(own)
+                    if pending > 1 << 22:
+                        own, n = merged()
+                        keys, counts, pending = [own], [n], len(own)
+                        if pending > 1 << 21:
+                            yield out(1, own, n)
+                            keys, counts, pending = [], [], 0
         own, n = merged()
         yield out(1, own, n)
         at = np.flatnonzero(tally)
         yield out(0, np.append(at, -1), np.append(tally[at], ends))
 
-    made = rows.where("train").select("text").mapInArrow(run, "kind int, key long, n long")
-    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    made = rows.select("text", "train").mapInArrow(run, "kind int, key long, n long, times long")
+    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
 
 
 def docs_broadcast(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
-def fit(counts: DataFrame) -> tuple[dict[int, int], Tree]:
-    """Counts of the common words by place, and the tree, from stored ``counts``.
+def last(column: str, symbols: int):
+    """The last ``symbols`` bytes of a key."""
+    return F.col(column).bitwiseAND(F.lit((1 << 8 * symbols) - 1))
+
 
-    Spark adds up contexts of every length and leaves out those below LEAST_SHARE, so the driver gets a bounded list.
+def gram_scores(grams: DataFrame, gain: float = LEAST_GAIN, smoothing: float = SMOOTHING) -> DataFrame:
+    """(key, score): log10 probability of the last byte of each gram after those before it, from (key, n); n may be 0.
+
+    The tree of ``build_tree`` as tables, one for each length, whatever their size: no context is left out for being rare or one
+    of too many. Going down from the root, a gram meets its suffix, which has its parent's probability, and the other symbols after its
+    context, which give the divergence (what was not seen after a context has one ratio to its parent, so it needs no rows). Going up,
+    suffixes of retained contexts are retained; going down again, a gram takes the probability after the longest retained one.
     """
-    ranked = {r["key"]: r["n"] for r in counts.where("kind = 0").select("key", "n").collect()}
-    grams = counts.where("kind = 1")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(1.0, LEAST_SHARE * total)
-    entries, totals = {}, {}
+    counted = {DEPTH: grams.select(F.col("key").alias("k"), "n")}
+    for d in range(DEPTH - 1, -1, -1):
+        counted[d] = stored(counted[d + 1].groupBy(last("k", d + 1).alias("k")).agg(F.sum("n").alias("n")), "lm-counted")
+    same = Window.partitionBy("context")
+    n, p, parent, total, w = (F.col(x) for x in ("n", "p", "parent", "total", "w"))
+    levels, kept = {}, {}
     for d in range(DEPTH + 1):
-        listed = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("k")).agg(F.sum("n").alias("n"))
-        contexts = listed.groupBy(F.shiftright("k", 8).alias("context")).agg(F.sum("n").alias("of_context")).where(F.col("of_context") >= least)
-        found = listed.join(contexts, F.shiftright("k", 8) == F.col("context")).select("k", "n").toArrow()
-        k, n = np.asarray(found.column("k"), np.int64), np.asarray(found.column("n"), float)
-        order = np.argsort(k)
-        k, n = k[order], n[order]
-        entries[d] = (k, n)
-        own, place = np.unique(k >> 8, return_inverse=True)
-        totals[d] = (own, np.bincount(place, n, len(own)))
-    return ranked, build_tree(entries, totals)
-
-
-def lm_scores(docs: DataFrame) -> DataFrame:
+        rows = counted[d].withColumn("context", F.shiftright("k", 8))
+        if d:
+            rows = rows.withColumn("up", last("k", d)).join(levels[d - 1].select(F.col("k").alias("up"), p.alias("parent")), "up")
+        else:
+            rows = rows.withColumn("parent", F.lit(1 / 256))
+        rows = rows.withColumns({"total": F.sum("n").over(same), "w": smoothing * F.greatest(F.count_if(n > 0).over(same), F.lit(1))})
+        rows = rows.withColumn("p", (n + w * parent) / (total + w))
+        seen = F.sum(F.when(n > 0, p).otherwise(0.0)).over(same)
+        apart = F.sum(F.when(n > 0, p * F.log(p / parent)).otherwise(0.0)).over(same)
+        levels[d] = stored(rows.select("k", "p", (total * (apart + F.greatest(1 - seen, F.lit(0.0)) * F.log(w / (total + w)))).alias("gain")), "lm-level")
+    for d in range(DEPTH, 0, -1):
+        own = levels[d].where(F.col("gain") >= gain).select(F.shiftright("k", 8).alias("context"))
+        longer = [kept[d + 1].select(last("context", d).alias("context"))] if d < DEPTH else []
+        kept[d] = stored(functools.reduce(DataFrame.union, longer, own).distinct(), "lm-kept")
+    found = levels[0].select("k", "p")
+    for d in range(1, DEPTH + 1):
+        rows = levels[d].select("k", "p", F.shiftright("k", 8).alias("context"), last("k", d).alias("up"))
+        rows = rows.join(found.select(F.col("k").alias("up"), p.alias("parent")), "up").join(kept[d].withColumn("own", F.lit(True)), "context", "left")
+        found = rows.select("k", F.when(F.col("own"), p).otherwise(parent).alias("p"))
+    return found.select(F.col("k").alias("key"), F.log10("p").alias("score"))
+
+
+def common_grams(scores: DataFrame, most: int = COMMON_GRAMS) -> tuple[int, np.ndarray, np.ndarray]:
+    """(least times, keys, scores) of the most frequent grams of (key, times, score), at most ``most``, sorted by key; a last key is none's."""
+    power = F.floor(F.log2("times") * 8)
+    listed = scores.groupBy(power.alias("power")).agg(F.count("*").alias("grams"), F.min("times").alias("least")).collect()
+    least, held = 1 << 62, 0
+    for r in sorted(listed, key=lambda r: -r["power"]):
+        held += r["grams"]
+        if held > most:
+            break
+        least = r["least"]
+    found = scores.where(F.col("times") >= least).select("key", "score").toArrow()
+    keys, values = np.asarray(found.column("key"), np.int64), np.asarray(found.column("score"), float)
+    order = np.argsort(keys)
+    return least, np.append(keys[order], np.iinfo(np.int64).max), np.append(values[order], 0.0)
+
+
+def text_scores(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sum over each text's grams that are among ``keys``; and all others as arrays of texts, grams and times."""
+    total, others = np.zeros(len(texts)), [[], [], []]
+    for data, valid, starts, owners in streams(texts):
+        owner = np.repeat(owners, np.diff(np.append(starts, len(data))))[valid]
+        own, back = np.unique(gram_keys(data, valid), return_inverse=True)
+        at = np.searchsorted(keys, own)
+        hit = keys[at] == own
+        total += np.bincount(owner, np.where(hit, values[at], 0.0)[back], len(texts))
+        rest = ~hit[back]
+        pairs, times = np.unique(owner[rest] * len(own) + back[rest], return_counts=True)
+        for column, more in zip(others, (pairs // len(own), own[pairs % len(own)], times)):
+            column.append(more)
+    return total, [np.concatenate(x) if x else np.empty(0, np.int64) for x in others]
+
+
+def lm_scores(docs: DataFrame, held: int = COMMON_GRAMS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are lower-cased (A-Z), one end counts as a token too. base_score adds log10((c + 1) / (N + V + 1)) over the
     tokens with exact counts of all training documents: those of common words are gathered by place, all other words are dealt
     out by word, once per document. score is the tree's log10 probability of the words, with one blank between them,
-    and the end. Null and empty texts are the end alone; repeated rows count and are scored each; with nothing to learn from
-    c, N and V are 0 and the tree is even; an empty table gives an empty result; other columns are ignored.
+    and the end; a symbol's is that of the gram it ends, which every task holds for the ``held`` most frequent grams, while all others
+    are dealt out by gram. Null and empty texts are the end alone; repeated rows count and are scored each; with nothing to learn
+    from c, N and V are 0 and the tree is even; an empty table gives an empty result; other columns are ignored.
     """
     rows = exact(docs, doc_id="doc_id", text="text")
     rows = rows.select("doc_id", "text", (id_remainder(F.col("doc_id"), 7) != 2).alias("train"), F.monotonically_increasing_id().alias("row_id"))
     common = common_words(rows, rows.count())
-    ranked, tree = fit(stored(corpus_counts(rows, common), "lm-counts"))
-    model = docs_broadcast(docs, (tree, {w: (math.log10(ranked.get(i, 0) + 1), ranked.get(i, 0) > 0) for i, w in enumerate(common)}))
+    counts = stored(corpus_counts(rows, common), "lm-counts")
+    ranked = {r["key"]: r["n"] for r in counts.where("kind = 0").select("key", "n").collect()}
+    grams = counts.where("kind = 1")
+    scored = stored(gram_scores(grams).join(grams.select("key", "times"), "key"), "lm-scores")
+    least, keys, values = common_grams(scored, held)
+    model = docs_broadcast(docs, (keys, values, {w: (math.log10(ranked.get(i, 0) + 1), ranked.get(i, 0) > 0) for i, w in enumerate(common)}))
     end_log, end_known = math.log10(ranked.get(-1, 0) + 1), int(ranked.get(-1, 0) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_tree, known_words = model.value
+        keys, values, known_words = model.value
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
@@ -330,31 +390,42 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                         rare_n += other.values()
                         rare_row += [row_id] * len(other)
                         rare_train += [is_train] * len(other)
-                scores = own_tree.scores(texts)
+                scores, (owner, gram, times) = text_scores(texts, keys, values)
                 m = len(ids)
                 # a row for the document itself; its "word" is one that no text has, and another for each
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row_ids, pa.int64()), pa.array(ids, pa.int64()), pa.array([not x for x in train], pa.bool_()), pa.array(n_tokens, pa.int64()),
                      pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()),
-                     pa.array([b"\n%d" % r for r in row_ids], pa.binary()), pa.array([0] * m, pa.int64()), pa.array([False] * m, pa.bool_())], schema=ROWS)
+                     pa.array([b"\n%d" % r for r in row_ids], pa.binary()), pa.array([0] * m, pa.int64()), pa.array([False] * m, pa.bool_()), pa.nulls(m, pa.int64()),
+                     pa.array([0] * m, pa.int64())], schema=ROWS)
                 k = len(rare)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rare_row, pa.int64()), *(pa.nulls(k, f.type) for f in list(ROWS)[1:7]), pa.array(rare, pa.binary()),
-                     pa.array(rare_n, pa.int64()), pa.array(rare_train, pa.bool_())], schema=ROWS)
+                     pa.array(rare_n, pa.int64()), pa.array(rare_train, pa.bool_()), pa.nulls(k, pa.int64()), pa.array([0] * k, pa.int64())], schema=ROWS)
+                k = len(gram)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.array(row_ids, np.int64)[owner]), *(pa.nulls(k, f.type) for f in list(ROWS)[1:8]), pa.array(np.zeros(k, np.int64)),
+                     pa.array(np.zeros(k, bool)), pa.array(gram), pa.array(times)], schema=ROWS)
 
-    same = Window.partitionBy("word")
+    # a gram's score is a row among the rows that ask for it
+    asked = rows.mapInArrow(run, SCORES).withColumn("of_gram", F.lit(None).cast("double"))
+    told = scored.where(F.col("times") < least).select(F.col("key").alias("gram"), F.col("score").alias("of_gram"))
+    same = Window.partitionBy("word", "gram")
     n_train = F.when(F.col("train"), F.col("n")).otherwise(F.lit(0))
-    dealt = rows.mapInArrow(run, SCORES).withColumn("c", F.sum(n_train).over(same)).withColumn("lead", F.min("row_id").over(same))
-    each = stored(dealt.groupBy("row_id").agg(
-        *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base", "score")),
+    dealt = asked.unionByName(told, allowMissingColumns=True).withColumns(
+        {"c": F.sum(n_train).over(same), "lead": F.min("row_id").over(same), "of_gram": F.max("of_gram").over(same)})
+    each = stored(dealt.where(F.col("row_id").isNotNull()).groupBy("row_id").agg(
+        *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base", "score")), F.sum(F.col("times") * F.col("of_gram")).alias("rare_score"),
         F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(F.lit(0))).alias("rare_known"),
         F.sum(n_train).alias("rare_train"), F.count(F.when((F.col("c") > 0) & (F.col("row_id") == F.col("lead")), 1)).alias("rare_words")), "lm-rows")
     sums = each.agg(F.coalesce(F.sum("rare_train"), F.lit(0)).alias("n"), F.coalesce(F.sum("rare_words"), F.lit(0)).alias("v")).first()
     n = int(sums["n"]) + sum(ranked.values())
     v = int(sums["v"]) + sum(x > 0 for x in ranked.values())
     return each.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                       (F.col("base") + F.col("rare_base") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"), "score")
+                       (F.col("base") + F.col("rare_base") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
+                       (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"))
 
 
 ROWS = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
-                  ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int64()), ("train", pa.bool_())])
+                  ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int64()), ("train", pa.bool_()),
+                  ("gram", pa.int64()), ("times", pa.int64())])
