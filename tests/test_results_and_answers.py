@@ -167,3 +167,12 @@ def test_bucket_store_rewrites_touched_buckets_only(spark):
         store.merge(frame([3, 60]), fold)
     assert {r["k"]: r["n"] for r in store.read().collect()} == {f"k{i}": 1 for i in range(50)} | {"k3": 5, "k60": 3}
     assert len(store.ledger.versions()) == 2 and {r["k"]: r["n"] for r in store.read(store.ledger.versions()[0]).collect()}["k3"] == 4
+
+
+def test_every_row_asks_by_name(spark):
+    from zocalo.queries import QUERIES
+    path = "/root/testdata/sf0.001"
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id").collect()}
+    expected = {(i, f"table_{i + n}", p) for i in ids for n, p in ((1, 0), (2, 1), (13, 5)) if i + n in ids and (i + n) % 13}
+    got = [(r["query_id"], r["table"], r["position"]) for r in QUERIES["J08_join_exact_name_lookup"].run(spark, path).collect()]
+    assert len(got) == len(expected) and set(got) == expected
