@@ -49,3 +49,40 @@ def test_no_bound_on_contexts(spark):
     text = texts[0][:5000]
     own = np.concatenate([suffix_tree.gram_keys(d, v) for d, v, _, _ in suffix_tree.streams([text])])
     assert sum(score[k] for k in own.tolist()) == pytest.approx(tree.scores([text])[0], rel=2e-4)
+
+
+@pytest.fixture(scope="module")
+def many_grams():
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(2000)]
+    texts = [" ".join(vocabulary[i] for i in rng.integers(0, 2000, 5000)).encode() + b"\n" for _ in range(6)]
+    key, n = np.unique(np.concatenate([suffix_tree.gram_keys(d, v) for d, v, _, _ in suffix_tree.streams(texts)]), return_counts=True)
+    return texts, key, n
+
+
+def test_the_tree_is_written_once(spark, many_grams, monkeypatch):
+    """A table as long as the grams for every context length took more disk than four times the input."""
+    _, key, n = many_grams
+    kept, written = suffix_tree.stored, []
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, name: written.append(kept(df, name)) or written[-1])
+    assert suffix_tree.gram_scores(spark.createDataFrame(pa.table({"key": key, "n": n}))).count() == len(key)
+    assert sum(t.count() for t in written) < 1.5 * len(key)
+
+
+def test_endings_that_go_on_in_the_next_batch(spark, many_grams, monkeypatch):
+    texts, key, n = many_grams
+    monkeypatch.setattr(suffix_tree, "PART", 150)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        # more than a batch and a part of one ending, and grams that no text learned from has
+        more = np.array([int.from_bytes(b"abc" + b"qqq" + bytes([x])) for x in range(11, 250)])
+        table = pa.table({"key": np.append(key, more), "n": np.append(n, np.zeros(len(more), np.int64))})
+        found = suffix_tree.gram_scores(spark.createDataFrame(table)).toArrow()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    score = dict(zip(found.column("key").to_pylist(), found.column("score").to_pylist()))
+    assert len(score) == found.num_rows == len(key) + len(more)
+    tree = small_tree(texts, suffix_tree.LEAST_GAIN)
+    own = np.concatenate([suffix_tree.gram_keys(d, v) for d, v, _, _ in suffix_tree.streams(texts[:1])])
+    assert sum(score[k] for k in own.tolist()) == pytest.approx(tree.scores(texts[:1])[0], rel=2e-4)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +18,8 @@ from zocalo.llm.simhash import words
 
 #: Longest context in bytes.
 DEPTH = 6
+#: Contexts shorter than this are levels of tables; the longer ones that end in the same TOP bytes are worked on where they were dealt.
+TOP = 3
 #: A context is retained where its count times its divergence from its parent's distribution (in nats) reaches this.
 LEAST_GAIN = 10.0
 #: Weight of the parent's distribution in a child's, in symbols for each different symbol seen after the child.
@@ -27,8 +29,8 @@ SMOOTHING = 1.0
 COMMON_WORDS, SAMPLE_ROWS = 1 << 16, 4000
 #: Grams whose score every task holds; all others are dealt out by gram. Which they are decides the route of a score, not its value.
 COMMON_GRAMS = 1 << 21
-#: Bytes worked on at once, and states built at once.
-SLICE, CHUNK = 1 << 21, 1 << 12
+#: Bytes worked on at once, states built at once, and grams (of whole endings) whose contexts are worked on at once.
+SLICE, CHUNK, PART = 1 << 21, 1 << 12, 1 << 20
 
 START, END = 9, 10  # tab and line feed cannot be part of a word
 #: Set in the key of a gram of a text that is not learned from.
@@ -77,12 +79,10 @@ def streams(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, li
 
 def gram_keys(data: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """The DEPTH + 1 bytes that end at each valid place as one number."""
-    wide = data.astype(np.int64)
-    n = len(data) - DEPTH
-    key = np.zeros(n, np.int64)
-    for k in range(DEPTH + 1):
-        key |= wide[k:k + n] << (8 * (DEPTH - k))
-    return key[valid[DEPTH:]]
+    one = data.astype(np.int64)
+    two = one[:-1] << 8 | one[1:]
+    four = two[:-2] << 16 | two[2:]
+    return (four[:-3] << 24 | two[4:-1] << 8 | one[DEPTH:])[valid[DEPTH:]]
 
 
 @dataclass(frozen=True)
@@ -217,10 +217,18 @@ def common_words(rows: DataFrame, total: int, most: int = COMMON_WORDS) -> list[
     return [bytes(r["word"]) for r in found.select("word").collect()]
 
 
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each different key, sorted, and the sum of its numbers; runs that are sorted already are merged."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def corpus_counts(rows: DataFrame, common: list[bytes]) -> DataFrame:
-    """(kind, key, n, times): kind 0 counts common words by place (-1: ends), kind 1 the DEPTH + 1 byte grams.
+    """(kind, key, n): kind 0 counts common words by place (-1: ends), kind 1 the DEPTH + 1 byte grams.
 
-    n is over all training texts, times over all texts. A task adds up its own before anything is moved.
+    n is over all training texts, so 0 for a gram of others only. A task adds up its own before anything is moved.
     """
     places = docs_broadcast(rows, {w: i for i, w in enumerate(common)})
     many = len(common)
@@ -228,23 +236,28 @@ def corpus_counts(rows: DataFrame, common: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, tally, ends = places.value, np.zeros(many + 1, np.int64), 0
         keys, counts, pending = [], [], 0
+        found: list[int] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            key = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            own, back = np.unique(key, return_inverse=True)
-            return own, np.bincount(back, np.concatenate(counts) if counts else None, len(own)).astype(np.int64)
+            return summed(np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+        def told() -> None:
+            tally[:] += np.bincount(np.array(found, np.int64), minlength=many + 1)
+            found.clear()
 
         def out(kind, key, n) -> pa.RecordBatch:
             learned = np.where(key & HELD_OUT, 0, n) if kind else n
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key & (HELD_OUT - 1) if kind else key),
-                                               pa.array(learned), pa.array(n)], names=["kind", "key", "n", "times"])
+                                               pa.array(learned)], names=["kind", "key", "n"])
 
         def texts(b: pa.RecordBatch, train: bool) -> Iterator[bytes]:
             for t, own in zip(b.column(0), b.column(1).to_pylist()):
                 if own == train:
                     w = words(t.as_py() or "")
-                    found = [place[x] for x in w if x in place] if train else []
-                    tally[:] += np.bincount(found, minlength=many + 1) if found else 0
+                    if train:
+                        found.extend([place[x] for x in w if x in place])
+                        if len(found) > 1 << 18:
+                            told()
                     yield canonical(w)
 
         for b in batches:
@@ -263,11 +276,12 @@ def corpus_counts(rows: DataFrame, common: list[bytes]) -> DataFrame:
                             keys, counts, pending = [], [], 0
         own, n = merged()
         yield out(1, own, n)
+        told()
         at = np.flatnonzero(tally)
         yield out(0, np.append(at, -1), np.append(tally[at], ends))
 
-    made = rows.select("text", "train").mapInArrow(run, "kind int, key long, n long, times long")
-    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("times").alias("times"))
+    made = rows.select("text", "train").mapInArrow(run, "kind int, key long, n long")
+    return made.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def docs_broadcast(df: DataFrame, value):
@@ -279,21 +293,58 @@ def last(column: str, symbols: int):
     return F.col(column).bitwiseAND(F.lit((1 << 8 * symbols) - 1))
 
 
+def conditional(key: np.ndarray, n: np.ndarray, parent: np.ndarray, smoothing: float) -> tuple[np.ndarray, ...]:
+    """One level, sorted by key: each key's probability after its context, its context's place, and the contexts and their gains.
+
+    What was not seen after a context has one ratio to its parent, so it needs no rows.
+    """
+    first = np.flatnonzero(np.diff(key >> 8, prepend=-1))
+    place = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    total = np.add.reduceat(n, first)
+    w = smoothing * np.maximum(np.add.reduceat((n > 0).astype(np.int64), first), 1)
+    p = (n + w[place] * parent) / (total + w)[place]
+    seen = np.add.reduceat(np.where(n > 0, p, 0.0), first)
+    apart = np.add.reduceat(np.where(n > 0, p * np.log(p / parent), 0.0), first)
+    return p, place, key[first] >> 8, total * (apart + np.maximum(1 - seen, 0.0) * np.log(w / (total + w)))
+
+
+def ending_scores(key: np.ndarray, n: np.ndarray, parent: np.ndarray, gain: float, smoothing: float) -> np.ndarray:
+    """The probability of each gram after its longest retained context of TOP bytes or more, NaN where there is none.
+
+    The grams are all of those whose contexts have certain TOP last bytes, sorted; ``parent`` is the probability after TOP - 1 bytes.
+    """
+    keys, counts, parents, up = {DEPTH: key}, {DEPTH: n}, {DEPTH: parent}, {}
+    for d in range(DEPTH - 1, TOP - 1, -1):
+        keys[d], at, up[d + 1] = np.unique(keys[d + 1] & ((1 << 8 * (d + 1)) - 1), return_index=True, return_inverse=True)
+        counts[d], parents[d] = np.bincount(up[d + 1], counts[d + 1]).astype(np.int64), parents[d + 1][at]
+    p, place, contexts, kept = {}, {}, {}, {}
+    for d in range(TOP, DEPTH + 1):
+        p[d], place[d], contexts[d], gains = conditional(keys[d], counts[d], p[d - 1][up[d]] if d > TOP else parents[d], smoothing)
+        kept[d] = gains >= gain
+    for d in range(DEPTH, TOP, -1):
+        kept[d - 1][np.searchsorted(contexts[d - 1], contexts[d][kept[d]] & ((1 << 8 * (d - 1)) - 1))] = True
+    found = np.full(len(keys[TOP]), np.nan)
+    for d in range(TOP, DEPTH + 1):
+        found = np.where(kept[d][place[d]], p[d], found[up[d]] if d > TOP else found)
+    return found
+
+
 def gram_scores(grams: DataFrame, gain: float = LEAST_GAIN, smoothing: float = SMOOTHING) -> DataFrame:
-    """(key, score): log10 probability of the last byte of each gram after those before it, from (key, n); n may be 0.
+    """(key, n, score): log10 probability of the last byte of each gram after those before it, from (key, n); n may be 0.
 
-    The tree of ``build_tree`` as tables, one for each length, whatever their size: no context is left out for being rare or one
-    of too many. Going down from the root, a gram meets its suffix, which has its parent's probability, and the other symbols after its
-    context, which give the divergence (what was not seen after a context has one ratio to its parent, so it needs no rows). Going up,
-    suffixes of retained contexts are retained; going down again, a gram takes the probability after the longest retained one.
+    The tree of ``build_tree``, whatever its size: no context is left out for being rare or one of too many. Contexts of less than
+    TOP bytes are small tables, one for each length: going down from the root, a gram meets its suffix, which has its parent's
+    probability, and the other symbols after its context, which give the divergence. A context and its suffixes share their last bytes,
+    so longer ones are dealt out by their last TOP bytes, once, and each such ending goes on by itself. Going up, suffixes of
+    retained contexts are retained; a gram takes the probability after the longest retained one.
     """
-    counted = {DEPTH: grams.select(F.col("key").alias("k"), "n")}
-    for d in range(DEPTH - 1, -1, -1):
-        counted[d] = stored(counted[d + 1].groupBy(last("k", d + 1).alias("k")).agg(F.sum("n").alias("n")), "lm-counted")
+    counted = {TOP - 1: stored(grams.groupBy(last("key", TOP).alias("k")).agg(F.sum("n").alias("n")), "lm-counted")}
+    for d in range(TOP - 2, -1, -1):
+        counted[d] = counted[d + 1].groupBy(last("k", d + 1).alias("k")).agg(F.sum("n").alias("n"))
     same = Window.partitionBy("context")
     n, p, parent, total, w = (F.col(x) for x in ("n", "p", "parent", "total", "w"))
     levels, kept = {}, {}
-    for d in range(DEPTH + 1):
+    for d in range(TOP):
         rows = counted[d].withColumn("context", F.shiftright("k", 8))
         if d:
             rows = rows.withColumn("up", last("k", d)).join(levels[d - 1].select(F.col("k").alias("up"), p.alias("parent")), "up")
@@ -304,45 +355,69 @@ def gram_scores(grams: DataFrame, gain: float = LEAST_GAIN, smoothing: float = S
         seen = F.sum(F.when(n > 0, p).otherwise(0.0)).over(same)
         apart = F.sum(F.when(n > 0, p * F.log(p / parent)).otherwise(0.0)).over(same)
         levels[d] = stored(rows.select("k", "p", (total * (apart + F.greatest(1 - seen, F.lit(0.0)) * F.log(w / (total + w)))).alias("gain")), "lm-level")
-    for d in range(DEPTH, 0, -1):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scored(rows: pa.Table) -> pa.RecordBatch:
+            order = np.argsort(rows.column("key").to_numpy())
+            key, n, parent = (rows.column(x).to_numpy()[order] for x in ("key", "n", "parent"))
+            p = ending_scores(key, n, parent, gain, smoothing)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(p, from_pandas=True)], names=["key", "n", "p"])
+
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held, size = [*held, b], size + b.num_rows
+            if size >= PART:
+                ending = b.column("ending").to_numpy()
+                cut = int(np.searchsorted(ending, ending[-1]))  # the last ending may go on in the next batch
+                if cut:
+                    yield scored(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+                    held, size = [b.slice(cut)], b.num_rows - cut
+        if held:
+            yield scored(pa.Table.from_batches(held))
+
+    asked = grams.withColumn("up", last("key", TOP)).join(levels[TOP - 1].select(F.col("k").alias("up"), p.alias("parent")), "up")
+    asked = asked.select("key", "n", "parent", F.shiftright(last("key", TOP + 1), 8).alias("ending"))
+    deep = stored(asked.repartition("ending").sortWithinPartitions("ending").mapInArrow(run, "key long, n long, p double"), "lm-deep")
+    longer = deep.where(p.isNotNull()).select(F.shiftright(last("key", TOP), 8).alias("context"))
+    for d in range(TOP - 1, 0, -1):
         own = levels[d].where(F.col("gain") >= gain).select(F.shiftright("k", 8).alias("context"))
-        longer = [kept[d + 1].select(last("context", d).alias("context"))] if d < DEPTH else []
-        kept[d] = stored(functools.reduce(DataFrame.union, longer, own).distinct(), "lm-kept")
+        kept[d] = longer = stored(longer.select(last("context", d).alias("context")).union(own).distinct(), "lm-kept")
     found = levels[0].select("k", "p")
-    for d in range(1, DEPTH + 1):
+    for d in range(1, TOP):
         rows = levels[d].select("k", "p", F.shiftright("k", 8).alias("context"), last("k", d).alias("up"))
         rows = rows.join(found.select(F.col("k").alias("up"), p.alias("parent")), "up").join(kept[d].withColumn("own", F.lit(True)), "context", "left")
         found = rows.select("k", F.when(F.col("own"), p).otherwise(parent).alias("p"))
-    return found.select(F.col("k").alias("key"), F.log10("p").alias("score"))
+    found = stored(found.select(F.col("k").alias("up"), p.alias("parent")), "lm-found")
+    return deep.withColumn("up", last("key", TOP)).join(found, "up").select("key", "n", F.log10(F.coalesce(p, parent)).alias("score"))
 
 
 def common_grams(scores: DataFrame, most: int = COMMON_GRAMS) -> tuple[int, np.ndarray, np.ndarray]:
-    """(least times, keys, scores) of the most frequent grams of (key, times, score), at most ``most``, sorted by key; a last key is none's."""
-    power = F.floor(F.log2("times") * 8)
-    listed = scores.groupBy(power.alias("power")).agg(F.count("*").alias("grams"), F.min("times").alias("least")).collect()
+    """(least n, keys, scores) of the most frequent grams of (key, n, score), at most ``most``; a last score is that of no key."""
+    power = F.floor(F.log2("n") * 8)
+    listed = scores.where(F.col("n") > 0).groupBy(power.alias("power")).agg(F.count("*").alias("grams"), F.min("n").alias("least")).collect()
     least, held = 1 << 62, 0
     for r in sorted(listed, key=lambda r: -r["power"]):
         held += r["grams"]
         if held > most:
             break
         least = r["least"]
-    found = scores.where(F.col("times") >= least).select("key", "score").toArrow()
-    keys, values = np.asarray(found.column("key"), np.int64), np.asarray(found.column("score"), float)
-    order = np.argsort(keys)
-    return least, np.append(keys[order], np.iinfo(np.int64).max), np.append(values[order], 0.0)
+    found = scores.where(F.col("n") >= least).select("key", "score").toArrow()
+    return least, np.asarray(found.column("key"), np.int64), np.append(np.asarray(found.column("score"), float), 0.0)
 
 
-def text_scores(texts: list[bytes], keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def text_scores(texts: list[bytes], keys: pd.Index, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """The sum over each text's grams that are among ``keys``; and all others as arrays of texts, grams and times."""
     total, others = np.zeros(len(texts)), [[], [], []]
     for data, valid, starts, owners in streams(texts):
         owner = np.repeat(owners, np.diff(np.append(starts, len(data))))[valid]
-        own, back = np.unique(gram_keys(data, valid), return_inverse=True)
-        at = np.searchsorted(keys, own)
-        hit = keys[at] == own
-        total += np.bincount(owner, np.where(hit, values[at], 0.0)[back], len(texts))
-        rest = ~hit[back]
-        pairs, times = np.unique(owner[rest] * len(own) + back[rest], return_counts=True)
+        key = gram_keys(data, valid)
+        at = keys.get_indexer(key)
+        total += np.bincount(owner, values[at], len(texts))
+        rest = at < 0
+        own, back = np.unique(key[rest], return_inverse=True)
+        pairs, times = np.unique(owner[rest] * len(own) + back, return_counts=True)
         for column, more in zip(others, (pairs // len(own), own[pairs % len(own)], times)):
             column.append(more)
     return total, [np.concatenate(x) if x else np.empty(0, np.int64) for x in others]
@@ -363,10 +438,9 @@ def lm_scores(docs: DataFrame, held: int = COMMON_GRAMS) -> DataFrame:
     common = common_words(rows, rows.count())
     counts = stored(corpus_counts(rows, common), "lm-counts")
     ranked = {r["key"]: r["n"] for r in counts.where("kind = 0").select("key", "n").collect()}
-    grams = counts.where("kind = 1")
-    scored = stored(gram_scores(grams).join(grams.select("key", "times"), "key"), "lm-scores")
+    scored = gram_scores(counts.where("kind = 1").select("key", "n"))
     least, keys, values = common_grams(scored, held)
-    model = docs_broadcast(docs, (keys, values, {w: (math.log10(ranked.get(i, 0) + 1), ranked.get(i, 0) > 0) for i, w in enumerate(common)}))
+    model = docs_broadcast(docs, (pd.Index(keys), values, {w: (math.log10(ranked.get(i, 0) + 1), ranked.get(i, 0) > 0) for i, w in enumerate(common)}))
     end_log, end_known = math.log10(ranked.get(-1, 0) + 1), int(ranked.get(-1, 0) > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,8 +483,9 @@ def lm_scores(docs: DataFrame, held: int = COMMON_GRAMS) -> DataFrame:
 
     # a gram's score is a row among the rows that ask for it
     asked = rows.mapInArrow(run, SCORES).withColumn("of_gram", F.lit(None).cast("double"))
-    told = scored.where(F.col("times") < least).select(F.col("key").alias("gram"), F.col("score").alias("of_gram"))
-    same = Window.partitionBy("word", "gram")
+    told = scored.where(F.col("n") < least).select(F.col("key").alias("gram"), F.col("score").alias("of_gram"))
+    # one number first, as comparing that is cheap; words whose hashes are equal, or equal to a gram, stay apart
+    same = Window.partitionBy(F.coalesce("gram", F.xxhash64("word")), "word")
     n_train = F.when(F.col("train"), F.col("n")).otherwise(F.lit(0))
     dealt = asked.unionByName(told, allowMissingColumns=True).withColumns(
         {"c": F.sum(n_train).over(same), "lead": F.min("row_id").over(same), "of_gram": F.max("of_gram").over(same)})
