@@ -53,23 +53,38 @@ def _temporal(key: Column, kind: Column, value: Column) -> tuple[Column, Column]
     return kind.isin("date", "datetime") | day | time, (kind == "datetime") | time
 
 
-def column_types(cells: DataFrame) -> DataFrame:
-    """(result_id, key, type) with type null, text, boolean, datetime, date, percentage, integer or decimal."""
+def _profile(cells: DataFrame) -> DataFrame:
+    """(result_id, key, first, type) of every column; ``first`` is the place where it appears first.
+
+    What depends on the name alone is asked once for a column, not for each of its cells.
+    """
     c = F.col
-    temporal, timed = _temporal(c("key"), c("kind"), c("value"))
+    named, written = date_key(c("key")), c("kind") == "text"
+    text = F.trim("value")
+    day = written & text.rlike(ISO_DATE) & text.try_cast("date").isNotNull()
+    time = written & text.rlike(ISO_DATETIME) & F.substring(text, 1, 10).try_cast("date").isNotNull()
     number = c("kind").isin("int", "float")
     whole = (c("kind") == "int") | ((c("kind") == "float") & c("value").try_cast("decimal(38,10)").eqNullSafe(
         F.floor(c("value").try_cast("decimal(38,10)")).cast("decimal(38,10)")))
     some = c("kind") != "null"
     profile = cells.groupBy("result_id", "key").agg(
-        F.count_if(some).alias("n"), F.count_if(c("kind") == "bool").alias("bools"), F.count_if(temporal).alias("times"),
-        F.count_if(timed).alias("timed"), F.count_if(number).alias("numbers"), F.count_if(number & whole).alias("wholes"))
+        F.min(F.struct("row_no", "pos")).alias("first"), F.count_if(some).alias("n"), F.count_if(c("kind") == "bool").alias("bools"),
+        F.count_if(c("kind").isin("date", "datetime")).alias("times"), F.count_if(c("kind") == "datetime").alias("timed"),
+        F.count_if(day | time).alias("told_times"), F.count_if(time).alias("told_timed"),
+        F.count_if(number).alias("numbers"), F.count_if(number & whole).alias("wholes"))
+    times = c("times") + F.when(named, c("told_times")).otherwise(0)
+    timed = c("timed") + F.when(named, c("told_timed")).otherwise(0)
     kind = (F.when(c("n") == 0, "null").when(identifier_key(c("key")), "text").when(c("bools") == c("n"), "boolean")
-            .when(c("times") == c("n"), F.when(c("timed") > 0, "datetime").otherwise("date"))
+            .when(times == c("n"), F.when(timed > 0, "datetime").otherwise("date"))
             .when(c("numbers") == c("n"), F.when(_has_word(c("key"), PERCENT_WORDS), "percentage")
                   .when(c("wholes") == c("n"), "integer").otherwise("decimal"))
             .otherwise("text"))
-    return profile.select("result_id", "key", kind.alias("type"))
+    return profile.select("result_id", "key", "first", kind.alias("type"))
+
+
+def column_types(cells: DataFrame) -> DataFrame:
+    """(result_id, key, type) with type null, text, boolean, datetime, date, percentage, integer or decimal."""
+    return _profile(cells).select("result_id", "key", "type")
 
 
 def display(key: Column, kind: Column, value: Column, type_: Column) -> Column:
@@ -99,13 +114,13 @@ def result_table(cells: DataFrame) -> DataFrame:
     """Every cell with its column's place, label and type, over ragged rows.
 
     Columns are ordered by first appearance; a row that lacks one shows the null
-    text.  Types are a small table, so cells are joined to it, never gathered.
+    text.  Both joins are by sort and merge: all sides grow with the results, and alike
+    columns pack so well in a shuffle that a size check would send them whole through the driver.
     """
-    places = cells.groupBy("result_id", "key").agg(F.min(F.struct("row_no", "pos")).alias("first"))
-    columns = (places.join(column_types(cells), ["result_id", "key"])
-               .withColumn("label", column_label(F.col("key"))))
-    grid = cells.select("result_id", "row_no").distinct().join(columns, "result_id")
-    full = grid.join(cells.select("result_id", "row_no", "key", "kind", "value"), ["result_id", "row_no", "key"], "left")
+    columns = _profile(cells).withColumn("label", column_label(F.col("key")))
+    grid = cells.select("result_id", "row_no").distinct().join(columns.hint("merge"), "result_id")
+    own = cells.select("result_id", "row_no", "key", "kind", "value").hint("merge")
+    full = grid.join(own, ["result_id", "row_no", "key"], "left")
     kind = F.coalesce("kind", F.lit("null"))
     return full.select("result_id", "row_no", "first", "key", "label", "type",
                        display(F.col("key"), kind, F.col("value"), F.col("type")).alias("display"))
