@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from zocalo import streaming
 from zocalo.operators import presentation
+from zocalo.session import run_dir
 
 
 def plan(df) -> str:
@@ -21,3 +23,12 @@ def test_result_table_sends_no_side_through_the_driver(spark, tmp_path):
     got = {(r["row_no"], r["key"]): (r["first"]["row_no"], r["first"]["pos"], r["type"], r["display"]) for r in table.collect()}
     assert len(got) == 12 and got[0, "order_date"] == (0, 0, "date", "20/07/2026") and got[2, "comment"] == (0, 1, "text", "2026-07-20")
     assert got[1, "comment"] == (0, 1, "text", "—") and got[2, "seen_at"] == (0, 2, "datetime", "20/07/2026 10:02:00") and got[1, "n"] == (0, 3, "integer", "5")
+
+
+def test_a_table_in_a_folder_of_files_streams_like_one_file(spark, tmp_path):
+    texts = spark.createDataFrame([(i, f"mail a{i}@b.org") for i in range(20)], "doc_id long, text string")
+    texts.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    texts.write.parquet(f"{tmp_path}/other.parquet")
+    stream = streaming.file_stream(spark, str(tmp_path), "documents.parquet", 3)
+    got = streaming.run_to_end(streaming.redacted(stream, "text"), run_dir(spark, "redact"))
+    assert sorted(map(tuple, got.collect())) == [(i, "mail [REDACTED_EMAIL]") for i in range(20)]

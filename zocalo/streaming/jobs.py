@@ -6,6 +6,8 @@ executors and goes on from its checkpoint.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ from zocalo.sources.sinks import BatchLog
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream; the schema is that of the files there now."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    """Parquet of a folder whose names fit ``pattern``, files or folders of files, as a stream; the schema is that of what is there now."""
+    if not re.search(r"[*?\[{]", pattern):
+        pattern = f"{pattern[:-1]}[{pattern[-1]}]"  # a stream takes a plain path for a folder, and a pattern for what fits it
+    found = f"{folder}/{pattern}"
+    return spark.readStream.schema(spark.read.parquet(found).schema).option("maxFilesPerTrigger", files_per_batch).parquet(found)
 
 
 def redacted(stream: DataFrame, text: str) -> DataFrame:
